@@ -26,7 +26,7 @@ from graphloom.llm import common
 
 BITS = 15
 #: Labelled rows of each label used for fitting: the documented bound of the sample.
-PER_LABEL = 2000
+PER_LABEL = 1000
 #: A document is kept if its calibrated probability of good quality is at least this.
 KEEP_AT = 0.5
 MIN_WORDS = 50
@@ -76,18 +76,19 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
         return None
     y = rows["_y"].to_numpy(float)
     lens = np.array([len(a) for a in rows["idx"]])
-    at = np.repeat(np.arange(len(rows)), lens)
-    idx = np.concatenate(rows["idx"].to_list()).astype(np.int64)
-    val = np.log1p(np.concatenate(rows["tf"].to_list()).astype(float))
-    val /= np.maximum(np.sqrt(np.bincount(at, val * val, len(rows))), 1e-12)[at]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
+    idx = np.concatenate(rows["idx"].to_list())
+    val = np.log1p(np.concatenate(rows["tf"].to_list()).astype(np.float32))
+    del rows
+    val /= np.maximum(np.sqrt(np.bincount(at, val * val, len(y))), 1e-12)[at].astype(np.float32)
     dim = 1 << BITS
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.arange(len(y)) % 5 == 4
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         held[:] = False
-    new = np.cumsum(~held) - 1
+    new = (np.cumsum(~held) - 1).astype(np.int32)
     on = ~held[at]
     w = _descend(new[at[on]], idx[on], val[on], y[~held], dim, 1e-4, 150)
-    z = np.bincount(at, w[idx] * val, len(rows)) + w[-1]
+    z = np.bincount(at, w[idx] * val, len(y)) + w[-1]
     cal = held if held.any() else ~held
     a, b = _platt(z[cal], y[cal])
     return Model(w, a, b)
