@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import knn_quality, langid, pii, rules
+from graphloom.llm import knn_quality, langid, minhash, pii, rules
 
 QUERIES = {
     "op3_quality_classifier": knn_quality.op3_quality_classifier,
     "op5_language_id": langid.op5_language_id,
+    "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
     "op10_pii": pii.op10_pii,
 }
