@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import knn_quality, langid, minhash, pii, rules
+from graphloom.llm import knn_quality, langid, minhash, mixing, packing, pii, rules
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": knn_quality.op3_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
@@ -12,4 +14,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
+}
