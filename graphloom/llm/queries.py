@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import knn_quality, langid, minhash, mixing, packing, pii, rules
+from graphloom.llm import ann, knn_quality, langid, minhash, mixing, packing, pii, rules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": knn_quality.op3_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
+    "op7_ann": ann.op7_ann,
     "op8_quality_rules": rules.op8_quality_rules,
     "op10_pii": pii.op10_pii,
 }
