@@ -209,7 +209,8 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     stars = rows.withColumn("b", F.min("id").over(bucket)).filter("id <> b").select(F.col("id").alias("a"), "b")
     clusters = common.stage(components(stars.distinct()).withColumnRenamed("component", "cluster"), "clusters")
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("_x")).filter("id is not null")
-    members = common.stage(texts.join(clusters, "id").select("cluster", "id", "_x"), "members")
+    # The table of clusters grows with the corpus: it is merged, never broadcast, at every size.
+    members = common.stage(texts.join(clusters.hint("merge"), "id").select("cluster", "id", "_x"), "members")
     found = components(common.stage(_verified(members, width, percent), "links"))
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "named")
@@ -223,7 +224,7 @@ def deduplicate(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     """The rows of ``documents`` that stay: one document of each group, all columns as they are."""
     gone = groups(documents.select("doc_id", "text"), width, percent).filter("not kept")
     gone = common.stage(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
-    return documents.join(gone, (documents["doc_id"] == gone["_gone"]) & (F.xxhash64(documents["text"]) == gone["_gone_hash"]), "left_anti")
+    return documents.join(gone.hint("merge"), (documents["doc_id"] == gone["_gone"]) & (F.xxhash64(documents["text"]) == gone["_gone_hash"]), "left_anti")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
