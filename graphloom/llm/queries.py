@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from graphloom.llm import ann, knn_quality, langid, minhash, mixing, packing, pii, rules
+from graphloom.llm import ann, chat, knn_quality, langid, minhash, mixing, packing, pii, rules, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": knn_quality.op3_quality_classifier,
+    "op4_chat_preferences": chat.op4_chat_preferences,
     "op5_language_id": langid.op5_language_id,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_ann": ann.op7_ann,
     "op8_quality_rules": rules.op8_quality_rules,
+    "op9_url_filter": urlfilter.op9_url_filter,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
+    "op4_chat_preferences": chat.ORACLE,
+    "op9_url_filter": urlfilter.ORACLE,
 }
