@@ -10,7 +10,7 @@ fillings are enumerated, best-filled first, and each is used as often as the his
 of its items could be exchanged for one larger unused item that still fits. A node is pruned when the bins used plus the
 waste bound - remaining tokens over capacity, or the number of remaining lengths over half the capacity - reach the
 incumbent. Best-fit decreasing on the histogram gives the first incumbent, and every leaf may replace it. The search ends
-at the lower bound or after ``NODES`` nodes; it then returns the incumbent, which packs every piece in any case.
+at the lower bound, ``AFTER_LEAF`` nodes after the last better leaf, or after ``NODES`` nodes; it then returns the incumbent, which packs every piece in any case.
 
 Defined results
 ---------------
@@ -38,11 +38,12 @@ from graphloom.llm import common
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 CLOSING_ID = 0
-#: Nodes of the search; and fillings tried at one node.
-NODES = 20_000
-FILLINGS = 24
+#: Nodes of the search, nodes after its last improvement at a leaf, and fillings tried at one node.
+NODES = 6_000
+AFTER_LEAF = 1_000
+FILLINGS = 8
 #: Steps spent on enumerating the fillings of one node.
-_STEPS = 4_000
+_STEPS = 1_500
 
 
 # ---------------------------------------------------------------- the search
@@ -93,17 +94,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
 
 def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int) -> list[Pattern]:
     """Undominated multisets of ``lengths`` (ascending, with ``counts`` each) that fit into ``room``, best-filled first."""
-    hi = bisect.bisect_right(lengths, room)
-    usable = lengths[:hi]
+    usable = lengths[: bisect.bisect_right(lengths, room)]
     if not usable:
         return [()]
     if counts.get(room):
         return [(room,)]  # one item that fills the room dominates every other filling
+    exact = [p for p in _exact(counts, usable, room, limit) if not _dominated(p, 0, counts, usable)]
+    if exact:
+        return sorted(exact, key=lambda p: (len(p), tuple(-x for x in p)))[:limit]
     found: list[Pattern] = []
     steps = 0
 
     def extend(chosen: list[int], left: int, top: int) -> bool:
-        """Chooses items not larger than ``lengths[top]``; true once a limit is reached."""
+        """Chooses items not larger than ``usable[top]``; true once a limit is reached."""
         nonlocal steps
         steps += 1
         i = min(top, bisect.bisect_right(usable, left) - 1)
@@ -118,23 +121,57 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int)
                 if stop:
                     return True
             i -= 1
-        if not any_fits and not _dominated(chosen, left, counts, usable):
+        if not any_fits and not _dominated(tuple(chosen), left, counts, usable):
             found.append(tuple(chosen))
-        return steps >= _STEPS or len(found) >= limit * 4
+        return steps >= _STEPS or len(found) >= limit * 2
 
-    for a in reversed(usable):  # pairs that fill the room exactly come first: usually one is all that is needed
-        b = room - a
-        if b > a:
+    extend([], room, len(usable) - 1)
+    found.append(_greedy(counts, usable, room))
+    return sorted(set(found), key=lambda p: (-sum(p), len(p), tuple(-x for x in p)))[:limit]
+
+
+def _exact(counts: dict[int, int], usable: list[int], room: int, limit: int) -> list[Pattern]:
+    """Fillings without waste: largest items first, closed by a pair or three items of exactly the rest."""
+    have = np.zeros(room + 1, bool)
+    have[usable] = True
+    out: list[Pattern] = []
+
+    def pairs(rest: int, lead: tuple[int, ...]) -> None:
+        top = min(lead[-1] if lead else rest, rest - 1, usable[-1])
+        low = (rest + 1) // 2
+        if top < low:
+            return
+        x = np.arange(low, top + 1)
+        for a in x[have[low : top + 1] & have[rest - x]][::-1][:limit].tolist():
+            p = (*lead, a, rest - a)
+            if all(p.count(i) <= counts[i] for i in set(p)):
+                out.append(p)
+
+    lead: tuple[int, ...] = ()
+    while True:
+        rest = room - sum(lead)
+        if rest <= 0:
+            break
+        if lead and rest <= lead[-1] and have[rest] and counts[rest] > lead.count(rest):
+            out.append((*lead, rest))
+        pairs(rest, lead)
+        if len(out) >= limit:
             break
-        if counts.get(b) and (b != a or counts[a] > 1):
-            found.append((a, b))
-            if len(found) >= limit:
+        for a in reversed(usable[: bisect.bisect_right(usable, min(rest, lead[-1] if lead else rest))][-limit:]):
+            if 3 * a < rest:
                 break
-    if not found:
-        extend([], room, len(usable) - 1)
-    if not found:
-        found.append(_greedy(counts, usable, room))
-    return sorted(set(found), key=lambda p: (-sum(p), len(p), tuple(-x for x in p)))[:limit]
+            if counts[a] > lead.count(a):
+                pairs(rest - a, (*lead, a))
+            if len(out) >= limit:
+                break
+        if len(out) >= limit:
+            break
+        fits = usable[: bisect.bisect_right(usable, min(rest, lead[-1] if lead else rest))]
+        nxt = next((a for a in reversed(fits) if counts[a] > lead.count(a)), None)
+        if nxt is None:
+            break
+        lead = (*lead, nxt)
+    return list(dict.fromkeys(out))
 
 
 def _greedy(counts: dict[int, int], usable: list[int], room: int) -> Pattern:
@@ -146,16 +183,19 @@ def _greedy(counts: dict[int, int], usable: list[int], room: int) -> Pattern:
     return tuple(out)
 
 
-def _dominated(chosen: list[int], left: int, counts: dict[int, int], usable: list[int]) -> bool:
+def _dominated(chosen: Pattern, left: int, counts: dict[int, int], usable: list[int]) -> bool:
     """Whether one unused item can take the place of some of the chosen ones, and is larger than they together."""
     sums = {0}
-    if len(chosen) <= 10:
+    if len(chosen) <= 6:
         for x in chosen:
             sums |= {s + x for s in sums}
     else:
         sums |= {x + y for i, x in enumerate(chosen) for y in chosen[:i]} | set(chosen)
+    single = set(chosen)
     for s in sums:
-        i = bisect.bisect_right(usable, s)
+        if not left and (s in single or not s):
+            continue  # nothing larger fits in its place
+        i = bisect.bisect_right(usable, s) if s in single or not s else bisect.bisect_left(usable, s)
         while i < len(usable) and usable[i] <= s + left:
             if counts[usable[i]] - chosen.count(usable[i]) > 0:
                 return True
@@ -190,7 +230,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     # Depth-first with an explicit stack of untried choices; a choice is (depth, pattern, times).
     stack: list[tuple[int, Pattern, int]] = []
     used, left, large = 0, total, sum(v for k, v in counts.items() if 2 * k > capacity)
-    visited = 0
+    visited, last = 0, nodes
 
     def branch() -> None:
         top = lengths[-1]
@@ -198,7 +238,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         gone = not rest[top]
         if gone:
             lengths.pop()
-        options = fillings(rest, lengths, capacity - top, FILLINGS if visited < nodes // 2 else 4)
+        options = fillings(rest, lengths, capacity - top, FILLINGS)
         if gone:
             lengths.append(top)
         rest[top] += 1
@@ -207,7 +247,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             stack.append((len(chosen), p, min(rest[x] // p.count(x) for x in set(p))))
 
     branch()
-    while stack and visited < nodes and best > bound:
+    while stack and visited < min(nodes, last) and best > bound:
         visited += 1
         depth, p, n = stack.pop()
         while len(chosen) > depth:
@@ -221,12 +261,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         chosen.append((p, n))
         used, left, large = used + n, left - n * sum(p), large - n * sum(2 * x > capacity for x in p)
         if used + max(-(-left // capacity), large) >= best:
+            last = min(last, visited + AFTER_LEAF)
             continue
         if not lengths:
-            best, incumbent = used, list(chosen)
+            best, incumbent, last = used, list(chosen), visited + AFTER_LEAF
             continue
         # Best fit completes the partial packing: a cheap incumbent at every node of the first dives.
-        if visited % 64 == 1:
+        if visited % 256 == 1:
             tail = best_fit({k: rest[k] for k in lengths}, capacity)
             if (m := used + sum(n for _, n in tail)) < best:
                 best, incumbent = m, chosen + tail
