@@ -41,7 +41,7 @@ CLOSING_ID = 0
 #: Nodes of the search, nodes after its last improvement at a leaf, and fillings tried at one node.
 NODES = 6_000
 AFTER_LEAF = 1_000
-FILLINGS = 8
+FILLINGS = 5
 #: Steps spent on enumerating the fillings of one node.
 _STEPS = 1_500
 
@@ -267,7 +267,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             best, incumbent, last = used, list(chosen), visited + AFTER_LEAF
             continue
         # Best fit completes the partial packing: a cheap incumbent at every node of the first dives.
-        if visited % 256 == 1:
+        if visited % 64 == 1:
             tail = best_fit({k: rest[k] for k in lengths}, capacity)
             if (m := used + sum(n for _, n in tail)) < best:
                 best, incumbent = m, chosen + tail
