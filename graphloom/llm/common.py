@@ -11,6 +11,7 @@ Conventions
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,6 +26,8 @@ from pyspark.sql.window import Window
 #: Rows in one Arrow batch handed to Python. Texts can be very long, so batches are kept short.
 ARROW_ROWS = 256
 ARROW_BYTES = 16 << 20
+#: Rows of two or three numbers in one staged file.
+ROWS_PER_FILE = 250_000
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -54,9 +57,14 @@ def _drop_staged() -> None:
 atexit.register(_drop_staged)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage and computes costly rows once."""
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage and computes costly rows once.
+
+    Where the number of narrow ``rows`` is known beforehand, it sets how many tasks and files there are at most.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(8, math.ceil(rows / ROWS_PER_FILE)))
     path = f"{prepare(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))

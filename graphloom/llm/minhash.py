@@ -81,13 +81,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = common.stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     now = signature(e)
-    while now[0]:
+    while n := now[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = common.stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = common.stage(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = common.stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = common.stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", 2 * n)
+        large = common.stage(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", n)
+        least = common.stage(large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = common.stage(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        e = common.stage(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small", n)
         before, now = now, signature(e)
         if before == now:
             break
