@@ -67,7 +67,7 @@ def divide(children: DataFrame, parent: list[str], key: str) -> DataFrame:
         children.withColumn("_rn", F.row_number().over(order))
         .withColumn("_room", (F.col("budget") - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("decimal(20,0)"))
         .withColumn("_suffix", F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("decimal(12,0)"))
-        .withColumn("_full", F.col("cap") * F.col("_suffix") <= F.col("w") * F.col("_room"))
+        .withColumn("_full", (F.col("w") > 0) & (F.col("cap") * F.col("_suffix") <= F.col("w") * F.col("_room")))
     )
     lead = group.orderBy("_full", "_rn")
     rows = rows.withColumn("_room", F.first("_room").over(lead)).withColumn("_suffix", F.first("_suffix").over(lead))
@@ -146,7 +146,7 @@ def _divide_sql(children: str, parent: str, key: str) -> str:
     return f"""
   select {parent}, {key}, least(cap, case when is_full then cap when suffix > 0 then (w * room) // suffix else 0 end) as part, * exclude ({parent}, {key})
   from (select * exclude (room, suffix), first_value(room) over (partition by {parent} order by is_full, rn) as room, first_value(suffix) over (partition by {parent} order by is_full, rn) as suffix
-    from (select *, cap * suffix <= w * room as is_full
+    from (select *, w > 0 and cap * suffix <= w * room as is_full
       from (select *, row_number() over o as rn, budget - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as room,
           sum(w) over (o rows between current row and unbounded following) as suffix
         from ({children})
