@@ -172,6 +172,11 @@ def term_counts(text: str, bits: int, chars: tuple[int, ...] = (1, 2, 3), words:
     return at, n[at]
 
 
+def flat(lists: pd.Series, dtype: type) -> np.ndarray:
+    """All elements of a column of arrays; an empty array has no type of its own."""
+    return np.concatenate([np.asarray(a, dtype) for a in lists]) if len(lists) else np.zeros(0, dtype)
+
+
 def sparse_rows(df: DataFrame, text: str, bits: int, keep: list[str], featurize: Callable | None = None) -> DataFrame:
     """``keep`` columns plus arrays ``idx`` and ``tf`` of each text's hashed terms."""
     f = featurize or term_counts

@@ -107,10 +107,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     dim = 1 << BITS
     if not len(rows):
         return Model(np.ones(dim), np.zeros((dim, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    seen = np.bincount(np.concatenate(rows["idx"].to_list()), minlength=dim)
+    seen = np.bincount(common.flat(rows["idx"], np.int64), minlength=dim)
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     x = np.zeros((len(rows), dim), np.float32)
     for i, (at, n) in enumerate(zip(rows["idx"], rows["tf"], strict=True)):
+        at, n = np.asarray(at, np.int64), np.asarray(n, np.int64)
         x[i, at] = _weights(at, n, idf)
     x = _unit(x)
     basis = _svd_basis(x, RANK)

@@ -77,8 +77,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     y = rows["_y"].to_numpy(float)
     lens = np.array([len(a) for a in rows["idx"]])
     at = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-    idx = np.concatenate(rows["idx"].to_list())
-    val = np.log1p(np.concatenate(rows["tf"].to_list()).astype(np.float32))
+    idx = common.flat(rows["idx"], np.int32)
+    val = np.log1p(common.flat(rows["tf"], np.float32))
     del rows
     val /= np.maximum(np.sqrt(np.bincount(at, val * val, len(y))), 1e-12)[at].astype(np.float32)
     dim = 1 << BITS
