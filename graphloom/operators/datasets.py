@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import parsing, text
+from graphloom.staging import materialize
 
 
 # ---------------------------------------------------------------- fix commits
@@ -125,13 +126,22 @@ def find_lines(content: str | None, code: str | None) -> tuple[int, int] | None:
     return None
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``_k``, 1, 2, 3 ... by ``order``: ranges are numbered apart and shifted by the counts before them."""
+    dealt = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))  # a row a range
+    within = Window.partitionBy("_range").orderBy(order)
+    return dealt.withColumn("_rn", F.row_number().over(within)).join(shifts, "_range").withColumn("_k", F.col("_rn") + F.col("_shift")).drop("_range", "_rn", "_shift")
+
+
 def number_samples(pairs: DataFrame, prefix: str, limit: int | None = None, order: str = "ord") -> DataFrame:
     """A vulnerable and a fixed sample of each accepted pair, ``prefix-1`` with ``prefix-2`` and so on.
 
     Ranks come from the pairs' own order; a limit takes whole pairs, so that an odd one is rounded down.
     """
-    k = F.row_number().over(Window.orderBy(order))
-    ranked = pairs.withColumn("_k", k)
+    ranked = _numbered(pairs, order)
     ranked = ranked.filter(F.col("_k") <= limit // 2) if limit is not None else ranked
     both = F.explode(F.array(F.struct(F.lit(1).alias("label"), (2 * F.col("_k") - 1).alias("n")), F.struct(F.lit(0).alias("label"), (2 * F.col("_k")).alias("n"))))
     rows = ranked.withColumn("_s", both)
@@ -152,10 +162,9 @@ def all_strategies_present(rows: DataFrame, n_strategies: int) -> DataFrame:
 
 def merge_datasets(datasets: DataFrame) -> DataFrame:
     """The first of the samples that share a CVE and label, or, without a CVE, are equal as a whole; in order ``ord``."""
-    rest = [c for c in datasets.columns if c not in ("ord",)]
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(rest)]))
-    key = F.coalesce(F.concat_ws("::", F.when(F.col("cve_id").isNotNull() & F.col("label").isNotNull(), F.struct("cve_id")["cve_id"]), F.when(F.col("cve_id").isNotNull(), F.col("label").cast("string"))), F.lit(""))
-    key = F.when(F.col("cve_id").isNull() | F.col("label").isNull(), F.sha2(body, 256)).otherwise(key)
+    body = F.to_json(F.struct(*sorted(c for c in datasets.columns if c != "ord")))
+    named = F.col("cve_id").isNotNull() & F.col("label").isNotNull()
+    key = F.when(named, F.concat_ws("::", "cve_id", F.col("label").cast("string"))).otherwise(F.sha2(body.cast("binary"), 256))
     w = Window.partitionBy(key).orderBy("ord")
     return datasets.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
