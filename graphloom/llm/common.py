@@ -36,7 +36,6 @@ def prepare(spark: SparkSession) -> str:
     """Sets the Arrow batch length for documents and returns the shared folder for intermediate tables."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
