@@ -33,16 +33,21 @@ def neighborhood(g: Graph, starts: DataFrame, depth: int, edge_paths: bool, tain
     return graph.attach_taint(nodes, graph.taint(g, starts.withColumnRenamed("start_id", "id"), max_hops)) if taint else nodes
 
 
-def ranked(g: Graph, context_spans: DataFrame, lines: DataFrame, strategy: str, depth: int, budget: int, coefficients: Coefficients | None, **options) -> DataFrame:
+def ranked(g: Graph, starts: DataFrame, lines: DataFrame, strategy: str, depth: int, budget: int, coefficients: Coefficients | None, **options) -> DataFrame:
+    """The ranked neighbourhoods of ``starts (context_id, start_id)``."""
     s = ranking.pick([strategy])[strategy]
-    nodes = neighborhood(g, materialize(roots(g, context_spans), "roots"), depth, s.edge_paths, s.taint)
+    nodes = neighborhood(g, materialize(starts, "roots"), depth, s.edge_paths, s.taint)
     if "snippet" not in nodes.columns:
         nodes = selection.snippets(nodes, lines)
     return materialize(ranking.rank(nodes, strategy, coefficients, budget=budget, **options), "ranked")
 
 
 def selected(g: Graph, context_spans: DataFrame, lines: DataFrame, strategy: str = "cpg_structural", depth: int = 3, budget: int = 2048, coefficients: Coefficients | None = None, **options) -> DataFrame:
-    order = ranked(g, context_spans, lines, strategy, depth, budget, coefficients, **options)
+    return selected_from(g, roots(g, context_spans), lines, strategy, depth, budget, coefficients, **options)
+
+
+def selected_from(g: Graph, starts: DataFrame, lines: DataFrame, strategy: str, depth: int, budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
+    order = ranked(g, starts, lines, strategy, depth, budget, coefficients, **options)
     near = graph.induced_edges(g, order, model.PATH_FILL_TYPES)
     return selection.path_fill(order, near, lines, budget)
 
