@@ -35,8 +35,9 @@ from pyspark.sql.window import Window
 
 from graphloom.llm import common, sketch
 
-#: Documents compared at once in a task.
+#: Documents compared at once in a task, and code points of their texts.
 BLOCK = 128
+BLOCK_CHARS = 32 << 20
 #: Centres of a cluster that is larger than a block.
 CENTRES = 8
 #: Columns of the incidence matrix held at once in a comparison.
@@ -158,8 +159,9 @@ def _links(width: int, percent: int):
 def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between the members ``cluster, id, _x``, enough of them to connect all that is connected."""
     compare, schema = _links(width, percent), "a long, b long"
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    sizes = common.stage(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "sizes")
+    blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("_x")).alias("chars"))
+    sizes = common.stage(sizes.select("cluster", "n", blocks(F.col("n"), F.col("chars")).alias("blocks")), "sizes")
     small = members.join(sizes.filter("blocks = 1"), "cluster").select("cluster", "id", F.col("id").alias("part"), "_x")
     links = small.groupBy("cluster").applyInPandas(compare, schema)
     large = sizes.filter("blocks > 1")
@@ -180,9 +182,10 @@ def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
     parts = components(near)
     placed = big.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     placed = common.stage(placed, "placed")
-    weight = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("w"))
-    main = weight.groupBy("cluster").agg(F.max_by("part", F.struct("w", "part")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
-    main = common.stage(main.filter("all > most").select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("s"), F.ceil(F.col("most") / BLOCK).alias("g")), "main")
+    weight = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("w"), F.sum(F.char_length("_x")).alias("c"))
+    main = weight.groupBy("cluster").agg(F.max_by(F.struct("part", "w", "c"), F.struct("w", "part")).alias("m"), F.sum("w").alias("w"), F.sum("c").alias("c")).filter("w > m.w")
+    loose = blocks(F.col("w") - F.col("m.w"), F.col("c") - F.col("m.c"))
+    main = common.stage(main.select("cluster", F.col("m.part").alias("main"), loose.alias("s"), blocks(F.col("m.w"), F.col("m.c")).alias("g")), "main")
     rest = placed.drop("block").join(main, "cluster").withColumn("loose", F.col("part") != F.col("main"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit("rest")), F.when(F.col("loose"), F.col("s")).otherwise(F.col("g"))))
     # A loose block i meets loose blocks j (task i <= j) and all blocks of the main part (task i, s + k).
