@@ -1,4 +1,7 @@
-"""Weights of the ranking strategies: strict keys and ranges, YAML round trip, dotted-key overlays."""
+"""Weights of the ranking strategies: strict keys and ranges, YAML round trip, dotted-key overlays.
+
+The default numbers are fixed values: results depend on them.
+"""
 
 from __future__ import annotations
 
