@@ -28,5 +28,6 @@ def merge(spans: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start_line", "end_line")
     reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = valid(spans, strict).select(*keys, "start_line", "end_line").withColumn("_new", F.coalesce((F.col("start_line") > reach + 1).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    again = Window.partitionBy(*keys).orderBy("start_line", "end_line", F.desc("_new"))  # of equal spans the first opens the group
+    rows = rows.withColumn("_group", F.sum("_new").over(again.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "_group").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("_group")

@@ -147,7 +147,7 @@ def span_islands(spark, sf):
 @query("""
 with s as (select l_orderkey::varchar as file_path, l_linenumber * 3 as a, l_linenumber * 3 + l_quantity::int % 4 as b from lineitem),
 f as (select *, coalesce(a > max(b) over (partition by file_path order by a, b rows between unbounded preceding and 1 preceding) + 1, true)::int as fresh from s),
-g as (select *, sum(fresh) over (partition by file_path order by a, b rows between unbounded preceding and current row) as run from f)
+g as (select *, sum(fresh) over (partition by file_path order by a, b, fresh desc rows between unbounded preceding and current row) as run from f)
 select file_path, min(a)::int as start_line, max(b)::int as end_line from g group by file_path, run""")
 def span_merge(spark, sf):
     rows = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") * 3).alias("start_line"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 4).alias("end_line"))
