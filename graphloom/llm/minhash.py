@@ -2,16 +2,21 @@
 
 1. One Python pass over the whole texts gives each document the digest of its shingle set, the set's size and its band keys.
    Documents with equal sets form a class; only the class's least ``doc_id`` goes on.
-2. Rows that share a band key are candidates. Buckets give star edges, never pairs; connected components of these edges
-   are the *clusters* outside which no document can have a link (but for the stated miss of banding, 1e-7 a pair).
-3. Each text of a cluster of two or more is fetched once. A cluster of up to ``BLOCK`` documents is compared whole in one
-   task. A larger one is first compared with a few seeded centres, block by block; what then hangs together needs no
-   further comparison, so only blocks with documents outside the largest such part are compared, pair of blocks by pair.
-   All comparisons are exact intersections of the full sets; a task returns a spanning forest of its links.
+2. Rows that share a band key are candidates. Buckets give star edges to their least id, never pairs; connected components
+   of these edges are the *clusters* outside which no document can have a link (but for the stated miss of banding, 1e-7 a
+   pair).
+3. Each text of a cluster of two or more is fetched once. A cluster that fits a block (``BLOCK`` documents, ``BLOCK_CHARS``
+   code points) is compared whole in one task. A larger one is first compared block by block, each with a few seeded
+   centres, and what hangs together so far is a *part*. Only documents that share a bucket with another part can have a
+   link that is still unknown. They meet again, either pair of blocks by pair of blocks or bucket by bucket, whichever of
+   the two ships fewer rows for that cluster; there all but the largest part meet everything.
+   All comparisons are exact intersections of the full sets. A task compares a document with all others at once, and only
+   until all but its largest part have been compared, so a dense task costs little more than its size.
 4. Connected components of the links give each class, and through it each document, the least reachable ``doc_id``.
 
 A set's elements are 64-bit hashes of the shingles. No step collects anything of corpus size on the driver, and no bucket or
-cluster has a cap. Clusters beyond ``BLOCK`` whose parts do not hang together cost a quadratic number of block pairs.
+cluster has a cap. What stays quadratic, in blocks, is a bucket that holds far more than a block of documents which agree in
+its band and yet are not linked.
 
 Defined results
 ---------------
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
@@ -36,18 +41,15 @@ from pyspark.sql.window import Window
 from graphloom.llm import common, sketch
 
 #: Documents compared at once in a task, and code points of their texts.
-BLOCK = 128
-BLOCK_CHARS = 32 << 20
+BLOCK = 4096
+BLOCK_CHARS = 4 << 20
 #: Centres of a cluster that is larger than a block.
 CENTRES = 8
-#: Columns of the incidence matrix held at once in a comparison.
-_COLUMNS = 8192
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The hashed shingle set of a whole text, A-Z lower-cased."""
-    cp = common.code_points(text or "")
-    return sketch.shingle_set(cp + np.uint64(32) * ((cp >= 65) & (cp <= 90)), width)
+    return sketch.shingle_set(common.word_hashes(text or "", lower=True), width)
 
 
 def _signatures(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -95,73 +97,102 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections of a block of sets, from its incidence matrix, some columns at a time."""
-    n = len(sets)
-    if n <= 4:
-        out = np.zeros((n, n), np.int64)
-        for i in range(n):
-            for j in range(i):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return out
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+def connect(sets: list[np.ndarray], known: list, percent: int) -> list[tuple[int, int]]:
+    """Links ``(i, j)`` that join the known parts of some sets to what all links together connect.
+
+    A set is compared with all others at once. Sets of the part that is largest just then wait; in the end all sets outside
+    the largest part have met every other set, so no link between two parts is missed.
+    """
+    size = np.array([len(s) for s in sets])
+    part = np.unique(np.array(known), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets)), size)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    rank = np.cumsum(shared) - 1
-    on = shared[column]
-    row, column = row[on], rank[column[on]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((n, n))
-    for at in range(0, int(shared.sum()), _COLUMNS):
-        lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
-        m = np.zeros((n, _COLUMNS), np.float32)
-        m[row[lo:hi], column[lo:hi] - at] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+    on = count[column] > 1
+    row, column = row[on], column[on]
+    bound = np.searchsorted(row, np.arange(len(sets) + 1))
+    mark, waiting, out = np.zeros(len(count), bool), size > 0, []
+    while True:
+        largest = np.bincount(part).argmax()
+        left = waiting & (part != largest)
+        i = int(left.argmax())
+        if not left[i]:
+            return out
+        waiting[i] = False
+        own = column[bound[i] : bound[i + 1]]
+        mark[own] = True
+        common_ = np.bincount(row[mark[column]], minlength=len(sets))
+        mark[own] = False
+        linked = (size > 0) & (100 * common_ >= percent * (size[i] + size - common_)) & (part != part[i])
+        for j in np.flatnonzero(linked):
+            if part[j] != part[i]:
+                out.append((i, int(j)))
+                part[part == part[j]] = part[i]
 
 
 def _links(width: int, percent: int):
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        """Exact links within one task, all pairs but those of the same known part, as a spanning forest."""
-        part = part.sort_values("id", kind="stable")
-        ids, known = part["id"].to_list(), part["part"].to_list()
-        sets = [shingles(t, width) for t in part["_x"]]
-        inter, size = _intersections(sets), np.array([len(s) for s in sets])
-        linked = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
-        forest, at, out = _Forest(len(ids)), {}, []
-        for i, p in enumerate(known):
-            forest.join(i, at.setdefault(p, i))
-        for i, j in np.argwhere(np.tril(linked, -1)):
-            if size[i] and size[j] and forest.join(int(i), int(j)):
-                out.append((ids[i], ids[j]))
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """The links of one task between different known parts, enough of them to connect all that is connected."""
+        rows = rows.sort_values("id", kind="stable")
+        ids, out = rows["id"].to_list(), []
+        if len(ids) > 1:
+            out = [(ids[i], ids[j]) for i, j in connect([shingles(t, width) for t in rows["_x"]], rows["part"].to_list(), percent)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return compare
 
 
-def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
+def _blocks(n: Column, chars: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS))
+
+
+def _unsettled(placed: DataFrame, heads: DataFrame) -> DataFrame:
+    """``cluster, area, id, part, chars``: what must meet again, one area a cluster, or one a bucket where that is fewer rows.
+
+    ``placed`` has ``cluster, id, chars, part``; ``heads`` has ``id, bands``. Buckets within one part are settled.
+    """
+    rows = heads.join(placed, "id").select("cluster", F.explode("bands").alias("bucket"), "id", "part", "chars")
+    rows = common.stage(rows.distinct(), "met")
+    mixed = rows.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+    mixed = common.stage(mixed.select("cluster", "bucket", "n"), "mixed")
+    rows = common.stage(rows.join(mixed.select("cluster", "bucket"), ["cluster", "bucket"], "left_semi"), "open")
+    once = rows.select("cluster", F.lit(0).cast("long").alias("area"), "id", "part", "chars").distinct()
+    by_bucket = mixed.groupBy("cluster").agg(F.sum("n").alias("bucket_rows"))
+    main = _main(once).groupBy("cluster").agg(F.max(F.expr("s * w + (s + g) * loose")).alias("block_rows"))
+    mode = common.stage(by_bucket.join(main, "cluster").select("cluster", (F.col("bucket_rows") < F.col("block_rows")).alias("apart")), "mode")
+    whole = once.join(mode.filter("not apart"), "cluster", "left_semi")
+    apart = rows.join(mode.filter("apart"), "cluster", "left_semi")
+    return whole.union(apart.select("cluster", F.col("bucket").alias("area"), "id", "part", "chars"))
+
+
+def _main(rows: DataFrame) -> DataFrame:
+    """``cluster, area, main, w, loose, g, s``: each area's largest part, its size, that of the rest, and the blocks of both."""
+    weight = rows.groupBy("cluster", "area", "part").agg(F.count(F.lit(1)).alias("w"), F.sum("chars").alias("c"))
+    best = F.max(F.struct("w", "part", "c")).alias("m")
+    main = weight.groupBy("cluster", "area").agg(best, F.sum("w").alias("all_w"), F.sum("c").alias("all_c"))
+    loose, chars = F.col("all_w") - F.col("m.w"), F.col("all_c") - F.col("m.c")
+    return main.select("cluster", "area", F.col("m.part").alias("main"), F.col("m.w").alias("w"), loose.alias("loose"), _blocks(F.col("m.w"), F.col("m.c")).alias("g"), _blocks(loose, chars).alias("s")).filter("loose > 0")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``cluster, area, i, j, id, part``: loose block ``i`` meets loose blocks ``j`` and, as ``(i, s + k)``, blocks ``k`` of the main part."""
+    main = common.stage(_main(rows), "main")
+    rows = rows.join(main, ["cluster", "area"]).withColumn("loose", F.col("part") != F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit("rest")), F.when(F.col("loose"), F.col("s")).otherwise(F.col("g"))))
+    tasks = F.when(
+        F.col("loose"),
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))),
+            F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.col("block").alias("i"), (F.col("s") + k).alias("j"))),
+        ),
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(i.alias("i"), (F.col("s") + F.col("block")).alias("j"))))
+    return rows.select("cluster", "area", "id", "part", F.explode(tasks).alias("task")).select("cluster", "area", "id", "part", "task.i", "task.j")
+
+
+def _verified(members: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between the members ``cluster, id, _x``, enough of them to connect all that is connected."""
     compare, schema = _links(width, percent), "a long, b long"
-    blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("_x")).alias("chars"))
-    sizes = common.stage(sizes.select("cluster", "n", blocks(F.col("n"), F.col("chars")).alias("blocks")), "sizes")
+    sizes = common.stage(sizes.select("cluster", "n", _blocks(F.col("n"), F.col("chars")).alias("blocks")), "sizes")
     small = members.join(sizes.filter("blocks = 1"), "cluster").select("cluster", "id", F.col("id").alias("part"), "_x")
     links = small.groupBy("cluster").applyInPandas(compare, schema)
     large = sizes.filter("blocks > 1")
@@ -178,26 +209,13 @@ def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
     around = around.withColumn("part", F.col("id")).groupBy("cluster", "block").applyInPandas(compare, schema)
     near = common.stage(around, "near")
 
-    # The largest part of each cluster needs no comparison within itself.
-    parts = components(near)
-    placed = big.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    placed = common.stage(placed, "placed")
-    weight = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("w"), F.sum(F.char_length("_x")).alias("c"))
-    main = weight.groupBy("cluster").agg(F.max_by(F.struct("part", "w", "c"), F.struct("w", "part")).alias("m"), F.sum("w").alias("w"), F.sum("c").alias("c")).filter("w > m.w")
-    loose = blocks(F.col("w") - F.col("m.w"), F.col("c") - F.col("m.c"))
-    main = common.stage(main.select("cluster", F.col("m.part").alias("main"), loose.alias("s"), blocks(F.col("m.w"), F.col("m.c")).alias("g")), "main")
-    rest = placed.drop("block").join(main, "cluster").withColumn("loose", F.col("part") != F.col("main"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit("rest")), F.when(F.col("loose"), F.col("s")).otherwise(F.col("g"))))
-    # A loose block i meets loose blocks j (task i <= j) and all blocks of the main part (task i, s + k).
-    tasks = F.when(
-        F.col("loose"),
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))),
-            F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.col("block").alias("i"), (F.col("s") + k).alias("j"))),
-        ),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(i.alias("i"), (F.col("s") + F.col("block")).alias("j"))))
-    dealt = rest.select("cluster", "id", "part", "_x", F.explode(tasks).alias("task")).select("cluster", "id", "part", "_x", "task.i", "task.j")
-    return links.union(near).union(dealt.groupBy("cluster", "i", "j").applyInPandas(compare, schema))
+    placed = big.select("cluster", "id", F.char_length("_x").cast("long").alias("chars")).join(components(near), "id", "left")
+    placed = common.stage(placed.select("cluster", "id", "chars", F.coalesce("component", "id").alias("part")), "placed")
+    dealt = common.stage(_dealt(common.stage(_unsettled(placed, heads), "unsettled")), "dealt")
+    if dealt.isEmpty():
+        return links.union(near)
+    met = dealt.join(big.select("id", "_x").hint("merge"), "id")
+    return links.union(near).union(met.groupBy("cluster", "area", "i", "j").applyInPandas(compare, schema))
 
 
 def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -207,14 +225,15 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     live = signed.filter("doc_id is not null and digest is not null")
     classes = common.stage(live.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     heads = live.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    rows = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    stars = rows.withColumn("b", F.min("id").over(bucket)).filter("id <> b").select(F.col("id").alias("a"), "b")
+    heads = heads.select(F.col("doc_id").alias("id"), "bands")
+    rows = heads.select("id", F.explode("bands").alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most")
+    stars = rows.join(least.select("bucket", "b"), "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
     clusters = common.stage(components(stars.distinct()).withColumnRenamed("component", "cluster"), "clusters")
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("_x")).filter("id is not null")
     # The table of clusters grows with the corpus: it is merged, never broadcast, at every size.
     members = common.stage(texts.join(clusters.hint("merge"), "id").select("cluster", "id", "_x"), "members")
-    found = components(common.stage(_verified(members, width, percent), "links"))
+    found = components(common.stage(_verified(members, heads, width, percent), "links"))
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "named")
     out = signed.select("doc_id", "text_hash", "digest", "n_shingles").join(named, "digest", "left")

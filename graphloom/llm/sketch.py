@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 
-from graphloom.llm.common import mix, word_hashes
+from graphloom.llm.common import mix
 
 _BITS = 44  # of a value's fraction; above it 10 bits of round, above those the bin
 _ROUNDS = 1 << 10
@@ -63,13 +63,12 @@ def band_keys(values: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key
 
 
-def shingle_set(cp: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashed ``width``-word shingles of a text given as code points, sorted; fewer words: the whole sequence."""
-    w = word_hashes(cp)
-    if not len(w):
-        return w
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashed ``width``-word shingles of a text given as hashes of its words, sorted; fewer words: the whole sequence."""
+    if not len(words):
+        return words
+    n = min(width, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ w[i : len(w) - n + 1 + i])
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ words[i : len(words) - n + 1 + i])
     return np.unique(h)
