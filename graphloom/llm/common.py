@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,18 +29,26 @@ ARROW_ROWS = 256
 ARROW_BYTES = 16 << 20
 #: Rows of two or three numbers in one staged file.
 ROWS_PER_FILE = 250_000
+#: Labels that a model knows at most: the most frequent ones, equally frequent ones by name.
+MAX_LABELS = 128
+#: Code points hashed at a time.
+SLICE = 1 << 18
 
 _staged: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> str:
-    """Sets the Arrow batch length for documents and returns the shared folder for intermediate tables."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds the Arrow batches of documents and returns the shared folder for intermediate tables."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(\d+)[bB]?", spark.conf.get(key))  # anything else is no limit, or one with a unit
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")  # tests only: a cluster names its shared folder
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")  # one process, as in tests
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -70,19 +79,26 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns beside it can have any name; ``row.*`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """``crc32(id as text) mod folds``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")) % F.lit(folds)
 
 
-def bounded_sample(keys: DataFrame, label: str, key: str, per_label: int, seed: str = "s1") -> DataFrame:
-    """At most ``per_label`` rows of each label, the least by a seeded hash of ``key``.
+def bounded_sample(keys: DataFrame, label: str, key: str, per_label: int, seed: str = "s1") -> tuple[DataFrame, dict]:
+    """At most ``per_label`` rows of each label, the least by a seeded hash of ``key``; how many rows each label has.
 
     A first pass counts the labels; a hash threshold then cuts each label to about four times its bound before the exact
-    cut, so that no label, however frequent, meets in one task. The number of labels must be small (a label set, not an id).
+    cut, so that no label, however frequent, meets in one task. Rows of other than the ``MAX_LABELS`` most frequent labels
+    are left out, so a column that is no label set at all cannot fill the driver.
     """
-    counts = {r[label]: r["n"] for r in keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MAX_LABELS)
+    counts = {r[label]: r["n"] for r in counted.collect()}
     h = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     unit = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = None
@@ -90,9 +106,9 @@ def bounded_sample(keys: DataFrame, label: str, key: str, per_label: int, seed:
         cut = F.lit(1.0 if n <= 4 * per_label else 4.0 * per_label / n)
         share = F.when(F.col(label) == value, cut) if share is None else share.when(F.col(label) == value, cut)
     if share is None:
-        return keys.limit(0)
+        return keys.limit(0), counts
     w = Window.partitionBy(label).orderBy(h, F.col(key))
-    return keys.filter(unit <= share).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_label).drop("_rn")
+    return keys.filter(unit <= share).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_label).drop("_rn"), counts
 
 
 # ---------------------------------------------------------------- hashing of texts in numpy
@@ -106,7 +122,7 @@ _ipow = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _ipow
     if len(_pow) < n:
-        m = max(n, 2 * len(_pow), 1 << 14)
+        m = max(n, min(2 * len(_pow), SLICE), 1 << 14)
         base, inv = np.full(m, _P, np.uint64), np.full(m, _PI, np.uint64)
         base[0] = inv[0] = 1
         _pow, _ipow = np.multiply.accumulate(base), np.multiply.accumulate(inv)
@@ -126,16 +142,33 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def word_hashes(cp: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of a text given as code points, without a Python loop."""
-    if not len(cp):
-        return np.zeros(0, np.uint64)
-    space = (cp == 32) | ((cp >= 9) & (cp <= 13))
-    edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    pw, ipw = _powers(len(cp) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((cp + np.uint64(1)) * pw[: len(cp)], dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * ipw[starts] + (ends - starts).astype(np.uint64))
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def word_slices(text: str) -> Iterator[str]:
+    """The text in parts of about ``SLICE`` code points that end at a blank; only a longer word makes a longer part."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + SLICE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
+def word_hashes(text: str, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of a whole text, A-Z lower-cased on demand, without a Python loop over words."""
+    parts = [np.zeros(0, np.uint64)]
+    for part in word_slices(text):
+        cp = code_points(part)
+        if lower:
+            cp += np.uint64(32) * ((cp >= 65) & (cp <= 90))
+        space = (cp == 32) | ((cp >= 9) & (cp <= 13))
+        edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        pw, ipw = _powers(len(cp) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((cp + np.uint64(1)) * pw[: len(cp)], dtype=np.uint64)))
+        parts.append(mix((sums[ends] - sums[starts]) * ipw[starts] + (ends - starts).astype(np.uint64)))
+    return np.concatenate(parts)
 
 
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -157,18 +190,19 @@ def term_counts(text: str, bits: int, chars: tuple[int, ...] = (1, 2, 3), words:
 
     Word bigrams that repeat a word are hashed as a back-reference, so that repetition looks alike whatever the word.
     """
-    cp = code_points(text)
-    parts = [char_ngrams(cp, n, bits) for n in chars]
-    if words and len(w := word_hashes(cp)):
+    total = np.zeros(1 << bits, np.int64)
+    for at in range(0, len(text) if chars else 0, SLICE):
+        cp = code_points(text[at : at + SLICE + max(chars) - 1])
+        for n in chars:
+            total += np.bincount(char_ngrams(cp[: SLICE + n - 1], n, bits), minlength=1 << bits)
+    if words and len(w := word_hashes(text)):
         shift = np.uint64(64 - bits)
-        parts.append((mix(w + _K[1]) >> shift).astype(np.int64))
+        total += np.bincount((mix(w + _K[1]) >> shift).astype(np.int64), minlength=1 << bits)
         if len(w) > 1:
             pair = np.where(w[1:] == w[:-1], _K[2], mix(w[:-1] * _K[0] + w[1:]))
-            parts.append((mix(pair + _K[3]) >> shift).astype(np.int64))
-    h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    n = np.bincount(h, minlength=1)
-    at = np.flatnonzero(n)
-    return at, n[at]
+            total += np.bincount((mix(pair + _K[3]) >> shift).astype(np.int64), minlength=1 << bits)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def flat(lists: pd.Series, dtype: type) -> np.ndarray:

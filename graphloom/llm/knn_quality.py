@@ -11,7 +11,8 @@ Defined results
 * null or empty text, or a text without any known direction: score 0.5 (no neighbour has a positive similarity);
 * nothing to learn from: every score is 0.5; labels of one kind only: that label wins every vote;
 * null ids count as held out and are never learned from; repeated rows: one result each; ties between equally near
-  vectors go to the one fitted first (ascending doc_id); empty table, empty result; other columns are ignored.
+  vectors go to the one fitted first (ascending doc_id); empty table, empty result; other columns, whatever
+  their names, come back within ``row``.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.votes))
         for at in range(0, len(texts), BLOCK):
             sims = self.project(texts[at : at + BLOCK]) @ self.vectors.T
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k] if k == len(self.votes) else np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            top = _nearest(sims, k)
             weight = np.maximum(np.take_along_axis(sims, top, 1), 0).astype(float) ** _EXPONENT
             total = weight.sum(1)
             known = total > 1e-12
@@ -84,6 +85,14 @@ class Model:
         return scores
 
 
+def _nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` most similar of each row; of equally similar ones the first."""
+    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k, None]
+    over, equal = sims > least, sims == least
+    take = over | (equal & (np.cumsum(equal, axis=1) <= k - over.sum(1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(sims), k)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
@@ -101,7 +110,7 @@ def _svd_basis(x: np.ndarray, rank: int) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Model:
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
-    sample = common.bounded_sample(known, "_y", "_id", per_label, "knn")  # at most 2 * per_label rows of two numbers
+    sample, _ = common.bounded_sample(known, "_y", "_id", per_label, "knn")  # at most 2 * per_label rows of two numbers
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")).join(F.broadcast(sample), "_id")
     rows = common.sparse_rows(texts, "_x", BITS, ["_id", "_y"], _terms).toPandas().sort_values("_id", kind="stable")
     dim = 1 << BITS
@@ -119,7 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
 
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with a column ``_score``: how likely each whole text is of good quality."""
+    """``row``, a document with all its columns, and ``score``: how likely its whole text is of good quality."""
     spark = documents.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -128,7 +137,7 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(shared.value.score([t if isinstance(t, str) else "" for t in texts]))
 
-    return documents.withColumn("_score", pandas_udf(vote, "double")(F.col(text)))
+    return documents.select(common.whole_row(documents).alias("row"), pandas_udf(vote, "double")(F.col(text)).alias("score"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +145,5 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.filter(common.fold("doc_id", 5) != 0))
-    held = (common.fold("doc_id", 5) == 0).alias("held_out")
-    return score(docs, model).select("doc_id", held, F.col("_score").alias("score"), (F.col("_score") >= GOOD_AT).cast("int").alias("predicted"))
+    held = (common.fold("row.doc_id", 5) == 0).alias("held_out")
+    return score(docs, model).select("row.doc_id", held, "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))

@@ -1,15 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log-probabilities, one row for each of ``2**BITS`` hash buckets and one column for each language,
-fitted from a bounded sample (``PER_LANG`` documents of each language) and broadcast: its size is fixed by the number of
-languages. Whole texts are scored in numpy, a slice of the text at a time, so memory does not grow with the longest text.
+fitted from a bounded sample (``PER_LANG`` documents of each language) and broadcast. It knows the ``common.MAX_LABELS`` most
+frequent languages at most, so its size is bounded whatever the column holds. Whole texts are scored in numpy, a slice of the text at a time, so memory does not grow with the longest text.
 
 Defined results
 ---------------
-* null text, or text without a letter: ``und`` with score 0;
+* null text, or text without a letter (``str.isalpha``): ``und`` with score 0;
 * rows without a language are never learned from but are predicted; a language seen only in the held-out fold cannot be
   predicted; with nothing to learn from every text is ``und``;
-* null ids and repeated rows: one result a row; an empty table gives an empty result; other columns are ignored.
+* null ids and repeated rows: one result a row; an empty table gives an empty result; other columns, whatever
+  their names, come back within ``row``.
 """
 
 from __future__ import annotations
@@ -32,15 +33,22 @@ NGRAMS = (1, 2, 3)
 PER_LANG = 1000
 #: Code points scored at a time; slices overlap so that no n-gram is lost.
 SLICE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Added to each count.
+SMOOTHING = 0.5
+_LETTER = re.compile(r"[^\W\d_]")  # holds all letters, and some numerals that are none
+
+
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
 
 
 def slices(text: str) -> Iterator[np.ndarray]:
     """Hashed n-grams of the whole lower-cased text."""
-    cp = common.code_points(text.lower())
-    for at in range(0, max(len(cp), 1), SLICE):
+    text = text.lower()
+    for at in range(0, max(len(text), 1), SLICE):
+        cp = common.code_points(text[at : at + SLICE + max(NGRAMS) - 1])
         for n in NGRAMS:
-            yield common.char_ngrams(cp[at : at + SLICE + n - 1], n, BITS)
+            yield common.char_ngrams(cp[: SLICE + n - 1], n, BITS)
 
 
 def _counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +66,7 @@ class Model:
     prior: np.ndarray
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        rows = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not rows:
             return out
@@ -94,22 +102,25 @@ class Model:
 
 
 def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fits on at most ``per_lang`` documents of each non-null language."""
+    """Fits on at most ``per_lang`` documents of each non-null language; priors are the languages' shares of all documents."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_x")).filter("_lang is not null and _id is not null and _x is not null")
-    sample = common.bounded_sample(rows.select("_id", "_lang"), "_lang", "_id", per_lang).distinct()
-    counts = common.sparse_rows(rows.join(F.broadcast(sample), ["_id", "_lang"]), "_x", BITS, ["_lang"], _counts)
-    long = counts.select("_lang", F.explode(F.arrays_zip("idx", "tf")).alias("t")).groupBy("_lang", "t.idx").agg(F.sum("t.tf").alias("n"))
-    got = long.toPandas()  # at most languages x buckets rows
-    langs = sorted(got["_lang"].unique())
-    table = np.full((1 << BITS, len(langs)), 0.5)
-    table[got["idx"].to_numpy(), [langs.index(v) for v in got["_lang"]]] += got["n"].to_numpy(float)
+    sample, known = common.bounded_sample(rows.select("_id", "_lang"), "_lang", "_id", per_lang)
+    counts = common.sparse_rows(rows.join(F.broadcast(sample.distinct()), ["_id", "_lang"]), "_x", BITS, ["_lang"], _counts)
+    cells = counts.select("_lang", F.explode(F.arrays_zip("idx", "tf")).alias("t")).groupBy("_lang", "t.idx").agg(F.sum("t.tf").alias("n"))
+    lists = cells.groupBy("_lang").agg(F.collect_list(F.struct("idx", "n")).alias("t"))  # a cell for each of 2**BITS buckets at most
+    got = {r["_lang"]: r for r in lists.select("_lang", "t.idx", "t.n").toPandas().to_dict("records")}  # MAX_LABELS rows at most
+    langs = sorted(got)
+    table = np.full((1 << BITS, len(langs)), SMOOTHING)
+    for k, lang in enumerate(langs):
+        table[np.asarray(got[lang]["idx"], np.int64), k] += np.asarray(got[lang]["n"], float)
     log_p = np.log(table / table.sum(0, keepdims=True)).astype(np.float32)
-    return Model(langs, log_p, np.zeros(len(langs)))
+    share = np.array([known[v] for v in langs], float)
+    return Model(langs, log_p, np.log(share / share.sum()))
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with a struct column ``_lang`` of ``lang_pred`` and ``score``."""
+    """``row``, a document with all its columns, and a struct ``language`` of ``lang_pred`` and ``score``."""
     spark = documents.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -118,11 +129,11 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
         for texts in batches:
             yield pd.DataFrame(shared.value.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
 
-    return documents.withColumn("_lang", pandas_udf(score, "lang_pred string, score double")(F.col(text)))
+    return documents.select(common.whole_row(documents).alias("row"), pandas_udf(score, "lang_pred string, score double")(F.col(text)).alias("language"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.filter(common.fold("doc_id", 3) != 1))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "_lang.*")
+    return predict(docs.select("doc_id", "text"), model).select("row.doc_id", (common.fold("row.doc_id", 3) == 1).alias("held_out"), "language.*")

@@ -8,7 +8,7 @@ Defined results
 * null text: as the empty text - no words, base rule fails, not kept;
 * null ``doc_id``: scored and returned like any other row; repeated rows: one result each;
 * no labelled rows, or labels of one kind only: the model abstains (probability 1), the base rule alone decides;
-* an empty table gives an empty result; further columns of the input are ignored.
+* an empty table gives an empty result; further columns of the input, whatever their names, come back within ``row``.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     """Fits on at most ``per_label`` labelled rows of each label; a fifth of them calibrates the probability."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
-    sample = common.bounded_sample(known, "_y", "_id", per_label)  # at most 2 * per_label rows of two numbers
+    sample, _ = common.bounded_sample(known, "_y", "_id", per_label)  # at most 2 * per_label rows of two numbers
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")).join(F.broadcast(sample), "_id")
     rows = common.sparse_rows(texts, "_x", BITS, ["_id", "_y"]).toPandas().sort_values("_id", kind="stable")
     if rows["_y"].nunique() < 2:
@@ -159,13 +159,13 @@ def verdict(spark: SparkSession, model: Model | None):
 
 
 def apply_rules(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with a struct column ``_rules`` of each text's counts and verdict."""
+    """``row``, a document with all its columns, and ``rules``, the counts and verdict of its text."""
     spark = documents.sparkSession
     common.prepare(spark)
-    return documents.withColumn("_rules", verdict(spark, fit(documents, labels))(F.col(text)))
+    return documents.select(common.whole_row(documents).alias("row"), verdict(spark, fit(documents, labels))(F.col(text)).alias("rules"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return apply_rules(docs, labels).select("doc_id", "_rules.*")
+    return apply_rules(docs, labels).select("row.doc_id", "rules.*")
