@@ -17,7 +17,8 @@ Defined results
 ---------------
 * null text: no tokens, selected with the prefix its digest falls into; null language or source: the leaf named ``?``;
 * rows with one ``doc_id`` (or null) in a leaf are selected together; an empty table gives an empty result;
-* a weight of 0 gives a node nothing; a node that is not listed has the weight ``default``;
+* a weight of 0 gives a node and all below it nothing, and its siblings what it would have had; a node that is not listed
+  has the weight ``default``;
 * :func:`mix` returns the input's columns as they are, a row for each selected epoch.
 """
 
@@ -76,8 +77,9 @@ def divide(children: DataFrame, parent: list[str], key: str) -> DataFrame:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    named = documents.withColumns({"_lang": F.coalesce("lang", F.lit("?")), "_source": F.coalesce("source", F.lit("?"))})
-    return named.withColumns({"_domain": F.expr(DOMAIN), "_tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
+    """``row``, a document with all its columns, ``doc_id`` and the keys and tokens of its leaf."""
+    named = documents.select(common.whole_row(documents).alias("row"), "doc_id", F.col("text").alias("_x"), F.coalesce("lang", F.lit("?")).alias("_lang"), F.coalesce("source", F.lit("?")).alias("_source"))
+    return named.select("row", "doc_id", F.expr(DOMAIN).alias("_domain"), "_lang", "_source", F.coalesce(F.regexp_count("_x", F.lit(WORD)), F.lit(0)).cast("long").alias("_tokens"))
 
 
 def _digest(seed: str, epoch: str) -> Column:
@@ -85,11 +87,19 @@ def _digest(seed: str, epoch: str) -> Column:
 
 
 def budgets(tokens: DataFrame, t: Targets) -> DataFrame:
-    """The leaf table: ``_domain, _lang, _source, _leaf_tokens, _part`` from the rows' keys and ``_tokens``."""
+    """The leaf table: ``_domain, _lang, _source, _leaf_tokens, _part`` from the rows' keys and ``_tokens``.
+
+    A node can use what its children can use; one of weight 0 can use nothing, so nothing is set aside for it.
+    """
     leaf = common.stage(tokens.groupBy(*_TREE).agg(F.sum("_tokens").alias("_leaf_tokens")), "leaves")
-    leaf = leaf.withColumn("cap", (F.col("_leaf_tokens") * t.max_epochs).cast("decimal(20,0)")).withColumn("w", _weight("_source", t.source, t.default))
-    lang = leaf.groupBy("_domain", "_lang").agg(F.sum("cap").cast("decimal(20,0)").alias("cap")).withColumn("w", _weight("_lang", t.lang, t.default))
-    domain = lang.groupBy("_domain").agg(F.sum("cap").cast("decimal(20,0)").alias("cap")).withColumn("w", _weight("_domain", t.domain, t.default))
+
+    def weighed(rows: DataFrame, column: str, weights: dict[str, int]) -> DataFrame:
+        usable = F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0)).cast("decimal(20,0)")
+        return rows.withColumn("w", _weight(column, weights, t.default)).withColumn("cap", usable)
+
+    leaf = weighed(leaf.withColumn("cap", F.col("_leaf_tokens") * t.max_epochs), "_source", t.source)
+    lang = weighed(leaf.groupBy("_domain", "_lang").agg(F.sum("cap").alias("cap")), "_lang", t.lang)
+    domain = weighed(lang.groupBy("_domain").agg(F.sum("cap").alias("cap")), "_domain", t.domain)
     total = F.expr(f"cast((sum(_leaf_tokens) * {t.budget_percent}) div 100 as decimal(20,0))")
     root = leaf.agg(F.coalesce(total, F.lit(0)).cast("decimal(20,0)").alias("budget"))
     domain = divide(domain.crossJoin(F.broadcast(root)).withColumn("_root", F.lit(0)), ["_root"], "_domain").select("_domain", F.col("part").alias("budget"))
@@ -97,9 +107,8 @@ def budgets(tokens: DataFrame, t: Targets) -> DataFrame:
     return divide(leaf.join(lang, ["_domain", "_lang"]), ["_domain", "_lang"], "_source").select(*_TREE, "_leaf_tokens", F.col("part").cast("long").alias("_part"))
 
 
-def cutoffs(documents: DataFrame, t: Targets) -> DataFrame:
+def cutoffs(tokens: DataFrame, t: Targets) -> DataFrame:
     """The leaf table with ``_whole`` epochs and the ``_cutoff`` digest of the epoch after them (null: nothing of it)."""
-    tokens = common.stage(_keyed(documents).select("doc_id", *_TREE, "_tokens"), "tokens")
     leaf = budgets(tokens, t)
     whole = F.expr(f"case when _leaf_tokens > 0 then least(_part div _leaf_tokens, {t.max_epochs}) else 0 end")
     leaf = leaf.withColumn("_whole", whole.cast("int"))
@@ -117,55 +126,78 @@ def cutoffs(documents: DataFrame, t: Targets) -> DataFrame:
     return common.stage(leaf.join(cut, _TREE, "left").select(*_TREE, "_whole", "_cutoff"), "cutoffs")
 
 
-def select(documents: DataFrame, t: Targets = TARGETS) -> DataFrame:
-    """``documents`` with ``_domain, _lang, _source, _tokens`` and ``_epoch``: a row for each epoch a document is taken in."""
-    common.prepare(documents.sparkSession)
-    leaf = cutoffs(documents.select("doc_id", "text", "lang", "source"), t)
-    rows = _keyed(documents).join(leaf, _TREE)
+def _chosen(rows: DataFrame, tokens: DataFrame, t: Targets) -> DataFrame:
+    """``rows`` (with ``doc_id`` and the keys of the tree) as often as they are taken, with ``_epoch``."""
+    rows = rows.join(cutoffs(tokens, t), _TREE)
     copies = F.col("_whole") + F.coalesce((_digest(t.seed, "_whole") <= F.col("_cutoff")).cast("int"), F.lit(0))
     rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_whole", "_cutoff")
+    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+
+
+def _tokens(documents: DataFrame) -> DataFrame:
+    common.prepare(documents.sparkSession)
+    return common.stage(_keyed(documents.select("doc_id", "text", "lang", "source")).select("doc_id", *_TREE, "_tokens"), "tokens")
+
+
+def select(documents: DataFrame, t: Targets = TARGETS) -> DataFrame:
+    """``row``, a document with all its columns, ``domain``, ``lang``, ``source`` and ``epoch``: a row for each epoch it is taken in."""
+    tokens = _tokens(documents)
+    return _chosen(_keyed(documents).drop("_tokens"), tokens, t).select("row", *[F.col(f"_{c}").alias(c) for c in ("domain", "lang", "source", "epoch")])
 
 
 def mix(documents: DataFrame, t: Targets = TARGETS) -> DataFrame:
     """The selected rows of ``documents``, columns as they are."""
-    return select(documents, t).select(*documents.columns)
+    return select(documents, t).select("row.*")
 
 
-def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+def schedule(documents: DataFrame, t: Targets = TARGETS) -> DataFrame:
+    """``doc_id, domain, lang, source, n_tokens, epoch`` of what :func:`select` takes; texts are read once."""
+    tokens = _tokens(documents)
     names = {"_domain": "domain", "_lang": "lang", "_source": "source", "_tokens": "n_tokens", "_epoch": "epoch"}
-    return select(docs).select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
+    return _chosen(tokens, tokens, t).select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def _cases(column: str, weights: dict[str, int], default: int) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in weights.items()) + f" else {default} end" if weights else str(default)
 
 
-def _divide_sql(children: str, parent: str, key: str) -> str:
+def _fill_sql(name: str, children: str) -> str:
+    """CTEs that give ``pk, key, part``: round by round, children whose capacity is within their share are filled and leave."""
     return f"""
-  select {parent}, {key}, least(cap, case when is_full then cap when suffix > 0 then (w * room) // suffix else 0 end) as part, * exclude ({parent}, {key})
-  from (select * exclude (room, suffix), first_value(room) over (partition by {parent} order by is_full, rn) as room, first_value(suffix) over (partition by {parent} order by is_full, rn) as suffix
-    from (select *, w > 0 and cap * suffix <= w * room as is_full
-      from (select *, row_number() over o as rn, budget - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as room,
-          sum(w) over (o rows between current row and unbounded following) as suffix
-        from ({children})
-        window o as (partition by {parent} order by case when w > 0 then cap::double / w::double else 'inf'::double end, {key}))))"""
+{name}_in as ({children}),
+{name}_round as (
+  select pk, key, w, cap, budget::hugeint as room, false as done, 0 as it from {name}_in where w > 0
+  union all
+  select pk, key, w, cap, room - taken, now_done, it + 1 from (
+    select *, sum(case when now_done then cap else 0 end) over (partition by pk) as taken, bool_or(now_done) over (partition by pk) as moved
+    from (select pk, key, w, cap, room, it, cap * (sum(w) over (partition by pk)) <= w * room as now_done from {name}_round where not done))
+  where moved),
+{name}_last as (select *, max(it) over (partition by pk, key) as final from {name}_round),
+{name} as (
+  select c.pk, c.key, case when c.w = 0 then 0 when l.done then l.cap else (l.w * l.room) // l.open_w end as part
+  from {name}_in c left join (
+    select pk, key, w, cap, room, done, sum(case when done then 0 else w end) over (partition by pk, it) as open_w from {name}_last where it = final) l using (pk, key))"""
 
 
 def oracle(t: Targets = TARGETS) -> str:
     return f"""
-with tok as (
+with recursive tok as (
   select doc_id, coalesce(lang, '?') as lang, coalesce(source, '?') as source,
     'd' || ((instr('0123456789abcdef', substr(md5(coalesce(source, '?')), 1, 1)) - 1) % 4)::varchar as domain,
     coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as n_tokens
   from documents),
-leaf0 as (select domain, lang, source, sum(n_tokens)::hugeint as leaf_tokens, (sum(n_tokens) * {t.max_epochs})::hugeint as cap, ({_cases('source', t.source, t.default)})::hugeint as w from tok group by 1, 2, 3),
-lang0 as (select domain, lang, sum(cap)::hugeint as cap, ({_cases('lang', t.lang, t.default)})::hugeint as w from leaf0 group by 1, 2),
-dom0 as (select 0 as root, domain, sum(cap)::hugeint as cap, ({_cases('domain', t.domain, t.default)})::hugeint as w, (select (sum(leaf_tokens)::hugeint * {t.budget_percent}) // 100 from leaf0) as budget from lang0 group by domain),
-dom as (select domain, part as budget from ({_divide_sql('select * from dom0', 'root', 'domain')})),
-lng as (select domain, lang, part as budget from ({_divide_sql("select l.*, d.budget, l.domain as pk from lang0 l join dom d using (domain)", 'pk', 'lang')})),
-leaf as (select domain, lang, source, leaf_tokens, part from ({_divide_sql("select f.*, g.budget, f.domain || ':' || f.lang as pk from leaf0 f join lng g using (domain, lang)", 'pk', 'source')})),
+leaf0 as (select domain, lang, source, sum(n_tokens)::hugeint as leaf_tokens, ({_cases('source', t.source, t.default)})::hugeint as w from tok group by 1, 2, 3),
+leaf1 as (select *, case when w > 0 then leaf_tokens * {t.max_epochs} else 0 end as cap from leaf0),
+lang1 as (select domain, lang, ({_cases('lang', t.lang, t.default)})::hugeint as w, case when ({_cases('lang', t.lang, t.default)}) > 0 then sum(cap) else 0 end::hugeint as cap from leaf1 group by domain, lang),
+dom1 as (select domain, ({_cases('domain', t.domain, t.default)})::hugeint as w, case when ({_cases('domain', t.domain, t.default)}) > 0 then sum(cap) else 0 end::hugeint as cap from lang1 group by domain),
+{_fill_sql('dom', f"select 'all' as pk, domain as key, w, cap, (select (sum(leaf_tokens)::hugeint * {t.budget_percent}) // 100 from leaf0) as budget from dom1")},
+{_fill_sql('lng', "select l.domain as pk, l.lang as key, l.w, l.cap, d.part as budget from lang1 l join dom d on d.key = l.domain")},
+{_fill_sql('src', "select f.domain || ':' || f.lang as pk, f.source as key, f.w, f.cap, g.part as budget from leaf1 f join lng g on g.pk = f.domain and g.key = f.lang")},
+leaf as (select domain, lang, source, leaf_tokens, part from leaf1 join src on src.pk = domain || ':' || lang and src.key = source),
 parts as (select *, case when leaf_tokens > 0 then least(part // leaf_tokens, {t.max_epochs}) else 0 end::int as whole from leaf),
 rests as (select *, case when whole < {t.max_epochs} then part - whole * leaf_tokens else 0 end as rest from parts),
 keyed as (select t.*, whole, rest, md5('{t.seed}:' || whole::varchar || ':' || coalesce(doc_id::varchar, '')) as digest from tok t join rests using (domain, lang, source)),
