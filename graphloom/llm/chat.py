@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm import common
 
@@ -74,20 +75,31 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     return pairs.select(*columns)
 
 
+def with_cut_answers(turns: DataFrame) -> DataFrame:
+    """Rows ``pair_id, side, turn, role, text`` that prefer each conversation over itself with its last answer cut in half."""
+    last = F.max(F.when(F.col("role") == LEARNED_ROLE, F.col("turn"))).over(Window.partitionBy("conv_id"))
+    cut = F.when((F.col("role") == LEARNED_ROLE) & (F.col("turn") == F.col("last")), F.substring("text", F.lit(1), F.floor(F.char_length("text") / 2).cast("int")))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.coalesce(cut, F.col("text")).alias("text")))
+    rows = turns.filter("conv_id is not null").select("conv_id", "turn", "role", "text", last.alias("last"))
+    return rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
+
+
 def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table names no preferences: conversations 2n are taken as chosen over conversations 2n + 1."""
+    """The table names no preferences: whole answers are preferred over cut ones."""
     common.prepare(spark)
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("conv_id is not null")
-    side = F.when(F.col("conv_id").bitwiseAND(1) == 0, F.lit("chosen")).otherwise(F.lit("rejected"))
-    return format_preferences(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    return format_preferences(with_cut_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 ORACLE = """
-with t as (
-  select conv_id >> 1 as pair_id, conv_id & 1 as side, role, text,
-    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as rn,
+with l as (select conv_id as pair_id, turn, role, text, max(case when role = 'assistant' then turn end) over (partition by conv_id) as last from conversations where conv_id is not null),
+s as (
+  select pair_id, 0 as side, turn, role, text from l
+  union all select pair_id, 1, turn, role, case when role = 'assistant' and turn = last then substr(text, 1, length(text) // 2) else text end from l),
+t as (
+  select pair_id, side, role, text,
+    row_number() over (partition by pair_id, side order by turn nulls first, role nulls first, text nulls first) as rn,
     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') || '<|end|>' || chr(10) as body
-  from conversations where conv_id is not null),
+  from s),
 c as (select * from t where side = 0), r as (select * from t where side = 1),
 cut as (
   select pair_id, coalesce(min(case when c.rn is null or r.rn is null or c.role is distinct from r.role or c.text is distinct from r.text then coalesce(c.rn, r.rn) end) - 1, max(c.rn))::int as n
