@@ -4,7 +4,8 @@ Equal vectors form one point that remembers its ``k + 1`` least ids (enough for
 rows is one node. Points are dealt to shards of about ``SHARD`` by a hash; each shard builds its graph in one task: points
 are inserted in batches, a greedy beam search over the graph so far proposes neighbours, and robust pruning keeps an edge
 only if no kept neighbour is closer to its end by the factor ``ALPHA``. Blocks of queries meet every shard; a beam search
-finds candidates there, whose cosines are then computed in double precision on the original vectors.
+finds candidates there, and the cosines of all of them are then computed on the original vectors. Distances are in double
+precision throughout: in single precision, points within 1e-4 of each other cannot be told apart.
 
 Defined results
 ---------------
@@ -36,6 +37,8 @@ BATCH = 256
 #: Points at which every search of a shard starts: a dense group of near-equal vectors keeps its edges to itself, so one
 #: start inside of it would see nothing else.
 STARTS = 64
+#: Longest vectors that are handled BATCH at a time; of longer ones, so many fewer that a batch's copies stay as large.
+BATCH_DIM = 64
 #: Queries in a block.
 QUERIES = 256
 
@@ -53,7 +56,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarr
     """For each row of ``q`` up to ``width`` near points, nearest first, as ids (-1: none) and distances; all rows at once."""
     b, rows = len(q), np.arange(len(q))
     ids = np.full((b, width), -1, np.int32)
-    dist = np.full((b, width), np.inf, np.float32)
+    dist = np.full((b, width), np.inf)
     k = min(width, len(start))
     ids[:, :k] = start[:k]
     dist[:, :k] = 2 - 2 * q @ x[start[:k]].T
@@ -71,10 +74,14 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarr
         d = 2 - 2 * np.einsum("brd,bd->br", x[near], q[on])
         known = (near[:, :, None] == ids[on][:, None, :]).any(2)
         d[known | (near < 0)] = np.inf
-        ids[on], dist[on], done[on] = _merge(ids[on], dist[on], done[on], np.where(np.isinf(d), -1, near), d.astype(np.float32), width)
+        ids[on], dist[on], done[on] = _merge(ids[on], dist[on], done[on], np.where(np.isinf(d), -1, near), d, width)
         done |= ids < 0
 
 
+def _batch(x: np.ndarray) -> int:
+    return max(8, min(BATCH, BATCH * BATCH_DIM // x.shape[1]))
+
+
 def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each point at most ``degree`` diverse neighbours out of its candidates (-1: none), all points at once."""
     d = np.maximum(2 - 2 * np.einsum("bcd,bd->bc", x[cand], x[points]), 0)
@@ -107,14 +114,14 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     order = np.concatenate((start, order[order != medoid]))
     start = order[:STARTS].copy()
     at, size = 0, 1
-    while at < n:  # batches double until they reach BATCH, so that early points see most of their predecessors
+    while at < n:  # batches double until they are whole, so that early points see most of their predecessors
         points = order[at : at + size]
         found, _ = beam_search(x, graph, start, x[points], beam)
         graph[points] = robust_prune(x, points, found, degree, alpha)
         _reverse(x, graph, points, degree, alpha)
-        at, size = at + len(points), min(BATCH, max(1, at + len(points)))
-    for at in range(0, n, BATCH):  # a second look at every point, now over the whole graph
-        points = order[at : at + BATCH]
+        at, size = at + len(points), min(_batch(x), max(1, at + len(points)))
+    for at in range(0, n, _batch(x)):  # a second look at every point, now over the whole graph
+        points = order[at : at + _batch(x)]
         found, _ = beam_search(x, graph, start, x[points], beam)
         graph[points] = robust_prune(x, points, np.concatenate((found, graph[points]), 1), degree, alpha)
         _reverse(x, graph, points, degree, alpha)
@@ -135,7 +142,7 @@ def _attach(x: np.ndarray, graph: np.ndarray, start: np.ndarray, beam: int) -> n
         lost = np.flatnonzero(~seen).astype(np.int32)
         if not len(lost):
             return graph
-        lost = lost[:BATCH]
+        lost = lost[: _batch(x)]
         found, _ = beam_search(x, graph, start, x[lost], beam)
         source = found[:, 0]
         rank = np.zeros(len(lost), np.int64)
@@ -155,11 +162,12 @@ def _reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, degree: int,
     order = np.argsort(to, kind="stable")
     to, back = to[order], back[order]
     nodes, first, count = np.unique(to, return_index=True, return_counts=True)
-    for lo in range(0, len(nodes), BATCH):
-        some, most = nodes[lo : lo + BATCH], int(count[lo : lo + BATCH].max(initial=0))
+    step = _batch(x)
+    for lo in range(0, len(nodes), step):
+        some, most = nodes[lo : lo + step], int(count[lo : lo + step].max(initial=0))
         cand = np.full((len(some), degree + most), -1, np.int32)
         cand[:, :degree] = graph[some]
-        for i, (f, c) in enumerate(zip(first[lo : lo + BATCH], count[lo : lo + BATCH], strict=True)):
+        for i, (f, c) in enumerate(zip(first[lo : lo + step], count[lo : lo + step], strict=True)):
             new = back[f : f + c]
             new = new[~np.isin(new, cand[i, :degree])]
             cand[i, degree : degree + len(new)] = new
@@ -184,10 +192,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _build_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The graphs of one task's shards; a task has one shard, for each length of vectors."""
+    rows = pd.concat([pd.DataFrame(columns=["dim", "shard"]), *batches])
+    for _, part in rows.groupby(["dim", "shard"]):
+        yield _build_shard(part.sort_values("id", kind="stable"))
+
+
 def _build_shard(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("id", kind="stable")
     v = np.array(part["v"].to_list(), np.float64)
-    graph, start = build(_unit(v).astype(np.float32))
+    graph, start = build(_unit(v))
     ids = part["ids"].to_list()
     return pd.DataFrame(
         {"dim": part["dim"].iloc[:1].to_list(), "shard": part["shard"].iloc[:1].to_list(), "n": [len(v)], "vectors": [v.tobytes()], "graph": [graph.tobytes()], "start": [start.tobytes()],
@@ -203,11 +217,11 @@ def search_shard(row, k: int) -> pd.DataFrame:
     v = np.frombuffer(row.vectors, np.float64).reshape(row.n, row.dim)
     q = np.array(list(row.q), np.float64).reshape(-1, row.dim)
     x, unit = _unit(v), _unit(q)
-    found, _ = beam_search(x.astype(np.float32), np.frombuffer(row.graph, np.int32).reshape(row.n, -1), np.frombuffer(row.start, np.int32), unit.astype(np.float32), SEARCH_BEAM)
+    found, _ = beam_search(x, np.frombuffer(row.graph, np.int32).reshape(row.n, -1), np.frombuffer(row.start, np.int32), unit, SEARCH_BEAM)
     ids = np.split(np.frombuffer(row.ids, np.int64), np.cumsum(np.frombuffer(row.n_ids, np.int64))[:-1])
     out = []
     for query, own, u, near in zip(row.qid, q, unit, found, strict=True):
-        near = near[near >= 0][: 8 * (k + 1)]
+        near = near[near >= 0]
         exact = np.clip((x[near] * u).sum(1), -1, 1)
         exact[(v[near] == own).all(1)] = 1.0
         hits = [(-s, int(i)) for s, p in zip(exact, near, strict=True) for i in ids[p] if i != query]
@@ -223,7 +237,8 @@ def index(vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "
     points = common.stage(points, "points")
     shards = max(1, math.ceil(points.count() / SHARD))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"))
-    return common.stage(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX), "index")
+    # Shards are small in bytes and costly to build, so each is a partition of its own, which adaptive execution keeps.
+    return common.stage(dealt.repartitionById(shards, F.col("shard")).mapInPandas(_build_shards, _INDEX), "index")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -235,8 +250,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "v
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
     packed = packed.groupBy("dim", "block").agg(F.collect_list("id").alias("qid"), F.flatten(F.collect_list("v")).alias("q"))
-    keys = graph.select("dim", "shard")
-    met = packed.join(keys, "dim").join(graph, ["dim", "shard"])
+    # Each block goes to each shard by the shard's number; shards of another vector length drop out in the join.
+    shards = graph.agg(F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()[0]
+    numbers = F.sequence(F.lit(0), F.lit(shards - 1)) if shards else F.array().cast("array<int>")
+    packed = packed.withColumn("shard", F.explode(numbers)).repartition(max(1, shards), "dim", "shard")
+    met = packed.join(graph.repartition(max(1, shards), "dim", "shard").hint("merge"), ["dim", "shard"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
