@@ -60,12 +60,15 @@ def keys_of(url: Column) -> Column:
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, url, fetched, host, n_active, lists, blocked`` of each capture ``page_id, url, fetched``."""
-    rows = captures.select("page_id", "url", "fetched").withColumn("_key", F.explode_outer(keys_of(F.col("url"))))
-    rows = rows.select("page_id", "url", "fetched", "_key.kind", "_key.pattern")
+    captures = captures.select("page_id", "url", "fetched")
+    rows = captures.select("*", F.explode(keys_of(F.col("url"))).alias("_key")).select("page_id", "url", "fetched", "_key.kind", "_key.pattern")
     active = (F.col("fetched") >= F.col("starts")) & (F.col("fetched") < F.col("ends"))
     listed = intervals(entries).withColumnsRenamed({"kind": "_kind", "pattern": "_pattern"})
-    joined = rows.join(listed, (F.col("kind") == F.col("_kind")) & (F.col("pattern") == F.col("_pattern")) & active, "left")
-    found = joined.groupBy("page_id", "url", "fetched").agg(F.count("list").alias("n_active"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
+    hits = rows.join(listed, (F.col("kind") == F.col("_kind")) & (F.col("pattern") == F.col("_pattern")) & active)
+    hits = hits.select("page_id", "url", "fetched", "list")
+    # Only hits meet their captures again; null lists stand for the captures themselves, of which repeats become one.
+    found = hits.union(captures.withColumn("list", F.lit(None).cast("string"))).groupBy("page_id", "url", "fetched")
+    found = found.agg(F.count("list").alias("n_active"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
     return found.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"), "n_active", "lists", (F.col("n_active") > 0).alias("blocked"))
 
 
