@@ -58,8 +58,7 @@ def _anchors():
         for d in DIGITS:
             a.add_word(d, ("0", 1))
         for cue in CUES:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(form, ("cue", len(form)))
+            a.add_word(cue, ("cue", len(cue)))
         for scheme in SCHEMES:
             a.add_word(scheme, ("scheme", len(scheme)))
         a.make_automaton()
@@ -173,13 +172,18 @@ def _userinfo(text: str, schemes: list[int]) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _folded(text: str) -> str:
+    """Lower case, code point by code point: only one capital letter would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """All spans as ``(start, kind, end)``, by start and then kind."""
     if not text:
         return []
     ats, pluses, cues, schemes = [], [], [], []
     runs: list[tuple[int, int]] = []
-    for last, (what, _) in _anchors().iter(text):
+    for last, (what, _) in _anchors().iter(_folded(text)):
         if what == "0":
             if runs and runs[-1][1] == last:
                 runs[-1] = (runs[-1][0], last + 1)
@@ -242,9 +246,9 @@ def _redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with a struct column ``_pii``: counts, digest and spans of each whole text."""
+    """``row``, a document with all its columns, and a struct ``pii``: counts, digest and spans of its whole text."""
     common.prepare(documents.sparkSession)
-    return documents.withColumn("_pii", pandas_udf(_scan, SCAN)(F.col(text)))
+    return documents.select(common.whole_row(documents).alias("row"), pandas_udf(_scan, SCAN)(F.col(text)).alias("pii"))
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -255,4 +259,4 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs).select("doc_id", "_pii.*")
+    return scan(docs).select("row.doc_id", "pii.*")
