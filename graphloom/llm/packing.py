@@ -7,10 +7,15 @@ however frequent, meets in one task.
 
 The search (``plan``) is bin completion with branch and bound. The largest remaining length opens a bin; its undominated
 fillings are enumerated, best-filled first, and each is used as often as the histogram allows. A filling is dominated if some
-of its items could be exchanged for one larger unused item that still fits. A node is pruned when the bins used plus the
+of its items could be exchanged for one larger unused item that still fits (of more than six items, the test covers single
+items and pairs). A node is pruned when the bins used plus the
 waste bound - remaining tokens over capacity, or the number of remaining lengths over half the capacity - reach the
-incumbent. Best-fit decreasing on the histogram gives the first incumbent, and every leaf may replace it. The search ends
-at the lower bound, ``AFTER_LEAF`` nodes after the last better leaf, or after ``NODES`` nodes; it then returns the incumbent, which packs every piece in any case.
+incumbent. Best-fit decreasing on the histogram gives the first incumbent, and every leaf may replace it.
+
+The search is bounded, so the plan is not always optimal, but it packs every piece in any case. A node tries ``FILLINGS``
+fillings at most: waste-free ones first, of which the first ``FILLINGS`` that a pair or three items close are looked up, and
+otherwise the best-filled of those met in ``_STEPS`` steps and of a greedy one. The search ends at the lower bound,
+``AFTER_LEAF`` nodes after the last better leaf, or after ``NODES`` nodes, and returns the incumbent.
 
 Defined results
 ---------------
