@@ -21,7 +21,7 @@ MIX = replace(mixing.TARGETS, max_epochs=1)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules or the classifier reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rules.apply_rules(docs, labels).filter("_rules.kept").select(*docs.columns)
+    return rules.apply_rules(docs, labels).filter("rules.kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
