@@ -99,21 +99,23 @@ def adjacency(edges: DataFrame, types: tuple[str, ...] | None = None, directed:
     return rows.distinct() if typed else rows.select("at", "to").distinct()
 
 
-def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int, mark_start: bool = True) -> DataFrame:
+def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int, mark_start: bool = True, symmetric: bool = False) -> DataFrame:
     """``keys, id, depth``: the least number of hops, at most ``max_depth``, from a row ``keys, id`` of ``start``.
 
     ``adj`` may carry some of ``keys`` (an edge type), which then hold along the whole path. With ``mark_start`` the start is
-    found at depth 0; else it is only found if a path leads back to it.
+    found at depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads
+    to depths d - 1, d and d + 1 only, so no earlier level is read again.
     """
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
+    adj = materialize(adj, "adjacency") if max_depth > 1 else adj
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
     for depth in range(1, max_depth + 1):
         step = front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id")).distinct()
         if levels:
-            seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in levels])
+            seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in (levels[-2:] if symmetric else levels)])
             step = step.join(seen, [*keys, "id"], "left_anti")
         front = materialize(step, "front")
         if front.isEmpty():
@@ -125,7 +127,7 @@ def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int,
 def bfs(graph: Graph, seeds: DataFrame, max_depth: int, types: tuple[str, ...] | None = None) -> DataFrame:
     """``context_id, start_id, id, depth`` over undirected edges from ``seeds (context_id, start_id)``; no types: all."""
     start = seeds.withColumn("id", F.col("start_id"))
-    return traverse(start, adjacency(graph.edges, types or None), ["context_id", "start_id"], max_depth)
+    return traverse(start, adjacency(graph.edges, types or None), ["context_id", "start_id"], max_depth, symmetric=True)
 
 
 def collapse(found: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def bfs_typed(graph: Graph, seeds: DataFrame, max_depth: int, types: tuple[str,
     spark = seeds.sparkSession
     kinds = spark.createDataFrame([(t,) for t in use], "etype string")
     start = seeds.withColumn("id", F.col("start_id")).join(F.broadcast(kinds), F.lit(True))  # at most as many rows as types
-    found = traverse(start, adjacency(graph.edges, tuple(use) or ("",), typed=True), ["context_id", "start_id", "etype"], max_depth)
+    found = traverse(start, adjacency(graph.edges, tuple(use) or ("",), typed=True), ["context_id", "start_id", "etype"], max_depth, symmetric=True)
     return found.groupBy("context_id", "id", "etype").agg(F.min("depth").alias("depth"))
 
 

@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and all is one process, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
