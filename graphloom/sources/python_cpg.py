@@ -345,14 +345,39 @@ def _tokens(source: str) -> Iterator[tokenize.TokenInfo]:
         return
 
 
+def salvage(source: str) -> str:
+    """A source with a syntax error without those top-level blocks that do not parse; all else keeps its place in bytes."""
+    lines = source.splitlines(keepends=True)
+    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not re.match(r"(else|elif|except|finally)\b", x)]
+    starts = [i for k, i in enumerate(starts) if not k or not lines[starts[k - 1]].startswith("@")]  # decorators stay with theirs
+    out = lines[: starts[0]] if starts else []
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        block = "".join(lines[a:b])
+        try:
+            ast.parse(block)
+        except (SyntaxError, ValueError, RecursionError):
+            block = "".join(c if c in "\r\n" else " " * len(c.encode("utf-8", "surrogatepass")) for c in block)
+        out.append(block)
+    return "".join(out)
+
+
 def parse(path: str, content: bytes, imported: dict[str, str] | None = None) -> dict[str, list]:
-    """``nodes, edges, exports, imports, errors`` of one file, in source order."""
-    f = _File(path, decode(content), dict(imported or {}))
-    try:
-        f.module()
-        return {"nodes": list(f.nodes.values()), "edges": f.edges, "exports": f.exports(), "imports": f.imports(), "errors": []}
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return {"nodes": [], "edges": [], "exports": [], "imports": [], "errors": [f"{type(e).__name__}: {e}"]}
+    """``nodes, edges, exports, imports, errors`` of one file, in source order.
+
+    Of a file with a syntax error, what parses is kept beside the error.
+    """
+    errors: list[str] = []
+    source = decode(content)
+    for again in (True, False):
+        f = _File(path, source, dict(imported or {}))
+        try:
+            f.module()
+            return {"nodes": list(f.nodes.values()), "edges": f.edges, "exports": f.exports(), "imports": f.imports(), "errors": errors}
+        except (SyntaxError, ValueError, RecursionError) as e:
+            errors.append(f"{type(e).__name__}: {e}")
+            if again:
+                source = salvage(source)
+    return {"nodes": [], "edges": [], "exports": [], "imports": [], "errors": errors[:1]}
 
 
 ROWS = "what string, ord bigint, a string, b string, c string, d string, file_path string, line_start int, line_end int, name string, kind string"
