@@ -13,7 +13,7 @@ from graphloom import config
 from graphloom.config import BudgetConfig, Coefficients
 from graphloom.operators import datasets, graph, reports
 from graphloom.operators.ranking import STRATEGIES
-from graphloom.plans import scan, tuning
+from graphloom.plans import benchmark, scan, tuning
 from graphloom.sources import analyzers, tables
 
 
@@ -44,6 +44,17 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("out")
     b.add_argument("--min-score", type=int, default=4)
     b.add_argument("--limit", type=int)
+    c = sub.add_parser("compare-rankings", help="a dataset a strategy, and entries, from pairs and their contexts")
+    c.add_argument("dataset")
+    c.add_argument("files", help="Parquet of both checkouts: repo_url, hash, is_vulnerable, file_path, content")
+    c.add_argument("contexts", help="Parquet of strategy, context_id, text")
+    c.add_argument("out")
+    c.add_argument("--name", default="benchmark")
+    c.add_argument("--strategies", default=",".join(sorted(STRATEGIES)))
+    c.add_argument("--min-score", type=int, default=4)
+    c.add_argument("--budget", type=int, default=2048)
+    c.add_argument("--max-repo-bytes", type=int)
+    c.add_argument("--limit", type=int)
     m = sub.add_parser("merge", help="merge JSON datasets, the first of equal samples stays")
     m.add_argument("inputs", nargs="+")
     m.add_argument("out")
@@ -107,11 +118,21 @@ def main(argv: list[str] | None = None) -> int:
         pairs = datasets.usable_fixes(rows, a.min_score)
         samples = datasets.number_samples(pairs, "sample", a.limit)
         samples.withColumn("code", F.when(F.col("label") == 1, F.col("func_before")).otherwise(F.col("func_after"))).drop("func_before", "func_after").write.mode("overwrite").json(a.out)
+    elif a.command == "compare-rankings":
+        rows = datasets.coerce_fixes(tables.load(spark, a.dataset)).withColumn("ord", F.monotonically_increasing_id())
+        files = spark.read.parquet(a.files)
+        pairs = datasets.pairs_within_budget(datasets.fix_pairs(datasets.usable_fixes(rows, a.min_score), files), a.budget)
+        if a.max_repo_bytes is not None:
+            pairs = datasets.pairs_of_small_repositories(pairs, files, a.max_repo_bytes)
+        names = a.strategies.split(",")
+        found = benchmark.samples(pairs, spark.read.parquet(a.contexts), names, limit=a.limit)
+        print(json.dumps(benchmark.write(found, a.out, a.name, names)))
     elif a.command == "merge":
         rows = None
         for k, path in enumerate(a.inputs):
             one = spark.read.json(path).withColumn("ord", F.lit(k << 40) + F.monotonically_increasing_id())
             rows = one if rows is None else datasets.concat(rows, one)
+        datasets.check_same_kind(rows)
         (rows if a.keep_duplicates else datasets.merge_datasets(rows)).drop("ord").write.mode("overwrite").json(a.out)
     elif a.command == "tune":
         nodes = spark.read.parquet(a.nodes)

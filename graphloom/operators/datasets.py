@@ -94,8 +94,8 @@ def cve_entries(rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- pairs and samples
 
-def locate(files: DataFrame, needles: DataFrame) -> DataFrame:
-    """``needles`` (``file_path, code``) with ``start_line, end_line`` of their first hit in ``files (file_path, content)``.
+def locate(files: DataFrame, needles: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """``needles`` (``keys``, ``code``) with ``start_line, end_line`` of their first hit in ``files`` (``keys``, ``content``).
 
     Lines are compared right-trimmed, then with white space collapsed, then dedented; blank lines do not count.
     """
@@ -108,7 +108,7 @@ def locate(files: DataFrame, needles: DataFrame) -> DataFrame:
 
     find.__annotations__ = {"content": pd.Series, "code": pd.Series, "return": pd.DataFrame}
     hit = pandas_udf(find, "start_line int, end_line int")(F.col("content"), F.col("code"))
-    return needles.join(files, "file_path").withColumn("_hit", hit).select(*needles.columns, "_hit.*")
+    return needles.join(files.select(*keys, "content"), list(keys)).withColumn("_hit", hit).select(*needles.columns, "_hit.*")
 
 
 def find_lines(content: str | None, code: str | None) -> tuple[int, int] | None:
@@ -148,6 +148,46 @@ def number_samples(pairs: DataFrame, prefix: str, limit: int | None = None, orde
     return rows.select(F.concat(F.lit(prefix + "-"), F.col("_s.n").cast("string")).alias("sample_id"), F.col("_s.label").alias("label"), *[c for c in pairs.columns])
 
 
+def fix_pairs(fixes: DataFrame, files: DataFrame, least_found: int = 1) -> DataFrame:
+    """Two rows a commit, ``is_vulnerable`` and not, with what is common to its usable ``fixes`` and where their code stands.
+
+    ``files`` are both checkouts, ``repo_url, hash, is_vulnerable, file_path, content``. A function counts if it is found on
+    both sides; a commit without such a function has no pair. ``files`` of the result holds paths, first seen first, with spans
+    in row order; ``func_code`` joins the functions' texts; the rest is that of the commit's first row.
+    """
+    side = F.explode(F.array(F.struct(F.lit(True).alias("is_vulnerable"), F.col("func_before").alias("code")), F.struct(F.lit(False).alias("is_vulnerable"), F.col("func_after").alias("code"))))
+    commit = [F.col("commit.repo_url").alias("repo_url"), F.col("commit.hash").alias("hash")]
+    needles = fixes.select(*commit, "ord", F.col("file_name").alias("file_path"), side.alias("s")).select("repo_url", "hash", "ord", "file_path", "s.*")
+    keys = ("repo_url", "hash", "is_vulnerable", "file_path")
+    found = materialize(locate(files, needles, keys).filter("start_line is not null"), "located")
+    both = found.groupBy("repo_url", "hash", "ord").agg(F.count_distinct("is_vulnerable").alias("n")).filter("n = 2").drop("n")
+    found = found.join(both, ["repo_url", "hash", "ord"], "left_semi")
+    side_keys = ["repo_url", "hash", "is_vulnerable"]
+    spans_of = F.transform(F.array_sort(F.collect_list(F.struct("ord", "start_line", "end_line"))), lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
+    per_file = found.groupBy(*side_keys, "file_path").agg(F.min("ord").alias("first"), spans_of.alias("spans"))
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("first", "file_path", "spans"))), lambda x: F.struct(x["file_path"].alias("file_path"), x["spans"].alias("spans")))
+    per_side = per_file.groupBy(*side_keys).agg(paths.alias("files"))
+    codes = found.groupBy(*side_keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x["code"]), "\n").alias("func_code"), F.count(F.lit(1)).alias("n_found"))
+    head = ["commit_url", "file_name", "cve_id", "cwe_ids", "vulnerability_score", "commit_msg"]
+    named = fixes.select(*commit, "ord", *head).groupBy("repo_url", "hash").agg(F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in head])
+    out = named.join(codes.filter(F.col("n_found") >= least_found), ["repo_url", "hash"]).join(per_side, side_keys)
+    return out.withColumn("cwe_id", F.get("cwe_ids", F.lit(0))).withColumn("pair_id", F.concat_ws("@", "repo_url", "hash")).drop("n_found")
+
+
+def pairs_within_budget(pairs: DataFrame, budget: int) -> DataFrame:
+    """Pairs whose code, on both sides, is within the budget of tokens."""
+    over = pairs.filter(text.tokens(F.col("func_code")) > budget).select("pair_id").distinct()
+    return pairs.join(over, "pair_id", "left_anti")
+
+
+def pairs_of_small_repositories(pairs: DataFrame, files: DataFrame, most_bytes: int) -> DataFrame:
+    """Pairs both of whose checkouts hold at most ``most_bytes``, ``.git`` not counted."""
+    counted = files.filter(~F.array_contains(F.split("file_path", "/"), ".git"))
+    size = counted.groupBy("repo_url", "hash", "is_vulnerable").agg(F.sum(F.octet_length("content")).alias("n"))
+    large = size.filter(F.col("n") > most_bytes).select("repo_url", "hash").distinct()
+    return pairs.join(large, ["repo_url", "hash"], "left_anti")
+
+
 def within_budget(rows: DataFrame, budget: int, column: str = "text") -> DataFrame:
     return rows.filter(text.tokens(F.col(column)) <= budget)
 
@@ -160,6 +200,13 @@ def all_strategies_present(rows: DataFrame, n_strategies: int) -> DataFrame:
 
 # ---------------------------------------------------------------- merging and counting
 
+def check_same_kind(datasets: DataFrame) -> None:
+    """Datasets of different names or task types must not be merged."""
+    kinds = [c for c in ("name", "task_type") if c in datasets.columns]
+    if kinds and len(datasets.select(*kinds).distinct().limit(2).collect()) > 1:
+        raise ValueError("datasets differ in name or task_type")
+
+
 def merge_datasets(datasets: DataFrame) -> DataFrame:
     """The first of the samples that share a CVE and label, or, without a CVE, are equal as a whole; in order ``ord``."""
     body = F.to_json(F.struct(*sorted(c for c in datasets.columns if c != "ord")))

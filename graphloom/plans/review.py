@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,60 @@ def ask(prompts: DataFrame, send: Send, concurrency: int = 8) -> DataFrame:
     return prompts.select("sample_id", "prompt").mapInPandas(run, "sample_id string, prompt string, response string, error string")
 
 
+class Batches(Protocol):
+    """A server that takes many requests at once: ``submit`` gives a name, ``status`` says how it stands, ``results`` come by id."""
+
+    def submit(self, requests: list[dict]) -> str: ...
+
+    def status(self, name: str) -> str: ...
+
+    def results(self, name: str) -> Iterable[tuple[str, str | None, str | None]]: ...
+
+
+#: States after which a batch does not change.
+FINAL = frozenset({"ended", "canceled", "expired"})
+
+
+def ask_batches(prompts: DataFrame, connect: Callable[[], Batches], size: int = 10_000, every: float = 30.0, timeout: float = 86_400.0, **options) -> DataFrame:
+    """As :func:`ask`, in batches of at most ``size`` requests of a partition; what a batch does not answer is an error row.
+
+    A task that is run again submits its batch again, so a lost executor costs requests, never answers.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        server, held = connect(), []
+        for frame in frames:
+            held += list(zip(frame["sample_id"], frame["prompt"], strict=True))
+            while len(held) >= size:
+                yield _batch(server, held[:size], every, timeout, options)
+                held = held[size:]
+        if held:
+            yield _batch(server, held, every, timeout, options)
+
+    return prompts.select("sample_id", "prompt").mapInPandas(run, "sample_id string, prompt string, response string, error string")
+
+
+def _batch(server: Batches, held: list[tuple[str, str]], every: float, timeout: float, options: dict) -> pd.DataFrame:
+    name = server.submit([{"custom_id": i, **request(p, **options)} for i, p in held])
+    end = time.monotonic() + timeout
+    while (status := server.status(name)) not in FINAL and time.monotonic() < end:
+        time.sleep(every)
+    got = {i: (t, e) for i, t, e in server.results(name)} if status in FINAL else {}
+    missing = (None, "no result" if status in FINAL else f"no end within {timeout:.0f} s")
+    return pd.DataFrame([(i, p, *got.get(i, missing)) for i, p in held], columns=["sample_id", "prompt", "response", "error"])
+
+
+def request(prompt: str, system: str | None = None, max_tokens: int = 1024, temperature: float = 0.0, seed: int = 42, **more) -> dict:
+    """A chat request; ``more`` (a repetition penalty, a response format) goes along where it is set."""
+    said = [{"role": "system", "content": system}] if system else []
+    return {"messages": [*said, {"role": "user", "content": prompt}], "max_tokens": max_tokens, "temperature": temperature, "seed": seed, **{k: v for k, v in more.items() if v is not None}}
+
+
+def reply(message: dict) -> str:
+    """The text of an answer; of one that is all reasoning, the reasoning."""
+    return (message.get("content") or "").strip() or (message.get("reasoning_content") or message.get("reasoning") or "").strip()
+
+
 def answered(samples: DataFrame, responses: DataFrame) -> DataFrame:
     """``samples`` with the responses of a table; a missing one is an error row."""
     r = responses.select("sample_id", "response")
