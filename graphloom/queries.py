@@ -81,15 +81,24 @@ def node_upsert(spark, sf):
     return graph.last_write(rows, ["l_orderkey", "l_linenumber"], order, per_property=False).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query(f"with {A.TRADE_SQL} select src, dst, type from edges where src in (select identifier from nodes) and dst in (select identifier from nodes)")
+@query(f"""with {A.TRADE_SQL},
+more as (select * from edges union select 's:' || s_suppkey, 's:' || s_suppkey, 'USED_BY' from supplier where s_suppkey % 2 = 0),
+known as (select identifier from nodes where not (kind = 'supplier' and substr(identifier, 3)::bigint % 5 = 0) and not (kind = 'orders' and substr(identifier, 3)::bigint % 3 = 0))
+select src, dst, type from more where src in (select identifier from known) and dst in (select identifier from known)""")
 def edge_merge_endpoints(spark, sf):
-    edges = A.trade_edges(spark, sf).withColumns({"operation": F.lit(None).cast("string"), "ord": F.lit(0).cast("long")})
-    return graph.merge_edges(edges, A.trade_nodes(spark, sf)).select("src", "dst", "type")
+    """Self loops at every second supplier; every fifth supplier and third order is unknown, so edges dangle at either end."""
+    number = F.substring("identifier", 3, 30).cast("long")
+    unknown = (F.col("kind") == "supplier") & (number % 5 == 0) | (F.col("kind") == "orders") & (number % 3 == 0)
+    own = F.concat(F.lit("s:"), F.col("s_suppkey").cast("string"))
+    loops = A.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(own.alias("src"), own.alias("dst"), F.lit("USED_BY").alias("type"))
+    edges = A.trade_edges(spark, sf).union(loops).withColumns({"operation": F.lit(None).cast("string"), "ord": F.lit(0).cast("long")})
+    return graph.merge_edges(edges, A.trade_nodes(spark, sf).filter(~unknown)).select("src", "dst", "type")
 
 
 @query(f"with {A.TRADE_SQL} select type, count(*) as n from edges group by 1")
 def edge_type_counts(spark, sf):
-    return A.trade_edges(spark, sf).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    g = A.trade_graph(spark, sf)
+    return g.edges.filter(F.col("type").isin(*g.types)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- lookups and spans
