@@ -65,14 +65,17 @@ def _drop_staged() -> None:
 atexit.register(_drop_staged)
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and computes costly rows once.
 
-    Where the number of narrow ``rows`` is known beforehand, it sets how many tasks and files there are at most.
+    A ``narrow`` table, of a few numbers a row, is written by two tasks a core at most, so that many shuffle partitions do
+    not become as many tiny files. Where its number of ``rows`` is known beforehand, that sets the tasks.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(8, math.ceil(rows / ROWS_PER_FILE)))
+        df = df.coalesce(max(4, math.ceil(rows / ROWS_PER_FILE)))
+    elif narrow:
+        df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = f"{prepare(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))

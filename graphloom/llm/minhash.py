@@ -5,7 +5,7 @@
 2. Rows that share a band key are candidates. Buckets give star edges to their least id, never pairs; connected components
    of these edges are the *clusters* outside which no document can have a link (but for the stated miss of banding, 1e-7 a
    pair).
-3. Each text of a cluster of two or more is fetched once. A cluster that fits a block (``BLOCK`` documents, ``BLOCK_CHARS``
+3. Texts are fetched for clusters of two or more only. A cluster that fits a block (``BLOCK`` documents, ``BLOCK_CHARS``
    code points) is compared whole in one task. A larger one is first compared block by block, each with a few seeded
    centres, and what hangs together so far is a *part*. Only documents that share a bucket with another part can have a
    link that is still unknown. They meet again, either pair of blocks by pair of blocks or bucket by bucket, whichever of
@@ -53,7 +53,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def _signatures(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, digest, n_shingles, bands``; the digest and bands of an empty set are null."""
+    """``doc_id, text_hash, chars, digest, n_shingles, bands``; the digest and bands of an empty set are null."""
     rows, bands = sketch.choose_bands(percent / 100)
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -71,8 +71,9 @@ def _signatures(documents: DataFrame, width: int, percent: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["digest", "n_shingles", "bands"])
 
     signed = pandas_udf(sign, "digest binary, n_shingles long, bands array<long>")(F.col("_x"))
-    rows = documents.select("doc_id", F.col("text").alias("_x")).select("doc_id", F.xxhash64("_x").alias("text_hash"), signed.alias("_s"))
-    return rows.select("doc_id", "text_hash", "_s.*")
+    rows = documents.select("doc_id", F.col("text").alias("_x"))
+    rows = rows.select("doc_id", F.xxhash64("_x").alias("text_hash"), F.char_length("_x").cast("long").alias("chars"), signed.alias("_s"))
+    return rows.select("doc_id", "text_hash", "chars", "_s.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         return r[0], r[1]
 
-    e = common.stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = common.stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     now = signature(e)
     while n := now[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -151,14 +152,14 @@ def _unsettled(placed: DataFrame, heads: DataFrame) -> DataFrame:
     ``placed`` has ``cluster, id, chars, part``; ``heads`` has ``id, bands``. Buckets within one part are settled.
     """
     rows = heads.join(placed, "id").select("cluster", F.explode("bands").alias("bucket"), "id", "part", "chars")
-    rows = common.stage(rows.distinct(), "met")
+    rows = common.stage(rows.distinct(), "met", narrow=True)
     mixed = rows.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
-    mixed = common.stage(mixed.select("cluster", "bucket", "n"), "mixed")
-    rows = common.stage(rows.join(mixed.select("cluster", "bucket"), ["cluster", "bucket"], "left_semi"), "open")
+    mixed = common.stage(mixed.select("cluster", "bucket", "n"), "mixed", narrow=True)
+    rows = common.stage(rows.join(mixed.select("cluster", "bucket"), ["cluster", "bucket"], "left_semi"), "open", narrow=True)
     once = rows.select("cluster", F.lit(0).cast("long").alias("area"), "id", "part", "chars").distinct()
     by_bucket = mixed.groupBy("cluster").agg(F.sum("n").alias("bucket_rows"))
     main = _main(once).groupBy("cluster").agg(F.max(F.expr("s * w + (s + g) * loose")).alias("block_rows"))
-    mode = common.stage(by_bucket.join(main, "cluster").select("cluster", (F.col("bucket_rows") < F.col("block_rows")).alias("apart")), "mode")
+    mode = common.stage(by_bucket.join(main, "cluster").select("cluster", (F.col("bucket_rows") < F.col("block_rows")).alias("apart")), "mode", narrow=True)
     whole = once.join(mode.filter("not apart"), "cluster", "left_semi")
     apart = rows.join(mode.filter("apart"), "cluster", "left_semi")
     return whole.union(apart.select("cluster", F.col("bucket").alias("area"), "id", "part", "chars"))
@@ -175,7 +176,7 @@ def _main(rows: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """``cluster, area, i, j, id, part``: loose block ``i`` meets loose blocks ``j`` and, as ``(i, s + k)``, blocks ``k`` of the main part."""
-    main = common.stage(_main(rows), "main")
+    main = common.stage(_main(rows), "main", narrow=True)
     rows = rows.join(main, ["cluster", "area"]).withColumn("loose", F.col("part") != F.col("main"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit("rest")), F.when(F.col("loose"), F.col("s")).otherwise(F.col("g"))))
     tasks = F.when(
@@ -188,34 +189,36 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select("cluster", "area", "id", "part", F.explode(tasks).alias("task")).select("cluster", "area", "id", "part", "task.i", "task.j")
 
 
-def _verified(members: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between the members ``cluster, id, _x``, enough of them to connect all that is connected."""
-    compare, schema = _links(width, percent), "a long, b long"
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("_x")).alias("chars"))
-    sizes = common.stage(sizes.select("cluster", "n", _blocks(F.col("n"), F.col("chars")).alias("blocks")), "sizes")
-    small = members.join(sizes.filter("blocks = 1"), "cluster").select("cluster", "id", F.col("id").alias("part"), "_x")
-    links = small.groupBy("cluster").applyInPandas(compare, schema)
-    large = sizes.filter("blocks > 1")
-    if large.isEmpty():
-        return links
-    big = common.stage(members.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks")), "big")
+def _verified(texts: DataFrame, members: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between the members ``cluster, id, text_hash, chars``, enough of them to connect all that is connected."""
+    compare = _links(width, percent)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Tables of ids grow with the corpus, so texts and ids are merged, never broadcast, at every size."""
+        met = texts.join(rows.hint("merge"), ["id", "text_hash"])
+        return met.groupBy("cluster", "area", "i", "j").applyInPandas(compare, "a long, b long")
+
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    sizes = common.stage(sizes.select("cluster", "n", _blocks(F.col("n"), F.col("chars")).alias("blocks")), "sizes", narrow=True)
+    rows = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("id", F.lit("block")), "blocks"))
 
     # Centres, one bounded list a cluster, go to each block of their cluster.
     rank = Window.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit("centre")), "id")
-    first = big.select("cluster", "id").filter(F.pmod(F.xxhash64("id", F.lit("pick")), F.greatest(F.lit(1), F.floor(F.col("n") / (8 * CENTRES)))) == 0)
-    centres = first.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= CENTRES).select("cluster", "id")
-    centres = big.join(centres, ["cluster", "id"]).select("cluster", "id", "_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    around = big.select("cluster", "id", "_x", "block").union(centres.select("cluster", "id", "_x", "block"))
-    around = around.withColumn("part", F.col("id")).groupBy("cluster", "block").applyInPandas(compare, schema)
-    near = common.stage(around, "near")
-
-    placed = big.select("cluster", "id", F.char_length("_x").cast("long").alias("chars")).join(components(near), "id", "left")
-    placed = common.stage(placed.select("cluster", "id", "chars", F.coalesce("component", "id").alias("part")), "placed")
-    dealt = common.stage(_dealt(common.stage(_unsettled(placed, heads), "unsettled")), "dealt")
+    first = rows.filter("blocks > 1").filter(F.pmod(F.xxhash64("id", F.lit("pick")), F.greatest(F.lit(1), F.floor(F.col("n") / (8 * CENTRES)))) == 0)
+    centres = first.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= CENTRES)
+    centres = centres.withColumn("own", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("i <> own")
+    keys = ["cluster", F.lit(0).cast("long").alias("area"), "i", F.col("i").alias("j"), "id", "text_hash", F.col("id").alias("part")]
+    near = common.stage(compared(rows.select(*keys).union(centres.select(*keys))), "near", narrow=True)
+    large = rows.filter("blocks > 1")
+    if sizes.filter("blocks > 1").isEmpty():
+        return near
+
+    placed = large.select("cluster", "id", "chars").join(components(near), "id", "left")
+    placed = common.stage(placed.select("cluster", "id", "chars", F.coalesce("component", "id").alias("part")), "placed", narrow=True)
+    dealt = common.stage(_dealt(common.stage(_unsettled(placed, heads), "unsettled", narrow=True)), "dealt", narrow=True)
     if dealt.isEmpty():
-        return links.union(near)
-    met = dealt.join(big.select("id", "_x").hint("merge"), "id")
-    return links.union(near).union(met.groupBy("cluster", "area", "i", "j").applyInPandas(compare, schema))
+        return near
+    return near.union(compared(dealt.join(members.select("id", "text_hash"), "id")))
 
 
 def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,19 +226,19 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     common.prepare(documents.sparkSession)
     signed = common.stage(_signatures(documents, width, percent), "signatures")
     live = signed.filter("doc_id is not null and digest is not null")
-    classes = common.stage(live.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    heads = live.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    heads = heads.select(F.col("doc_id").alias("id"), "bands")
+    classes = live.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("h"))
+    classes = common.stage(classes.select("digest", F.col("h.doc_id").alias("id"), "h.text_hash"), "classes", narrow=True)
+    heads = live.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
     rows = heads.select("id", F.explode("bands").alias("bucket"))
     least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most")
     stars = rows.join(least.select("bucket", "b"), "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
-    clusters = common.stage(components(stars.distinct()).withColumnRenamed("component", "cluster"), "clusters")
-    texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("_x")).filter("id is not null")
-    # The table of clusters grows with the corpus: it is merged, never broadcast, at every size.
-    members = common.stage(texts.join(clusters.hint("merge"), "id").select("cluster", "id", "_x"), "members")
-    found = components(common.stage(_verified(members, heads, width, percent), "links"))
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    members = heads.select("id", "text_hash", "chars").distinct().join(clusters, "id").select("cluster", "id", "text_hash", "chars")
+    members = common.stage(members, "members", narrow=True)
+    texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("_x")).filter("id is not null").withColumn("text_hash", F.xxhash64("_x"))
+    found = components(_verified(texts, members, heads.select("id", "bands"), width, percent))
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    named = common.stage(named, "named")
+    named = common.stage(named, "named", narrow=True)
     out = signed.select("doc_id", "text_hash", "digest", "n_shingles").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
@@ -245,7 +248,7 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` that stay: one document of each group, all columns as they are."""
     gone = groups(documents.select("doc_id", "text"), width, percent).filter("not kept")
-    gone = common.stage(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
+    gone = common.stage(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone", narrow=True)
     return documents.join(gone.hint("merge"), (documents["doc_id"] == gone["_gone"]) & (F.xxhash64(documents["text"]) == gone["_gone_hash"]), "left_anti")
 
 

@@ -91,7 +91,7 @@ def budgets(tokens: DataFrame, t: Targets) -> DataFrame:
 
     A node can use what its children can use; one of weight 0 can use nothing, so nothing is set aside for it.
     """
-    leaf = common.stage(tokens.groupBy(*_TREE).agg(F.sum("_tokens").alias("_leaf_tokens")), "leaves")
+    leaf = common.stage(tokens.groupBy(*_TREE).agg(F.sum("_tokens").alias("_leaf_tokens")), "leaves", narrow=True)
 
     def weighed(rows: DataFrame, column: str, weights: dict[str, int]) -> DataFrame:
         usable = F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0)).cast("decimal(20,0)")
@@ -113,17 +113,17 @@ def cutoffs(tokens: DataFrame, t: Targets) -> DataFrame:
     whole = F.expr(f"case when _leaf_tokens > 0 then least(_part div _leaf_tokens, {t.max_epochs}) else 0 end")
     leaf = leaf.withColumn("_whole", whole.cast("int"))
     rest = F.when(F.col("_whole") < t.max_epochs, F.col("_part") - F.col("_whole") * F.col("_leaf_tokens")).otherwise(0)
-    leaf = common.stage(leaf.withColumn("_rest", rest.cast("long")), "parts")
+    leaf = common.stage(leaf.withColumn("_rest", rest.cast("long")), "parts", narrow=True)
     rows = tokens.join(leaf.select(*_TREE, "_whole", "_rest").filter("_rest > 0"), _TREE).withColumn("_digest", _digest(t.seed, "_whole"))
     rows = rows.select(*_TREE, "_rest", "_digest", "_tokens", F.substring("_digest", 1, 3).alias("_range"))
     ranges = rows.groupBy(*_TREE, "_range", "_rest").agg(F.sum("_tokens").alias("_n"))
     before = Window.partitionBy(*_TREE).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranges = common.stage(ranges.filter("_before <= _rest").select(*_TREE, "_range", "_before"), "ranges")
+    ranges = common.stage(ranges.filter("_before <= _rest").select(*_TREE, "_range", "_before"), "ranges", narrow=True)
     inside = Window.partitionBy(*_TREE, "_range").orderBy("_digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(ranges, [*_TREE, "_range"]).withColumn("_sum", F.col("_before") + F.sum("_tokens").over(inside))
     cut = rows.filter("_sum <= _rest").groupBy(*_TREE).agg(F.max("_digest").alias("_cutoff"))
-    return common.stage(leaf.join(cut, _TREE, "left").select(*_TREE, "_whole", "_cutoff"), "cutoffs")
+    return common.stage(leaf.join(cut, _TREE, "left").select(*_TREE, "_whole", "_cutoff"), "cutoffs", narrow=True)
 
 
 def _chosen(rows: DataFrame, tokens: DataFrame, t: Targets) -> DataFrame:
