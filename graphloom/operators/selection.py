@@ -6,6 +6,7 @@ neighbourhood of one finding. Everything else is columns.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -28,43 +29,61 @@ def greedy(scored: DataFrame, budget: int, b: BudgetConfig) -> DataFrame:
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ord", "identifier"], kind="stable").reset_index(drop=True)
-        left, roles, lines, used, order = dict.fromkeys(part.index), set(), defaultdict(set), 0, []
-        own_roles = [frozenset(r) for r in part["roles"]]
-        own_lines = [range(a, z + 1) for a, z in zip(part["clipped_start"], part["clipped_end"], strict=True)]
-        cost = [max(1.0, t**b.token_cost_power) for t in part["tokens"]]
-        cols = {c: part[c].to_list() for c in ("tokens", "score", "file_path", "line_start")}
-        while left:
-            best = None
-            for i in left:
-                if used + cols["tokens"][i] > effective:
-                    continue
-                seen, redundancy = lines[cols["file_path"][i]], 0.0
-                if seen and len(own_lines[i]):
-                    both = sum(x in seen for x in own_lines[i])
-                    redundancy = both / (len(own_lines[i]) + len(seen) - both)
-                gain = cols["score"][i] * (1 + b.role_coverage_bonus * len(own_roles[i] - roles)) * max(0.0, 1 - b.novelty_penalty * redundancy) / cost[i]
-                key = (-gain, -cols["score"][i], cols["file_path"][i], cols["line_start"][i])
-                if best is None or key < best[0]:
-                    best = (key, i)
-            if best is None:
-                break
-            i = best[1]
-            del left[i]
-            order.append(i)
-            roles |= own_roles[i]
-            used += cols["tokens"][i]
-            lines[cols["file_path"][i]].update(own_lines[i])
-        chosen = set(order)
-        roots = [i for i in order if part["depth"][i] == 0]
-        final = roots + [i for i in order if part["depth"][i] != 0] + [i for i in part.index if i not in chosen]
-        part = part.loc[final].reset_index(drop=True)
+        order = by_gain(part, effective, b)
+        place = pd.Series(len(part), index=part.index)  # of the rest, all behind
+        place.loc[order] = range(len(order))
+        part["selected"] = place < len(part)
+        part = part.assign(_late=~(part["selected"] & (part["depth"] == 0)), _place=place).sort_values(["_late", "_place"], kind="stable")
         part["rank"] = range(1, len(part) + 1)
-        part["selected"] = [i in chosen for i in final]
-        return part
+        return part[[f.name for f in schema]]
 
     return scored.groupBy("context_id").applyInPandas(choose, schema)
 
 
+def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
+    """The rows of one context in the order in which they are chosen, from a heap of gains.
+
+    A choice changes the gains of its own file, whose lines are now shown, and of the holders of roles that it is the first to
+    cover. Only those are put on the heap anew; what does not fit now never will.
+    """
+    columns = ["tokens", "score", "file_path", "line_start", "clipped_start", "clipped_end"]
+    tokens, score, path, line, first, last = (part[c].to_list() for c in columns)
+    roles = [frozenset(r) for r in part["roles"]]
+    cost = [max(1.0, t**b.token_cost_power) for t in tokens]
+    in_file, with_role, shown = defaultdict(list), defaultdict(list), defaultdict(set)
+    for i, f in enumerate(path):
+        in_file[f].append(i)
+        for r in roles[i]:
+            with_role[r].append(i)
+    covered: set[str] = set()
+    turn = [0] * len(part)  # of each row's valid entry; -1 once it is chosen
+
+    def entry(i: int) -> tuple:
+        own, seen = range(first[i], last[i] + 1), shown[path[i]]
+        both = sum(x in seen for x in own) if seen else 0
+        redundancy = both / (len(own) + len(seen) - both) if both else 0.0
+        gain = score[i] * (1 + b.role_coverage_bonus * len(roles[i] - covered)) * max(0.0, 1 - b.novelty_penalty * redundancy) / cost[i]
+        turn[i] += 1
+        return -gain, -score[i], path[i], line[i], i, turn[i]
+
+    heap = [entry(i) for i in range(len(part)) if tokens[i] <= budget]
+    heapq.heapify(heap)
+    order = []
+    while heap:
+        *_, i, at = heapq.heappop(heap)
+        if at != turn[i] or tokens[i] > budget:
+            continue
+        order.append(i)
+        turn[i], budget = -1, budget - tokens[i]
+        shown[path[i]].update(range(first[i], last[i] + 1))
+        new = roles[i] - covered
+        covered |= new
+        for j in set(in_file[path[i]]).union(*(with_role[r] for r in new)):
+            if turn[j] >= 0 and tokens[j] <= budget:
+                heapq.heappush(heap, entry(j))
+    return order
+
+
 def parents(roots: list[str], adjacent: dict[str, list[str]]) -> dict[str, str | None]:
     """The step towards the nearest root of each node that one reaches; of several, the least id of the level before."""
     parent: dict[str, str | None] = dict.fromkeys(sorted(roots))
