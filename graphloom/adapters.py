@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from graphloom.operators.graph import Graph, edge_types
 from graphloom.operators.ranking import Hints
+from graphloom.staging import materialize
 
 #: Words that occur in the corpus, in place of the default hints.
 HINTS = Hints(sink=("license",), source=("und",), guard=("les",))
@@ -53,7 +54,7 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    edges = trade_edges(spark, sf_dir).distinct()
+    edges = materialize(trade_edges(spark, sf_dir).distinct(), "edges")
     return Graph(trade_nodes(spark, sf_dir), edges, edge_types(edges))
 
 
@@ -101,7 +102,7 @@ def chunk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).withColumn("next", F.lead("doc_id").over(same))
     first = lambda c: F.concat(F.lit("chunk:"), F.col(c).cast("string"), F.lit(":0"))
     flows = docs.filter("next is not null").select(first("doc_id"), first("next"), F.lit("FLOWS_TO"))
-    return Graph(nodes, calls.union(flows), ("CALLS", "FLOWS_TO"))
+    return Graph(nodes, materialize(calls.union(flows), "edges"), ("CALLS", "FLOWS_TO"))
 
 
 def toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,13 +90,16 @@ def nodes_at_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- traversals
 
 def adjacency(edges: DataFrame, types: tuple[str, ...] | None = None, directed: str = "both", typed: bool = False) -> DataFrame:
-    """``at, to[, etype]`` without self loops; ``directed`` is ``both``, ``out`` or ``in``."""
+    """``at, to[, etype]`` without self loops; ``directed`` is ``both``, ``out`` or ``in``.
+
+    Edges are merged, so a row repeats only for other types or the opposite edge; a traversal's own steps drop that.
+    """
     e = edges.filter(F.col("type").isin(*types)) if types else edges
     e = e.filter("src <> dst") if directed == "both" else e
     out = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("type").alias("etype"))
     back = e.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.col("type").alias("etype"))
     rows = {"both": out.union(back), "out": out, "in": back}[directed]
-    return rows.distinct() if typed else rows.select("at", "to").distinct()
+    return rows if typed else rows.select("at", "to")
 
 
 def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int, mark_start: bool = True, symmetric: bool = False) -> DataFrame:
@@ -109,7 +112,6 @@ def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int,
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
-    adj = materialize(adj, "adjacency") if max_depth > 1 else adj
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
     for depth in range(1, max_depth + 1):

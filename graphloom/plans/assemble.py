@@ -47,9 +47,10 @@ def selected(g: Graph, context_spans: DataFrame, lines: DataFrame, strategy: str
 
 
 def selected_from(g: Graph, starts: DataFrame, lines: DataFrame, strategy: str, depth: int, budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
+    """``context_id, identifier, rank`` of the nodes to show. A written table: rendering reads it more than once."""
     order = ranked(g, starts, lines, strategy, depth, budget, coefficients, **options)
     near = graph.induced_edges(g, order, model.PATH_FILL_TYPES)
-    return selection.path_fill(order, near, lines, budget)
+    return materialize(selection.path_fill(order, near, lines, budget), "selected")
 
 
 def assemble(g: Graph, context_spans: DataFrame, lines: DataFrame, strategy: str = "cpg_structural", depth: int = 3, budget: int = 2048, coefficients: Coefficients | None = None, **options) -> DataFrame:
