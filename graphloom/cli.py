@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -14,7 +16,8 @@ from graphloom.config import BudgetConfig, Coefficients
 from graphloom.operators import datasets, graph, reports
 from graphloom.operators.ranking import STRATEGIES
 from graphloom.plans import benchmark, scan, tuning
-from graphloom.sources import analyzers, tables
+from graphloom.sources import analyzers, python_cpg, tables
+from graphloom.staging import materialize
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,6 +26,9 @@ def _parser() -> argparse.ArgumentParser:
     load = sub.add_parser("load", help="write the graph of a source tree as Parquet")
     load.add_argument("src")
     load.add_argument("out")
+    one = sub.add_parser("load-sample", help="write the graph of a single file as Parquet")
+    one.add_argument("file")
+    one.add_argument("out")
     s = sub.add_parser("scan", help="contexts and verdicts of findings, or of a diff's lines")
     s.add_argument("src")
     s.add_argument("--json-report")
@@ -59,13 +65,20 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("inputs", nargs="+")
     m.add_argument("out")
     m.add_argument("--keep-duplicates", action="store_true")
-    t = sub.add_parser("tune", help="search weights over labelled, scored nodes")
-    t.add_argument("nodes", help="Parquet with the four scores and a boolean label")
+    t = sub.add_parser("tune", help="search a strategy's weights over prepared contexts, or the combiner's over labelled, scored nodes")
+    t.add_argument("input", help="a prepared folder, with --send; or Parquet of nodes with the four scores and a boolean label")
     t.add_argument("out")
+    t.add_argument("--strategy", choices=sorted(tuning.SPACES), default="current")
+    t.add_argument("--send", metavar="MODULE:FUNCTION", help="from a prompt to a model's answer")
+    t.add_argument("--graph", help="the folder that load wrote, with --send")
+    t.add_argument("--src", help="the source tree, with --send")
+    t.add_argument("--labels", help="Parquet of context_id, label, with --send")
+    t.add_argument("--budget", type=int, default=2048)
     t.add_argument("--base")
     t.add_argument("--batches", type=int, default=3)
     t.add_argument("--size", type=int, default=16)
     t.add_argument("--threshold", type=float, default=0.5)
+    t.add_argument("--study", help="a folder of judged batches, to go on from")
     e = sub.add_parser("export-config", help="write a configuration with changed values")
     e.add_argument("kind", choices=["coefficients", "budget"])
     e.add_argument("out")
@@ -100,6 +113,28 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
     return reports.exit_code(verdicts, a.no_fail)
 
 
+def _tune(spark: SparkSession, a: argparse.Namespace) -> float:
+    kind = BudgetConfig if a.strategy == "evidence_budgeted" else Coefficients
+    base = config.load(kind, a.base) if a.base else kind()
+    if a.send:
+        module, name = a.send.split(":")
+        send = getattr(importlib.import_module(module), name)
+        nodes, labels = spark.read.parquet(f"{a.graph}/nodes"), spark.read.parquet(a.labels)
+        lines = materialize(tables.source_lines(python_cpg.scan(spark, a.src)), "lines")
+        edges, around = spark.read.parquet(f"{a.input}/edges"), spark.read.parquet(f"{a.input}/{'typed' if STRATEGIES[a.strategy].edge_paths else 'plain'}")
+        space = tuning.SPACES[a.strategy]
+        judge = lambda made: tuning.judged_contexts(around, edges, nodes, lines, labels, a.strategy, made, send, a.budget)
+    else:
+        if a.strategy != "current":
+            raise SystemExit("labelled nodes tune the combiner of current only; other strategies need --send")
+        nodes = spark.read.parquet(a.input)
+        space = {k: v for k, v in tuning.SPACES[a.strategy].items() if k.startswith("combiner.")}
+        judge = lambda made: tuning.trials(nodes, made, a.threshold)
+    best, accuracy = tuning.search(base, space, judge, a.batches, a.size, study=a.study)
+    config.save(best, a.out)
+    return accuracy
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "export-config":
@@ -113,6 +148,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "load":
         project = scan.load(spark, a.src)
         graph.write_graph(project.graph, a.out)
+    elif a.command == "load-sample":
+        folder, name = os.path.split(os.path.abspath(a.file))
+        g = scan.load(spark, folder, only=name).graph
+        graph.write_graph(g, a.out)
+        print(json.dumps({"nodes": g.nodes.count(), "edges": g.edges.count()}))
     elif a.command == "build-benchmark":
         rows = datasets.coerce_fixes(tables.load(spark, a.dataset)).withColumn("ord", F.monotonically_increasing_id())
         pairs = datasets.usable_fixes(rows, a.min_score)
@@ -135,12 +175,7 @@ def main(argv: list[str] | None = None) -> int:
         datasets.check_same_kind(rows)
         (rows if a.keep_duplicates else datasets.merge_datasets(rows)).drop("ord").write.mode("overwrite").json(a.out)
     elif a.command == "tune":
-        nodes = spark.read.parquet(a.nodes)
-        base = config.load(Coefficients, a.base) if a.base else Coefficients()
-        space = {f"combiner.{k}": (0.0, 1.0) for k in ("finding_evidence", "security_path", "taint", "context")}
-        best, accuracy = tuning.search(base, space, lambda made: tuning.trials(nodes, made, a.threshold), a.batches, a.size)
-        config.save(best, a.out)
-        print(json.dumps({"accuracy": accuracy}))
+        print(json.dumps({"accuracy": _tune(spark, a)}))
     return 0
 
 

@@ -21,6 +21,20 @@ def attach(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.nodes_at_points(nodes.select(F.col("identifier").alias("dst"), "file_path", "line_start", "line_end"), f).select("src", "dst").distinct()
 
 
+def merge(findings: DataFrame) -> DataFrame:
+    """One finding a tool and id: the last row in ``ord``, or in its own values where there is none, replaces the others whole."""
+    scalars = [c for c, t in findings.dtypes if c not in ("id", "tool", "ord") and not t.startswith("map")]
+    order = ["ord"] if "ord" in findings.columns else scalars
+    rows = graph.last_write(findings, ["id", "tool"], order, per_property=False)
+    return rows.withColumns({c: F.when(F.col("tool") == t, F.col(c)) for t, own in ((SEVERITY_TOOL, ("cwe_id", "severity")), (ISSUE_TOOL, ("issue_id",))) for c in own if c in rows.columns})
+
+
+def merge_reports(reports: DataFrame, findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One REPORTS edge for each finding and node, both known."""
+    known = reports.join(findings.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("identifier").alias("dst")), "dst", "left_semi")
+    return known.select("src", "dst").distinct()
+
+
 def tier(tool: Column, severity: Column, issue: Column) -> Column:
     return F.when(tool == SEVERITY_TOOL, F.upper(severity)).otherwise(scores.tier_of_issue(issue))
 

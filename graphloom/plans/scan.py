@@ -25,9 +25,9 @@ class Project:
     errors: DataFrame  # files that do not parse
 
 
-def load(spark: SparkSession, root: str, found: DataFrame | None = None, coefficients: Coefficients | None = None, hints: Hints = Hints()) -> Project:
-    """The graph of a source tree, its nodes with both security scores."""
-    files = materialize(python_cpg.scan(spark, root), "files")
+def load(spark: SparkSession, root: str, found: DataFrame | None = None, coefficients: Coefficients | None = None, hints: Hints = Hints(), only: str | None = None) -> Project:
+    """The graph of a source tree, or of the ``only`` file directly in it, its nodes with both security scores."""
+    files = materialize(python_cpg.scan(spark, root, only=only), "files")
     built = python_cpg.build(files)
     if clash := graph.conflicting_nodes(built["nodes"]).head(1):
         raise ValueError(f"two nodes share the id {clash[0]['identifier']}")
@@ -35,7 +35,8 @@ def load(spark: SparkSession, root: str, found: DataFrame | None = None, coeffic
     g = graph.load_graph(built["nodes"], built["edges"])
     if found is None:
         found = spark.createDataFrame([], "id string, tool string, file string, line_number int, cwe_id int, severity string, issue_id int, message string")
-    links = materialize(findings.attach(found, g.nodes), "reports")
+    found = materialize(findings.merge(found), "findings")
+    links = materialize(findings.merge_reports(findings.attach(found, g.nodes), found, g.nodes), "reports")
     nodes = findings.score_nodes(selection.snippets(g.nodes, lines), links, found, coefficients or Coefficients(), hints)
     return Project(Graph(materialize(nodes, "nodes"), g.edges, g.types), lines, found, links, built["errors"])
 

@@ -1,18 +1,86 @@
-"""Tuning as data: all weightings of a batch are scored in one job."""
+"""Tuning as data: all weightings of a batch are judged in one job, and a study's batches are rows that a later run goes on from."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable
 from dataclasses import asdict
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import config
-from graphloom.config import Coefficients
+from graphloom.config import BudgetConfig, Coefficients
 from graphloom.functions import scores
-from graphloom.operators import datasets
+from graphloom.operators import datasets, ranking, selection
+from graphloom.plans import review
+from graphloom.staging import materialize
+
+Config = Coefficients | BudgetConfig
+#: Bounds of a weight, by its dotted key; a third number is the step of a whole one.
+Space = dict[str, tuple[float, ...]]
+
+# The weights that each strategy is tuned by, and their bounds.
+_COMBINER: Space = {"combiner.finding_evidence": (0.1, 0.5), "combiner.security_path": (0.1, 0.5), "combiner.taint": (0.1, 0.5), "combiner.context": (0.1, 0.5)}
+_CONTEXT: Space = {"context_breakdown.depth": (0.2, 0.8), "context_breakdown.structure": (0.05, 0.5), "context_breakdown.file_prior": (0.05, 0.5)}
+_BREAKDOWNS: Space = {
+    "finding_evidence_breakdown.severity": (0.2, 0.7),
+    "finding_evidence_breakdown.confidence": (0.1, 0.6),
+    "finding_evidence_breakdown.agreement": (0.05, 0.5),
+    "security_path_breakdown.sink": (0.1, 0.5),
+    "security_path_breakdown.source": (0.1, 0.4),
+    "security_path_breakdown.guard": (0.05, 0.3),
+    "security_path_breakdown.path_evidence": (0.15, 0.6),
+    "security_path_breakdown.high_risk_cwe_evidence_base": (0.3, 0.9),
+    "structure_breakdown.render_kind": (0.05, 0.5),
+    "structure_breakdown.repeat_bonus": (0.5, 1.0),
+    "file_prior_breakdown.same_file": (0.3, 0.9),
+    "file_prior_breakdown.same_module": (0.1, 0.6),
+    "file_prior_breakdown.generated_penalty": (0.0, 0.5),
+}
+_EDGES: Space = {
+    "edge_type_weights.flows_to": (0.6, 1.0),
+    "edge_type_weights.sanitized_by": (0.5, 1.0),
+    "edge_type_weights.calls": (0.3, 0.9),
+    "edge_type_weights.called_by": (0.3, 0.9),
+    "edge_type_weights.defined_by": (0.3, 0.8),
+    "edge_type_weights.used_by": (0.2, 0.8),
+    "edge_type_weights.contains": (0.1, 0.6),
+    "edge_decay_rates.flows_to": (0.6, 0.95),
+    "edge_decay_rates.sanitized_by": (0.6, 0.95),
+    "edge_decay_rates.calls": (0.5, 0.9),
+    "edge_decay_rates.called_by": (0.5, 0.9),
+    "edge_decay_rates.defined_by": (0.5, 0.9),
+    "edge_decay_rates.used_by": (0.5, 0.9),
+    "edge_decay_rates.contains": (0.3, 0.8),
+    "sanitizer_bypass_bonus": (0.0, 0.5),
+    "sanitizer_presence_damp": (0.0, 1.0),
+}
+_BUDGET: Space = {
+    "depth_decay": (0.25, 1.2),
+    "context_strength": (0.1, 0.75),
+    "role_prior_temperature": (0.6, 1.8),
+    "finding_evidence_scale": (0.6, 1.5),
+    "taint_evidence_scale": (0.6, 1.5),
+    "cpg_role_evidence_scale": (0.6, 1.5),
+    "lexical_fallback_cap": (0.2, 0.6),
+    "token_cost_power": (0.0, 0.8),
+    "novelty_penalty": (0.0, 0.7),
+    "role_coverage_bonus": (0.05, 0.4),
+    "small_node_token_threshold": (120, 420, 20),
+    "local_window_radius": (1, 6, 1),
+    "budget_safety_ratio": (0.85, 1.0),
+}
+SPACES: dict[str, Space] = {
+    "current": _COMBINER | _CONTEXT | _BREAKDOWNS,
+    "multiplicative_boost": {"security_boost_weight": (0.25, 3.0)} | _CONTEXT | _BREAKDOWNS,
+    "cpg_structural": _COMBINER | _CONTEXT | _EDGES,
+    "evidence_budgeted": _BUDGET,
+}
+
+_STUDY = "batch int, config_id string, weights map<string,double>, accuracy double"
 
 
 def trials(nodes: DataFrame, configs: dict[str, Coefficients], threshold: float) -> DataFrame:
@@ -24,29 +92,86 @@ def trials(nodes: DataFrame, configs: dict[str, Coefficients], threshold: float)
     return datasets.accuracy(scored.select("config_id", (score >= threshold).alias("predicted"), "label"), ["config_id"])
 
 
+def judged_contexts(
+    around: DataFrame, edges: DataFrame, nodes: DataFrame, lines: DataFrame, labels: DataFrame, strategy: str, configs: dict[str, Config], send: review.Send,
+    budget: int = 2048, rescore: Callable[[DataFrame, Coefficients], DataFrame] | None = None,
+) -> DataFrame:
+    """``config_id, n, invalid, accuracy``: what ``send`` says of the contexts that ``strategy`` shows under each weighting.
+
+    ``around`` and ``edges`` are prepared neighbourhoods, which no weight changes; ``labels`` has ``context_id, label``.
+    ``rescore`` sets the two security scores anew where a weighting changes them. A labelled context that shows nothing
+    counts as an invalid answer.
+    """
+    shown = []
+    for name, c in configs.items():
+        scored = rescore(around, c) if rescore and isinstance(c, Coefficients) else around
+        weights = {"coefficients": c} if isinstance(c, Coefficients) else {"config": c}
+        order = ranking.rank(scored, strategy, budget=budget, **weights)
+        text = selection.render(selection.path_fill(order, edges, lines, budget), nodes, lines)
+        shown.append(text.select(F.lit(name).alias("config_id"), "context_id", "text"))
+    texts = reduce(DataFrame.unionByName, shown)
+    # The same text is asked about once, however many weightings show it.
+    texts = materialize(texts.withColumn("sample_id", F.sha1(F.col("text").cast("binary"))), "shown")
+    asked = texts.select("sample_id", review.prompt(F.col("text")).alias("prompt")).dropDuplicates(["sample_id"])
+    answers = materialize(review.ask(asked, send).select("sample_id", "response"), "answers")
+    names = labels.sparkSession.createDataFrame([(n,) for n in configs], "config_id string")
+    wanted = labels.select("context_id", F.col("label").cast("int").alias("label")).join(F.broadcast(names), F.lit(True))
+    rows = wanted.join(texts.join(answers, "sample_id"), ["config_id", "context_id"], "left")
+    return review.judge(rows, ["config_id"])
+
+
 def best(results: DataFrame) -> str | None:
     row = results.agg(F.max_by("config_id", F.struct("accuracy", "config_id")).alias("best")).first()
     return row["best"]
 
 
-def search(base: Coefficients, space: dict[str, tuple[float, float]], judge: Callable[[dict[str, Coefficients]], DataFrame], batches: int = 3, size: int = 16, seed: int = 7) -> tuple[Coefficients, float]:
-    """Random batches, each after the first drawn around the best so far; one ``judge`` job a batch gives the accuracies."""
-    rng, found, spread = random.Random(seed), {}, 1.0
+def _drawn(rng: random.Random, bounds: tuple[float, ...], around: float | None, spread: float) -> float:
+    lo, hi, *step = bounds
+    x = rng.uniform(lo, hi) if around is None else min(hi, max(lo, rng.gauss(around, spread * (hi - lo) / 4)))
+    return lo + step[0] * round((x - lo) / step[0]) if step else x
+
+
+def _at(c: Config, key: str) -> float:
+    now = asdict(c)
+    for part in key.split("."):
+        now = now[part]
+    return now
+
+
+def studied(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, config_id, weights, accuracy`` of the batches that a study has judged; of none, where there is no study yet."""
+    try:
+        return spark.read.schema(_STUDY).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _STUDY)
+
+
+def search(base: Config, space: Space, judge: Callable[[dict[str, Config]], DataFrame], batches: int = 3, size: int = 16, seed: int = 7, study: str | None = None) -> tuple[Config, float]:
+    """Random batches, each after the first drawn around the best so far; one ``judge`` job a batch gives the accuracies.
+
+    Each judged batch is added to the folder ``study``. A later search with the same arguments goes on after the last one
+    and ends where it would have ended at once; with more ``batches`` it goes further.
+    """
+    spark = SparkSession.active()
+    done = studied(spark, study).orderBy("batch", "config_id").collect() if study else []  # a row a trial
     top, top_score = base, -1.0
+
+    def better(row) -> bool:
+        return row["accuracy"] is not None and row["accuracy"] > top_score
+
     for b in range(batches):
-        made = {}
-        for i in range(size):
-            at = asdict(top)
-            changes = {}
-            for key, (lo, hi) in space.items():
-                now = at
-                for p in key.split("."):
-                    now = now[p]
-                changes[key] = rng.uniform(lo, hi) if b == 0 else min(hi, max(lo, rng.gauss(now, spread * (hi - lo) / 4)))
-            made[f"{b}-{i}"] = config.overlay(base, changes)
-        found |= made
-        results = judge(made).agg(F.max_by(F.struct("config_id", "accuracy"), F.struct("accuracy", "config_id")).alias("r")).first()["r"]
-        if results["accuracy"] > top_score:
-            top, top_score = found[results["config_id"]], results["accuracy"]
-        spread /= 2
+        rows = [r for r in done if r["batch"] == b]
+        if not rows:
+            rng = random.Random(f"{seed}-{b}")
+            made = {f"{b}-{i}": {k: _drawn(rng, v, None if b == 0 else _at(top, k), 0.5**b) for k, v in space.items()} for i in range(size)}
+            found = {r["config_id"]: r["accuracy"] for r in judge({n: config.overlay(base, w) for n, w in made.items()}).collect()}
+            rows = [{"batch": b, "config_id": n, "weights": {k: float(x) for k, x in w.items()}, "accuracy": found.get(n)} for n, w in sorted(made.items())]
+            if study:
+                spark.createDataFrame(rows, _STUDY).coalesce(1).write.mode("append").parquet(study)
+        for r in rows:
+            if better(r):
+                whole = {k: int(x) if len(space.get(k, ())) == 3 else x for k, x in r["weights"].items()}
+                top, top_score = config.overlay(base, whole), r["accuracy"]
     return top, top_score

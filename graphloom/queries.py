@@ -136,6 +136,33 @@ def point_interval_join(spark, sf):
     return findings.attach(_findings(spark, sf), _span_nodes(spark, sf))
 
 
+@query("""
+with f as (
+  select case when l_linestatus = 'F' then 'dlint' else 'bandit' end as tool, l_suppkey::varchar as id, l_orderkey::varchar as file, l_linenumber::int as line_number, (l_partkey % 120)::int as cwe_id,
+    case when l_quantity <= 16 then 'LOW' end as severity, (100 + l_suppkey % 45)::int as issue_id,
+    row_number() over (partition by l_linestatus = 'F', l_suppkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_quantity desc) as rn
+  from lineitem)
+select tool, id, file, line_number, case when tool = 'bandit' then cwe_id end as cwe_id, case when tool = 'bandit' then severity end as severity, case when tool = 'dlint' then issue_id end as issue_id from f where rn = 1""")
+def finding_upsert(spark, sf):
+    """Every supplier is a finding of either tool, written once a line; the last one stands, its null severity too."""
+    rows = A.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linestatus") == "F", "dlint").otherwise("bandit").alias("tool"), F.col("l_suppkey").cast("string").alias("id"), F.col("l_orderkey").cast("string").alias("file"),
+        F.col("l_linenumber").cast("int").alias("line_number"), F.expr("cast(l_partkey % 120 as int)").alias("cwe_id"), F.when(F.col("l_quantity") <= 16, "LOW").alias("severity"), F.expr("cast(100 + l_suppkey % 45 as int)").alias("issue_id"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("ord"),
+    )
+    return findings.merge(rows).drop("ord")
+
+
+@query(f"""with {_FINDINGS_SQL}, {_SPAN_NODES_SQL},
+hit as (select id as src, identifier as dst, severity from f join sn on file = file_path and line between line_start and line_end)
+select distinct src, dst from hit where coalesce(severity, '') <> 'LOW' and dst not like '%:2'""")
+def report_upsert(spark, sf):
+    """Every edge comes twice; findings of low severity and nodes of a second line are unknown, so edges dangle at either end."""
+    known, nodes = _findings(spark, sf), _span_nodes(spark, sf)
+    edges = findings.attach(known, nodes)
+    return findings.merge_reports(edges.union(edges), known.filter("coalesce(severity, '') <> 'LOW'"), nodes.filter("identifier not like '%:2'"))
+
+
 @query(f"""
 with {_SPAN_NODES_SQL}, s as (select 'ctx:' || o_orderkey as context_id, o_orderkey::varchar as fp, 2 as a, 4 as b from orders where o_orderstatus = 'P')
 select distinct context_id, identifier from sn join s on file_path = fp and line_start <= b and line_end >= a""")

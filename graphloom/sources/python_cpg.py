@@ -3,7 +3,7 @@
 The one place where rows are taken apart in Python: a file at a time, out of ``binaryFile`` rows, in Arrow batches. A file
 is parsed with the standard library's ``ast``; its columns are UTF-8 byte offsets, so node ids carry start bytes without
 bookkeeping. Files are parsed twice, as imports of one file resolve to exports of another; between the passes everything is
-joins. A file that does not parse gives a row of ``errors`` and nothing else.
+joins. A file that does not parse gives a row of ``errors`` and the graph of those top-level blocks that do.
 """
 
 from __future__ import annotations
@@ -29,9 +29,13 @@ _PREFIX = {FUNCTION: "function", CLASS: "class", BLOCK: "code_block", VARIABLE:
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``file_path, content`` of the Python files below ``root``, without excluded directories."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.py").load(root)
+def scan(spark: SparkSession, root: str, recursive: bool = True, only: str | None = None) -> DataFrame:
+    """``file_path, content`` of the Python files below ``root``, without excluded directories; or of the ``only`` file in it."""
+    files = spark.read.format("binaryFile")
+    if only is not None:
+        files = files.load(f"{root.rstrip('/')}/{only}")
+    else:
+        files = files.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.py").load(root)
     path = text.relative_path(F.col("path"), re.sub("^file:/*", "/", root))
     excluded = F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, model.EXCLUDED_DIRS)))
     return files.select(path.alias("file_path"), "content").filter(~excluded)
