@@ -58,12 +58,16 @@ def structure(kind: Column, repeats: Column, most: Column, c: Coefficients) -> C
     return clamp6(p.render_kind * lookup(kind, dict(c.render_kind_scores), model.DEFAULT_KIND_SCORE) + p.repeat_bonus * ratio)
 
 
-def file_prior(path: Column, anchors: Column, is_generated: Column, c: Coefficients) -> Column:
-    """``anchors``: the files of the context's shallowest nodes."""
+def module(near: Column, full: float = 1.0, part: float = 0.5) -> Column:
+    """``full`` for a file in the directory of one of the context's shallowest nodes, ``part`` for a common leading directory."""
+    return F.when(near["dir"], F.lit(full)).when(near["lead"], F.lit(part)).otherwise(F.lit(0.0))
+
+
+def file_prior(near: Column, is_generated: Column, c: Coefficients) -> Column:
+    """``near``: how the file relates to those of the context's shallowest nodes (``same, ends, dir, lead``)."""
     p = c.file_prior_breakdown
-    same = F.exists(anchors, lambda a: text.path_match(path, a)).cast("double")
-    module = F.coalesce(F.array_max(F.transform(anchors, lambda a: text.module_score(path, a))), F.lit(0.0))
-    return clamp6(F.greatest(F.lit(0.0), p.same_file * same + p.same_module * module - p.generated_penalty * is_generated.cast("double")))
+    same = near["same"].cast("double")
+    return clamp6(F.greatest(F.lit(0.0), p.same_file * same + p.same_module * module(near) - p.generated_penalty * is_generated.cast("double")))
 
 
 def context(depth_score: Column, structure_score: Column, prior: Column, c: Coefficients) -> Column:
@@ -143,12 +147,10 @@ def lexical_only(role_names: Column, edge_depths: Column, taint: Column, fe: Col
     return weak & ~is_generated
 
 
-def budget_context(role_names: Column, kind: Column, repeats: Column, most: Column, path: Column, anchors: Column, c: Coefficients) -> Column:
+def budget_context(role_names: Column, kind: Column, repeats: Column, most: Column, near: Column, c: Coefficients) -> Column:
     ratio = F.least(F.lit(1.0), repeats / F.greatest(most, F.lit(1)))
     shape = 0.55 * lookup(kind, dict(c.render_kind_scores), model.DEFAULT_KIND_SCORE) + 0.45 * ratio
-    same = F.exists(anchors, lambda a: F.endswith(path, a))
-    module = F.coalesce(F.array_max(F.transform(anchors, lambda a: text.module_score(path, a, 0.20, 0.10))), F.lit(0.0))
-    score = clamp(0.5 * shape + 0.5 * F.when(same, F.lit(0.70)).otherwise(module))
+    score = clamp(0.5 * shape + 0.5 * F.when(near["ends"], F.lit(0.70)).otherwise(module(near, 0.20, 0.10)))
     return F.when(F.array_contains(role_names, "boilerplate"), F.lit(0.0)).otherwise(score)
 
 

@@ -39,16 +39,37 @@ def aggregate(nodes: DataFrame) -> DataFrame:
 
 
 def _anchored(nodes: DataFrame) -> DataFrame:
-    """Adds the files of the shallowest nodes of each context and its largest ``repeats``; the files per context are few."""
-    shallow = F.when(F.col("depth") == F.min("depth").over(_context()), F.col("file_path"))
-    return nodes.withColumn("_shallow", shallow).withColumns({"_anchors": F.array_sort(F.collect_set("_shallow").over(_context())), "_most": F.max("repeats").over(_context())})
+    """Adds ``_most``, the largest ``repeats`` of a context, and ``_near``, which relates a node's file to the context's anchors.
+
+    The anchors are the files of a context's shallowest nodes. No row carries all of them: a directory, or a leading one, has
+    an anchor if its least depth is the context's, and paths of which one is the tail of the other have the same last
+    segment. So a row meets the anchors of its own file name only, and for a plain tail of letters those in the root.
+    One shuffle by context and two local sorts serve all windows. A null path is near nothing and no anchor.
+    """
+    path = F.col("file_path")
+    up = F.when(path.isNotNull(), text.parent_dir(path))
+    keys = {"_dir": up, "_lead": F.when(up != "", F.split_part(up, F.lit("/"), F.lit(1))), "_base": F.regexp_extract(path, "[^/]*$", 0), "_at": F.when(path.isNotNull(), F.col("depth"))}
+    rows = nodes.withColumns(keys).repartition("context_id").sortWithinPartitions("context_id", "_lead", "_dir")
+    in_lead, in_dir = (Window.partitionBy("context_id", *k) for k in (["_lead"], ["_lead", "_dir"]))
+    rows = rows.withColumns({"_dir_least": F.min("_at").over(in_dir), "_lead_least": F.min("_at").over(in_lead), "_least": F.min("depth").over(_context()), "_most": F.max("repeats").over(_context())})
+    anchor = F.when(F.col("_at") == F.col("_least"), path)
+    rows = rows.withColumn("_top", F.collect_set(F.when(F.col("_dir") == "", anchor)).over(_context()))
+    rows = rows.withColumn("_alike", F.collect_set(anchor).over(Window.partitionBy("context_id", "_base")))
+    ends = lambda among: F.exists(among, lambda a: F.endswith(path, a))
+    near = F.struct(
+        (path.isNotNull() & F.exists("_alike", lambda a: text.path_match(path, a))).alias("same"),
+        (path.isNotNull() & (ends(F.col("_alike")) | ends(F.col("_top")))).alias("ends"),
+        (path.isNotNull() & F.coalesce(F.col("_dir_least") == F.col("_least"), F.lit(False))).alias("dir"),
+        (F.col("_lead").isNotNull() & F.coalesce(F.col("_lead_least") == F.col("_least"), F.lit(False))).alias("lead"),
+    )
+    return rows.withColumn("_near", near).drop(*keys, "_dir_least", "_lead_least", "_least", "_top", "_alike")
 
 
 def context_scores(nodes: DataFrame, c: Coefficients, edge_aware: bool = False) -> DataFrame:
     depth = scores.edge_aware_depth(F.col("depth"), F.col("edge_depths"), c) if edge_aware else scores.hop_decay(F.col("depth"), c)
     shape = scores.structure(F.col("kind"), F.col("repeats"), F.col("_most"), c)
-    prior = scores.file_prior(F.col("file_path"), F.col("_anchors"), text.generated(F.col("file_path"), F.col("snippet")), c)
-    return _anchored(nodes).withColumn("context_score", scores.context(depth, shape, prior, c)).drop("_shallow", "_anchors", "_most")
+    prior = scores.file_prior(F.col("_near"), text.generated(F.col("file_path"), F.col("snippet")), c)
+    return _anchored(nodes).withColumn("context_score", scores.context(depth, shape, prior, c)).drop("_near", "_most")
 
 
 def _ranked(nodes: DataFrame, keys: list[Column], tail: tuple[str, ...] = ("ord", "identifier")) -> DataFrame:
@@ -118,10 +139,10 @@ def candidates(nodes: DataFrame, b: BudgetConfig, c: Coefficients, hints: Hints
         "distance": scores.graph_distance(F.col("depth"), edges, b),
         "confidence": scores.edge_confidence(edges),
         "lexical": scores.lexical_only(F.col("roles"), edges, taint, fe, made, sink | source | guard),
-        "context_score": scores.budget_context(F.col("roles"), F.col("kind"), F.col("repeats"), F.col("_most"), F.col("file_path"), F.col("_anchors"), c),
+        "context_score": scores.budget_context(F.col("roles"), F.col("kind"), F.col("repeats"), F.col("_most"), F.col("_near"), c),
     })
     rows = rows.withColumn("score", scores.relevance(fe, taint, F.col("roles"), F.col("distance"), F.col("confidence"), F.col("context_score"), F.col("lexical"), b))
-    return rows.drop("_shallow", "_anchors", "_most", "_full", "_text")
+    return rows.drop("_near", "_most", "_full", "_text")
 
 
 def evidence_budgeted(nodes: DataFrame, c: Coefficients, budget: int = 2048, config: BudgetConfig = BudgetConfig(), hints: Hints = Hints(), **_) -> DataFrame:
