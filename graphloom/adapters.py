@@ -29,18 +29,18 @@ def _id(prefix: str, column: str) -> Column:
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem")
-    parts = [
-        t("orders").select(_id("c", "o_custkey").alias("src"), _id("o", "o_orderkey").alias("dst"), F.lit("CALLS").alias("type")),
-        lines.select(_id("p", "l_partkey"), _id("o", "l_orderkey"), F.lit("FLOWS_TO")),
-        lines.select(_id("s", "l_suppkey"), _id("p", "l_partkey"), F.lit("DEFINED_BY")),
-        t("supplier").select(_id("n", "s_nationkey"), _id("s", "s_suppkey"), F.lit("USED_BY")),
-        t("nation").select(_id("r", "n_regionkey"), _id("n", "n_nationkey"), F.lit("CONTAINS")),
+    """Merged edges: pairs are made distinct as the numbers they are, before ids are made of them."""
+    ends = [
+        ("orders", "c", "o_custkey", "o", "o_orderkey", "CALLS"),
+        ("lineitem", "p", "l_partkey", "o", "l_orderkey", "FLOWS_TO"),
+        ("lineitem", "s", "l_suppkey", "p", "l_partkey", "DEFINED_BY"),
+        ("supplier", "n", "s_nationkey", "s", "s_suppkey", "USED_BY"),
+        ("nation", "r", "n_regionkey", "n", "n_nationkey", "CONTAINS"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = None
+    for name, a, src, b, dst, kind in ends:
+        rows = table(spark, sf_dir, name).select(src, dst).distinct().select(_id(a, src).alias("src"), _id(b, dst).alias("dst"), F.lit(kind).alias("type"))
+        out = rows if out is None else out.union(rows)
     return out
 
 
@@ -54,7 +54,7 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    edges = materialize(trade_edges(spark, sf_dir).distinct(), "edges")
+    edges = materialize(trade_edges(spark, sf_dir), "edges")
     return Graph(trade_nodes(spark, sf_dir), edges, edge_types(edges))
 
 

@@ -174,11 +174,11 @@ def attach_taint(context_nodes: DataFrame, tainted: DataFrame) -> DataFrame:
 
 
 def induced_edges(graph: Graph, members: DataFrame, types: tuple[str, ...] = model.PATH_FILL_TYPES) -> DataFrame:
-    """``context_id, src, dst, type``: directed edges of ``types`` between members of one context, each once."""
+    """``context_id, src, dst, type``: directed edges of ``types`` between members of one context, each once as edges are merged."""
     m = members.select("context_id", F.col("identifier").alias("_id")).distinct()
     e = graph.edges.filter(F.col("type").isin(*[t for t in types if t in graph.types] or [""])).select("src", "dst", "type")
     e = e.join(m.withColumnRenamed("_id", "src"), "src")
-    return e.join(m.withColumnRenamed("_id", "dst"), ["context_id", "dst"], "left_semi").select("context_id", "src", "dst", "type").distinct()
+    return e.join(m.withColumnRenamed("_id", "dst"), ["context_id", "dst"], "left_semi").select("context_id", "src", "dst", "type")
 
 
 def undirected(induced: DataFrame) -> DataFrame:
