@@ -8,12 +8,12 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import config
 from graphloom.config import BudgetConfig, Coefficients
-from graphloom.operators import datasets, graph, reports
+from graphloom.operators import datasets, findings, graph, reports
 from graphloom.operators.ranking import STRATEGIES
 from graphloom.plans import benchmark, scan, tuning
 from graphloom.sources import analyzers, python_cpg, tables
@@ -73,6 +73,8 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--graph", help="the folder that load wrote, with --send")
     t.add_argument("--src", help="the source tree, with --send")
     t.add_argument("--labels", help="Parquet of context_id, label, with --send")
+    t.add_argument("--json-report", help="with --send: findings, from which each weighting scores the nodes anew")
+    t.add_argument("--text-report")
     t.add_argument("--budget", type=int, default=2048)
     t.add_argument("--base")
     t.add_argument("--batches", type=int, default=3)
@@ -87,12 +89,17 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
+def _reports(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     found = None
     for read, path in ((analyzers.json_report, a.json_report), (analyzers.text_report, a.text_report)):
         if path:
             rows = read(spark, path, a.src)
             found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
+    found = _reports(spark, a)
     weights = config.load(Coefficients, a.coefficients) if a.coefficients else None
     project = scan.load(spark, a.src, found, weights)
     if a.mode == "diff":
@@ -122,8 +129,12 @@ def _tune(spark: SparkSession, a: argparse.Namespace) -> float:
         nodes, labels = spark.read.parquet(f"{a.graph}/nodes"), spark.read.parquet(a.labels)
         lines = materialize(tables.source_lines(python_cpg.scan(spark, a.src)), "lines")
         edges, around = spark.read.parquet(f"{a.input}/edges"), spark.read.parquet(f"{a.input}/{'typed' if STRATEGIES[a.strategy].edge_paths else 'plain'}")
-        space = tuning.SPACES[a.strategy]
-        judge = lambda made: tuning.judged_contexts(around, edges, nodes, lines, labels, a.strategy, made, send, a.budget)
+        space, rescore = tuning.SPACES[a.strategy], None
+        if (found := _reports(spark, a)) is not None:
+            found = materialize(findings.merge(found), "findings")
+            links = materialize(findings.merge_reports(findings.attach(found, nodes), found, nodes), "reports")
+            rescore = lambda rows, c: findings.score_nodes(rows, links, found, c)
+        judge = lambda made: tuning.judged_contexts(around, edges, nodes, lines, labels, a.strategy, made, send, a.budget, rescore)
     else:
         if a.strategy != "current":
             raise SystemExit("labelled nodes tune the combiner of current only; other strategies need --send")
