@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import ann, chat, knn_quality, langid, minhash, mixing, packing, pii, rules, urlfilter
+from graphloom.llm import ann, chat, decontaminate, knn_quality, langid, minhash, mixing, packing, pii, rules, search, urlfilter, yinyang
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_pii": pii.op10_pii,
+    "op11_lexical_search": search.op11_lexical_search,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_yinyang": yinyang.op13_yinyang,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
     "op4_chat_preferences": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
+    "op11_lexical_search": search.ORACLE,
+    "op12_decontamination": decontaminate.ORACLE,
+    "op13_yinyang": yinyang.oracle(),
 }
