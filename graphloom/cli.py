@@ -53,8 +53,10 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compare-rankings", help="a dataset a strategy, and entries, from pairs and their contexts")
     c.add_argument("dataset")
     c.add_argument("files", help="Parquet of both checkouts: repo_url, hash, is_vulnerable, file_path, content")
-    c.add_argument("contexts", help="Parquet of strategy, context_id, text")
     c.add_argument("out")
+    c.add_argument("--contexts", help="Parquet of strategy, context_id, text, made elsewhere; else they are made of the checkouts")
+    c.add_argument("--depth", type=int, default=3)
+    c.add_argument("--coefficients")
     c.add_argument("--name", default="benchmark")
     c.add_argument("--strategies", default=",".join(sorted(STRATEGIES)))
     c.add_argument("--min-score", type=int, default=4)
@@ -176,7 +178,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.max_repo_bytes is not None:
             pairs = datasets.pairs_of_small_repositories(pairs, files, a.max_repo_bytes)
         names = a.strategies.split(",")
-        found = benchmark.samples(pairs, spark.read.parquet(a.contexts), names, limit=a.limit)
+        if a.contexts:
+            found = benchmark.samples(pairs, spark.read.parquet(a.contexts), names, limit=a.limit)
+        else:
+            weights = config.load(Coefficients, a.coefficients) if a.coefficients else None
+            found = benchmark.compare(materialize(pairs, "pairs"), files, names, a.depth, a.budget, weights, limit=a.limit)
+        found = materialize(found, "samples")
         print(json.dumps(benchmark.write(found, a.out, a.name, names)))
     elif a.command == "merge":
         rows = None

@@ -17,8 +17,9 @@ SEVERITY_TOOL, ISSUE_TOOL = "bandit", "dlint"
 
 def attach(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     """REPORTS edges ``src`` (finding) to ``dst`` (node) of each node whose lines hold the finding."""
-    f = findings.select(F.col("id").alias("src"), "file", "line_number")
-    return graph.nodes_at_points(nodes.select(F.col("identifier").alias("dst"), "file_path", "line_start", "line_end"), f).select("src", "dst").distinct()
+    of = [c for c in ("graph_id",) if c in findings.columns and c in nodes.columns]
+    f = findings.select(F.col("id").alias("src"), *of, "file", "line_number")
+    return graph.nodes_at_points(nodes.select(F.col("identifier").alias("dst"), *of, "file_path", "line_start", "line_end"), f).select("src", "dst").distinct()
 
 
 def merge(findings: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from graphloom import model
 from graphloom.functions import scores
+from graphloom.operators import intervals
 from graphloom.staging import materialize
 
 
@@ -74,17 +75,30 @@ def write_graph(graph: Graph, path: str) -> None:
 
 # ---------------------------------------------------------------- lookups
 
+def file_keys(*tables: DataFrame) -> list[str]:
+    """What names a file in all of these tables: its path, and its checkout where each of them holds several."""
+    return ["graph_id", "file_path"] if all("graph_id" in t.columns for t in tables) else ["file_path"]
+
+
 def nodes_at_points(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """Rows of ``points`` (``file, line_number``) with each node whose lines hold them."""
-    hit = (F.col("file") == F.col("file_path")) & F.col("line_number").between(F.col("line_start"), F.col("line_end"))
-    return points.join(nodes, hit)
+    keys = file_keys(nodes, points)
+    p = points.withColumns({"file_path": F.col("file"), "_line": F.col("line_number")})
+    return intervals.points_in(p, nodes, keys, "_line", "line_start", "line_end").drop("_line")
 
 
 def nodes_at_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
-    """``context_id, identifier`` of each node that shares a line with a span of the context."""
-    s = spans.select("context_id", F.col("file_path").alias("_path"), "start_line", "end_line")
-    hit = (F.col("file_path") == F.col("_path")) & (F.col("line_start") <= F.col("end_line")) & (F.col("line_end") >= F.col("start_line"))
-    return nodes.join(s, hit).select("context_id", "identifier").distinct()
+    """``context_id, identifier`` of each node that shares a line with a span of the context.
+
+    Either the node begins inside the span, or the span begins inside the node and behind its first line.
+    """
+    keys = file_keys(nodes, spans)
+    n = nodes.select("identifier", *keys, "line_start", F.greatest("line_start", "line_end").alias("line_end"))
+    s = spans.select("context_id", *keys, "start_line", "end_line").filter("start_line <= end_line").distinct()
+    begins = intervals.points_in(n, s, keys, "line_start", "start_line", "end_line").select("context_id", "identifier")
+    rest = n.withColumn("_first", F.col("line_start") + 1)
+    inside = intervals.points_in(s, rest, keys, "start_line", "_first", "line_end").select("context_id", "identifier")
+    return begins.union(inside).distinct()
 
 
 # ---------------------------------------------------------------- traversals
@@ -181,6 +195,22 @@ def induced_edges(graph: Graph, members: DataFrame, types: tuple[str, ...] = mod
     return e.join(m.withColumnRenamed("_id", "dst"), ["context_id", "dst"], "left_semi").select("context_id", "src", "dst", "type")
 
 
+def shortest_tree(roots: DataFrame, adj: DataFrame) -> DataFrame:
+    """``context_id, id, parent`` of every node that a root of its context reaches; a root's parent is null.
+
+    ``roots`` has ``context_id, id``; ``adj`` has ``context_id, at, to`` in both directions. Level by level, a node's parent is the least id of
+    the level before that is next to it. Only the last two levels can meet the next one.
+    """
+    front = materialize(roots.select("context_id", "id").distinct().withColumn("parent", F.lit(None).cast("string")), "tree")
+    levels = [front]
+    while not front.isEmpty():
+        step = front.select("context_id", F.col("id").alias("at")).join(adj, ["context_id", "at"]).groupBy("context_id", F.col("to").alias("id")).agg(F.min("at").alias("parent"))
+        seen = reduce(DataFrame.union, [x.select("context_id", "id") for x in levels[-2:]])
+        front = materialize(step.join(seen, ["context_id", "id"], "left_anti"), "tree")
+        levels.append(front)
+    return reduce(DataFrame.union, levels)
+
+
 def undirected(induced: DataFrame) -> DataFrame:
     """``context_id, at, to`` in both directions, without self loops."""
     e = induced.filter("src <> dst")

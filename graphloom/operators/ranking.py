@@ -95,8 +95,9 @@ def depth_repeats_context(nodes: DataFrame, c: Coefficients, **_) -> DataFrame:
 
 
 def random_picking(nodes: DataFrame, c: Coefficients, seed: int = 42, **_) -> DataFrame:
-    """A seeded order inside the roots and inside the rest, the same on every run and cluster."""
-    return _ranked(aggregate(nodes).withColumns({"score": F.lit(0.0), "context_score": F.lit(0.0)}), [F.xxhash64(F.lit(seed), "identifier")])
+    """A seeded order inside the roots and inside the rest, the same on every run and cluster: by a digest of seed and id."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), "identifier").cast("binary"))
+    return _ranked(aggregate(nodes).withColumns({"score": F.lit(0.0), "context_score": F.lit(0.0)}), [order])
 
 
 def dummy(nodes: DataFrame, c: Coefficients, **_) -> DataFrame:

@@ -1,14 +1,15 @@
 """Selection under a token budget, and rendering.
 
-Both selections are sequential within a context and so run as grouped pandas functions; a context is the bounded
-neighbourhood of one finding. Everything else is columns.
+What is sequential within a context, the choice by gain and the budget's scan, runs as grouped pandas functions; trees, chains,
+lines and texts are joins and columns.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict, deque
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from graphloom.config import BudgetConfig
 from graphloom.functions import text
+from graphloom.operators import graph
+from graphloom.staging import materialize, spread
 
 
 def greedy(scored: DataFrame, budget: int, b: BudgetConfig) -> DataFrame:
@@ -37,7 +40,7 @@ def greedy(scored: DataFrame, budget: int, b: BudgetConfig) -> DataFrame:
         part["rank"] = range(1, len(part) + 1)
         return part[[f.name for f in schema]]
 
-    return scored.groupBy("context_id").applyInPandas(choose, schema)
+    return spread(scored, "context_id").groupBy("context_id").applyInPandas(choose, schema)
 
 
 def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
@@ -84,75 +87,97 @@ def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
     return order
 
 
-def parents(roots: list[str], adjacent: dict[str, list[str]]) -> dict[str, str | None]:
-    """The step towards the nearest root of each node that one reaches; of several, the least id of the level before."""
-    parent: dict[str, str | None] = dict.fromkeys(sorted(roots))
-    level = deque(parent)
-    while level:
-        at = level.popleft()
-        for to in sorted(adjacent.get(at, ())):
-            if to not in parent:
-                parent[to] = at
-                level.append(to)
-    return parent
+def _fill(nodes: pd.DataFrame, lines: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """The scan of one context: ``nodes`` with rank, parent and lines, and the lengths of the lines of their files."""
+    nodes = nodes.sort_values(["rank", "identifier"], kind="stable")
+    size, seen, first = {}, {}, {}
+    for name, part in lines.groupby("_file", sort=False):
+        at = part["line_no"].to_numpy(np.int64)
+        first[name] = int(at.min())
+        size[name] = np.full(int(at.max()) - first[name] + 1, -1, np.int64)  # -1: no such line
+        size[name][at - first[name]] = part["n"].to_numpy(np.int64)
+        seen[name] = size[name] < 0
+    ids = nodes["identifier"].to_list()
+    place = {i: k for k, i in enumerate(ids)}
+    parent = [place.get(p, -1) for p in nodes["parent"]]
+    where = []
+    for f, a, b in zip(nodes["_file"], nodes["line_start"].tolist(), nodes["line_end"].tolist(), strict=True):
+        where.append((f, slice(max(0, a - first[f]), max(0, b + 1 - first[f]))) if f in first else None)
+
+    def unseen(i: int) -> tuple[int, int]:
+        """Characters and lines that a node would add; they count as shown from now on."""
+        if where[i] is None:
+            return 0, 0
+        f, span = where[i]
+        new = ~seen[f][span]
+        seen[f][span] = True
+        return int(size[f][span][new].sum()), int(new.sum())
+
+    def forget(undo: list[tuple]) -> None:
+        for f, span, old in undo:
+            seen[f][span] = old
+
+    chosen = np.zeros(len(ids), bool)
+    chars = shown = 0
+    for i in np.flatnonzero(nodes["depth"].to_numpy() == 0).tolist():
+        chosen[i] = True
+        c, n = unseen(i)
+        chars, shown = chars + c, shown + n
+    for i in range(len(ids)):
+        if chosen[i]:
+            continue
+        chain, at = [i], parent[i]
+        while at >= 0 and not chosen[at]:
+            chain.append(at)
+            at = parent[at]
+        more, count, undo = 0, 0, []
+        for k in chain:
+            if where[k] is not None:
+                undo.append((*where[k], seen[where[k][0]][where[k][1]].copy()))
+            c, n = unseen(k)
+            more, count = more + c, count + n
+            if (chars + more + max(0, shown + count - 1)) // 3 > budget:
+                break  # more lines only add to it
+        if max(1, (chars + more + max(0, shown + count - 1)) // 3) <= budget:
+            chosen[chain] = True
+            chars, shown = chars + more, shown + count
+        else:
+            forget(undo[::-1])
+    return nodes.loc[chosen, ["context_id", "identifier", "rank"]]
 
 
 def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: int) -> DataFrame:
     """``context_id, identifier, rank`` of the nodes to show: all roots, then by rank each node with its way to a root.
 
-    A node whose added lines would exceed the budget is passed over, not the end. Tokens are those of the rendered text.
+    The ways come from a tree that joins build for all contexts at once (:func:`graphloom.operators.graph.shortest_tree`). What is
+    left to the scan of one context, whose rows are a node and a line of its files each, is the budget: a node whose added
+    lines would exceed it is passed over, not the end. Tokens are those of the rendered text.
     """
-    spans = ranked.select("context_id", "identifier", "rank", "depth", "file_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no"))
-    shown = lines.select("file_path", "line_no", F.char_length(text.sanitize_line(F.col("text"))).alias("n"))
-    sized = spans.join(shown, ["file_path", "line_no"], "left")
-    per_node = sized.groupBy("context_id", "identifier", "rank", "depth", "file_path").agg(F.collect_list(F.struct("line_no", "n")).alias("lines"))
-    near = induced.filter("src <> dst").groupBy("context_id").agg(F.collect_set(F.struct("src", "dst")).alias("pairs"))
-    together = per_node.join(near, "context_id", "left")
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["rank", "identifier"], kind="stable")
-        members = set(part["identifier"])
-        adjacent = defaultdict(set)
-        pairs = part["pairs"].iloc[0]
-        for p in pairs if pairs is not None else ():
-            if p["src"] in members and p["dst"] in members:
-                adjacent[p["src"]].add(p["dst"])
-                adjacent[p["dst"]].add(p["src"])
-        need: dict[str, dict] = defaultdict(dict)
-        for r in part.itertuples():
-            need[r.identifier].update({(r.file_path, x["line_no"]): x["n"] for x in r.lines if x["n"] is not None})
-        roots = list(dict.fromkeys(part.loc[part["depth"] == 0, "identifier"]))
-        up = parents(roots, adjacent)
-        chosen, seen, chars = set(roots), {}, 0
-        for i in roots:
-            for k, n in need[i].items():
-                chars += n if k not in seen else 0
-                seen[k] = n
-        for i in dict.fromkeys(part["identifier"]):
-            if i in chosen:
-                continue
-            chain, at = {i}, up.get(i)
-            while at is not None and at not in chosen:
-                chain.add(at)
-                at = up.get(at)
-            new = {k: n for c in chain for k, n in need[c].items() if k not in seen}
-            total = chars + sum(new.values())
-            if max(1, (total + max(0, len(seen) + len(new) - 1)) // 3) <= budget:
-                chosen |= chain
-                seen |= new
-                chars = total
-        out = part[part["identifier"].isin(chosen)].drop_duplicates("identifier")
-        return out[["context_id", "identifier", "rank"]]
-
-    return together.groupBy("context_id").applyInPandas(fill, "context_id string, identifier string, rank int")
+    keys = graph.file_keys(ranked, lines)
+    name = F.concat_ws("\u001f", *keys)
+    first = {c: F.min_by(c, "rank").alias(c) for c in (*keys, "line_start", "line_end")}
+    nodes = ranked.groupBy("context_id", "identifier").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth"), *first.values())
+    nodes = materialize(nodes, "nodes")
+    roots = nodes.filter("depth = 0").select("context_id", F.col("identifier").alias("id"))
+    tree = graph.shortest_tree(roots, materialize(graph.undirected(induced), "near")).withColumnRenamed("id", "identifier")
+    placed = nodes.join(tree, ["context_id", "identifier"], "left").withColumn("_file", name).drop(*keys)
+    spans = nodes.groupBy("context_id", *keys).agg(F.min("line_start").alias("_from"), F.max("line_end").alias("_to"))
+    shown = lines.join(spans, keys).filter(F.col("line_no").between(F.col("_from"), F.col("_to")))
+    shown = shown.select(F.col("context_id").alias("_context"), name.alias("_file"), "line_no", F.char_length(text.sanitize_line(F.col("text"))).alias("n"))
+
+    def fill(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _fill(left, right, budget) if len(left) else left.assign(context_id=[], identifier=[], rank=[])[["context_id", "identifier", "rank"]]
+
+    return spread(placed, "context_id").groupBy("context_id").cogroup(spread(shown, "_context").groupBy("_context")).applyInPandas(fill, "context_id string, identifier string, rank int")
 
 
 def render(selected: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """``context_id, text, tokens``: the selected nodes' lines, each once, by file in rank order and then by line."""
-    rows = selected.select("context_id", "identifier", "rank").join(nodes.select("identifier", "file_path", "line_start", "line_end"), "identifier")
-    files = rows.groupBy("context_id", "file_path").agg(F.min("rank").alias("file_rank"))
-    wanted = rows.select("context_id", "file_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct()
-    shown = wanted.join(lines.select("file_path", "line_no", text.sanitize_line(F.col("text")).alias("t")), ["file_path", "line_no"]).join(files, ["context_id", "file_path"])
+    keys = graph.file_keys(nodes, lines)
+    rows = selected.select("context_id", "identifier", "rank").join(nodes.select("identifier", *keys, "line_start", "line_end"), "identifier")
+    files = rows.groupBy("context_id", *keys).agg(F.min("rank").alias("file_rank"))
+    wanted = rows.select("context_id", *keys, F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct()
+    shown = wanted.join(lines.select(*keys, "line_no", text.sanitize_line(F.col("text")).alias("t")), [*keys, "line_no"]).join(files, ["context_id", *keys])
     body = F.array_sort(F.collect_list(F.struct("file_rank", "file_path", "line_no", "t")))
     out = shown.groupBy("context_id").agg(F.array_join(F.transform(body, lambda x: x["t"]), "\n").alias("text"))
     return out.withColumn("tokens", text.tokens(F.col("text")))
@@ -160,9 +185,10 @@ def render(selected: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame
 
 def snippets(nodes: DataFrame, lines: DataFrame, start: str = "line_start", end: str = "line_end", name: str = "snippet") -> DataFrame:
     """``nodes`` with the text of their lines, joined and right-trimmed; lines that do not exist are left out."""
-    keys = ["identifier", "file_path", start, end]
+    files = graph.file_keys(nodes, lines)
+    keys = ["identifier", *files, start, end]
     spans = nodes.select(*keys).distinct().withColumn("line_no", F.explode(F.sequence(start, F.greatest(start, end))))
-    got = spans.join(lines.select("file_path", "line_no", "text"), ["file_path", "line_no"]).groupBy(*keys)
+    got = spans.join(lines.select(*files, "line_no", "text"), [*files, "line_no"]).groupBy(*keys)
     body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     got = got.agg(F.regexp_replace(F.array_join(body, "\n"), r"\s+$", "").alias(name))
     return nodes.join(got, keys, "left").withColumn(name, F.coalesce(name, F.lit("")))

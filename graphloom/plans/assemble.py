@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from graphloom.staging import materialize
 
 def roots(g: Graph, context_spans: DataFrame, strict: bool = True) -> DataFrame:
     """``context_id, start_id``: nodes that share a line with a context's spans."""
-    merged = spans.merge(context_spans, ["context_id", "file_path"], strict)
+    merged = spans.merge(context_spans, ["context_id", *graph.file_keys(g.nodes, context_spans)], strict)
     return graph.nodes_at_spans(g.nodes, merged).withColumnRenamed("identifier", "start_id")
 
 
@@ -26,7 +27,7 @@ def neighborhood(g: Graph, starts: DataFrame, depth: int, edge_paths: bool, tain
         found = graph.edge_depths(graph.bfs_typed(g, starts, depth))
     else:
         found = graph.collapse(graph.bfs(g, starts, depth)).withColumn("edge_depths", F.lit(None).cast("map<string,int>"))
-    attributes = [c for c in ("kind", "name", "file_path", "line_start", "line_end", "finding_evidence_score", "security_path_score", "snippet", "ord") if c in g.nodes.columns]
+    attributes = [c for c in ("graph_id", "kind", "name", "file_path", "line_start", "line_end", "finding_evidence_score", "security_path_score", "snippet", "ord") if c in g.nodes.columns]
     nodes = found.withColumnRenamed("id", "identifier").join(g.nodes.select("identifier", *attributes), "identifier")
     defaults = {"finding_evidence_score": F.lit(0.0), "security_path_score": F.lit(0.0), "ord": F.xxhash64("identifier"), "taint_score": F.lit(0.0), "name": F.lit(None).cast("string")}
     nodes = nodes.withColumns({k: v for k, v in defaults.items() if k not in nodes.columns})
@@ -64,25 +65,47 @@ def rank_all(nodes: DataFrame, strategies: list[str], coefficients: Coefficients
     return reduce(DataFrame.unionByName, ranked_by)
 
 
-def prepare(g: Graph, context_spans: DataFrame, depth: int, path: str) -> None:
-    """Writes what no weight changes: both neighbourhoods with taint, and the induced edges, for later :func:`load_prepared`."""
-    starts = materialize(roots(g, context_spans), "roots")
+@dataclass(frozen=True)
+class Around:
+    """What no weight changes, and all strategies share: neighbourhoods along any edges and along one type, and induced edges."""
+
+    plain: DataFrame
+    typed: DataFrame
+    edges: DataFrame
+
+    def of(self, strategy: str) -> DataFrame:
+        return self.typed if ranking.pick([strategy])[strategy].edge_paths else self.plain
+
+
+def around(g: Graph, starts: DataFrame, depth: int) -> Around:
+    """Both neighbourhoods of ``starts (context_id, start_id)``, with taint. Written tables."""
+    starts = materialize(starts, "roots")
     plain = materialize(neighborhood(g, starts, depth, False, True), "plain")
     typed = materialize(neighborhood(g, starts, depth, True, True), "typed")
-    plain.write.mode("overwrite").parquet(f"{path}/plain")
-    typed.write.mode("overwrite").parquet(f"{path}/typed")
     members = plain.select("context_id", "identifier").union(typed.select("context_id", "identifier")).distinct()
-    graph.induced_edges(g, members).write.mode("overwrite").parquet(f"{path}/edges")
+    return Around(plain, typed, materialize(graph.induced_edges(g, members), "edges"))
 
 
-def render_prepared(spark, path: str, nodes: DataFrame, lines: DataFrame, strategies: list[str], budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
-    """``strategy, context_id, text, tokens`` out of a prepared folder, without a traversal."""
-    edges = spark.read.parquet(f"{path}/edges")
+def contexts(a: Around, nodes: DataFrame, lines: DataFrame, strategies: list[str], budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
+    """``strategy, context_id, text, tokens`` of every strategy over the same neighbourhoods, without a traversal."""
     out = []
-    for name, s in ranking.pick(strategies).items():
-        around = spark.read.parquet(f"{path}/{'typed' if s.edge_paths else 'plain'}")
-        around = around if "snippet" in around.columns else selection.snippets(around, lines)
-        order = ranking.rank(around, name, coefficients, budget=budget, **options)
-        text = selection.render(selection.path_fill(order, edges, lines, budget), nodes, lines)
+    for name in ranking.pick(strategies):
+        rows = a.of(name)
+        rows = rows if "snippet" in rows.columns else selection.snippets(rows, lines)
+        order = materialize(ranking.rank(rows, name, coefficients, budget=budget, **options), "ranked")
+        text = selection.render(selection.path_fill(order, a.edges, lines, budget), nodes, lines)
         out.append(text.select(F.lit(name).alias("strategy"), "context_id", "text", "tokens"))
     return reduce(DataFrame.unionByName, out)
+
+
+def prepare(g: Graph, context_spans: DataFrame, depth: int, path: str) -> None:
+    """Writes what no weight changes, for later :func:`render_prepared`."""
+    a = around(g, roots(g, context_spans), depth)
+    for name in ("plain", "typed", "edges"):
+        getattr(a, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def render_prepared(spark, path: str, nodes: DataFrame, lines: DataFrame, strategies: list[str], budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
+    """``strategy, context_id, text, tokens`` out of a prepared folder."""
+    a = Around(*[spark.read.parquet(f"{path}/{name}") for name in ("plain", "typed", "edges")])
+    return contexts(a, nodes, lines, strategies, budget, coefficients, **options)

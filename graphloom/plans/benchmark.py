@@ -5,23 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.config import Coefficients
 from graphloom.functions import text
 from graphloom.operators import datasets
+from graphloom.plans import assemble, scan
+from graphloom.sources import python_cpg
+from graphloom.staging import materialize
 
 #: The strategy whose dataset has the plain name.
 PLAIN = "current"
 
 
+def graph_id(of: Column | None = None) -> Column:
+    """The checkout: a digest of repository, commit and side."""
+    side = F.when(F.col("is_vulnerable") if of is None else of, F.lit("vuln")).otherwise(F.lit("fixed"))
+    return F.md5(F.concat_ws("\n", "repo_url", "hash", side).cast("binary"))
+
+
 def context_spans(pairs: DataFrame) -> DataFrame:
-    """``context_id, file_path, start_line, end_line`` of both sides, for :func:`graphloom.plans.assemble.assemble`."""
-    rows = pairs.select(context_id().alias("context_id"), F.explode("files").alias("f")).select("context_id", "f.file_path", F.explode("f.spans").alias("s"))
-    return rows.select("context_id", "file_path", "s.start_line", "s.end_line")
+    """``context_id, graph_id, file_path, start_line, end_line`` of both sides, for :func:`graphloom.plans.assemble.roots`."""
+    rows = pairs.select(context_id().alias("context_id"), graph_id().alias("graph_id"), F.explode("files").alias("f"))
+    rows = rows.select("context_id", "graph_id", "f.file_path", F.explode("f.spans").alias("s"))
+    return rows.select("context_id", "graph_id", "file_path", "s.start_line", "s.end_line")
 
 
 def context_id() -> Column:
     return F.concat_ws("#", "pair_id", F.when(F.col("is_vulnerable"), F.lit("vuln")).otherwise(F.lit("fixed")))
 
 
+def checkouts(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """``graph_id, file_path, content`` of the Python files of the pairs' checkouts; directories that are never scanned are left out."""
+    side = ["repo_url", "hash", "is_vulnerable"]
+    wanted = files.join(pairs.select(*side).distinct(), side, "left_semi").filter(F.endswith("file_path", F.lit(".py")))
+    body = F.encode("content", "UTF-8") if dict(files.dtypes)["content"] == "string" else F.col("content")
+    return wanted.filter(~python_cpg.excluded(F.col("file_path"))).select(graph_id().alias("graph_id"), "file_path", body.alias("content"))
+
+
+def compare(
+    pairs: DataFrame, files: DataFrame, strategies: list[str], depth: int = 3, budget: int = 2048, coefficients: Coefficients | None = None, findings: DataFrame | None = None,
+    prefix: str = "sample", limit: int | None = None, **options
+) -> DataFrame:
+    """From the checkouts of all pairs to the samples of every strategy, in one plan.
+
+    ``files`` are both sides, ``repo_url, hash, is_vulnerable, file_path, content``; ``findings``, of analyzers that ran on them, carry
+    ``graph_id`` (see :func:`graph_id`). All checkouts make one graph, whose ids and lookups hold the checkout, so equal paths
+    stay apart. Traversals run once and serve every strategy.
+    """
+    project = scan.build(materialize(checkouts(pairs, files), "checkouts"), findings, coefficients)
+    near = assemble.around(project.graph, assemble.roots(project.graph, context_spans(pairs)), depth)
+    told = assemble.contexts(near, project.graph.nodes, project.lines, strategies, budget, coefficients, **options)
+    return samples(pairs, materialize(told, "told"), strategies, prefix, limit)
+
+
 def samples(pairs: DataFrame, contexts: DataFrame, strategies: list[str], prefix: str = "sample", limit: int | None = None) -> DataFrame:
     """Numbered samples of every strategy, of the pairs for which each gave text on both sides.
 

@@ -27,7 +27,12 @@ class Project:
 
 def load(spark: SparkSession, root: str, found: DataFrame | None = None, coefficients: Coefficients | None = None, hints: Hints = Hints(), only: str | None = None) -> Project:
     """The graph of a source tree, or of the ``only`` file directly in it, its nodes with both security scores."""
-    files = materialize(python_cpg.scan(spark, root, only=only), "files")
+    return build(materialize(python_cpg.scan(spark, root, only=only), "files"), found, coefficients, hints)
+
+
+def build(files: DataFrame, found: DataFrame | None = None, coefficients: Coefficients | None = None, hints: Hints = Hints()) -> Project:
+    """The graph of ``files (file_path, content)``, a written table; with ``graph_id`` in it, and in ``found``, of many checkouts at once."""
+    spark = files.sparkSession
     built = python_cpg.build(files)
     if clash := graph.conflicting_nodes(built["nodes"]).head(1):
         raise ValueError(f"two nodes share the id {clash[0]['identifier']}")
@@ -35,6 +40,7 @@ def load(spark: SparkSession, root: str, found: DataFrame | None = None, coeffic
     g = graph.load_graph(built["nodes"], built["edges"])
     if found is None:
         found = spark.createDataFrame([], "id string, tool string, file string, line_number int, cwe_id int, severity string, issue_id int, message string")
+        found = found.withColumn("graph_id", F.lit(None).cast("string")) if "graph_id" in files.columns else found
     found = materialize(findings.merge(found), "findings")
     links = materialize(findings.merge_reports(findings.attach(found, g.nodes), found, g.nodes), "reports")
     nodes = findings.score_nodes(selection.snippets(g.nodes, lines), links, found, coefficients or Coefficients(), hints)

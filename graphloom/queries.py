@@ -430,7 +430,7 @@ def rank_dummy(spark, sf):
     return _ranked(spark, sf, "dummy")
 
 
-@query()
+@query(_rank_sql("depth <> 0, md5('42:' || identifier), ord, identifier"))
 def rank_random(spark, sf):
     return _ranked(spark, sf, "random_picking")
 

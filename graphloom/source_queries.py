@@ -10,6 +10,7 @@ from graphloom.operators import datasets, graph, ranking
 from graphloom.plans import benchmark, review
 from graphloom.queries import query
 from graphloom.sources import diffs, python_cpg
+from graphloom.staging import materialize
 
 # ---------------------------------------------------------------- graph building
 
@@ -192,3 +193,46 @@ def sample_responses(spark, sf):
     docs = A.table(spark, sf, "documents")
     answers = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("sample_id"), F.concat(F.lit("answer "), F.col("doc_id").cast("string")).alias("response"))
     return review.answered(docs.select(F.col("doc_id").cast("string").alias("sample_id")), answers).select("sample_id", "response", "error")
+
+
+# ---------------------------------------------------------------- checkouts to datasets
+
+def _commits(spark, sf) -> DataFrame:
+    """A fix a customer, in a repository of its own, of one function that calls another file's."""
+    rows = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    body = lambda word: F.concat(F.lit(f"def run(x):\n    return helper({word}"), F.col("k").cast("string"), F.lit("(x))"))
+    return rows.select(
+        body("bad").alias("func_before"), body("good").alias("func_after"), F.concat(F.lit("https://github.com/o/r"), F.col("k").cast("string"), F.lit("/commit/abcdef1")).alias("commit_url"), F.lit("f1.py").alias("file_name"),
+        F.lit("CVE-1").alias("cve_id"), F.lit("py").alias("extension"), F.lit("fix").alias("commit_msg"), F.lit("CWE-79").alias("cwe_id"), F.lit("5").alias("vulnerability_score"), F.lit("False").alias("is_test"), F.col("k").alias("ord"), "k",
+    )
+
+
+def _both_sides(commits: DataFrame) -> DataFrame:
+    """Equal paths in every checkout; the called file tells the customer and the side, and every fifth commit lacks it."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    k = F.col("k").cast("string")
+    side = F.explode(F.array(F.struct(F.lit(True).alias("v"), F.lit("").alias("head"), F.col("func_before").alias("code")), F.struct(F.lit(False).alias("v"), F.lit("import os\n").alias("head"), F.col("func_after").alias("code"))))
+    rows = commits.select("commit.*", "k", side.alias("s")).select("repo_url", "hash", "k", "s.*")
+    files = F.array(
+        F.struct(F.lit("f1.py").alias("file_path"), text(F.col("head"), "from f2 import helper\n\n\n", F.col("code"), "\n").alias("content")),
+        F.struct(F.lit("f2.py").alias("file_path"), text("def helper(y):\n    return y + ", k, F.when(F.col("v"), F.lit("0")).otherwise(F.lit("1")), "\n").alias("content")),
+        F.struct(F.lit("tests/f2.py").alias("file_path"), F.lit("def helper(y):\n    return None\n").alias("content")),
+    )
+    rows = rows.select("repo_url", "hash", F.col("v").alias("is_vulnerable"), "k", F.explode(files).alias("f")).filter("not (k % 5 = 0 and f.file_path = 'f2.py')")
+    return rows.select("repo_url", "hash", "is_vulnerable", "f.*")
+
+
+@query("""
+with s as (select c_custkey as k, v as is_vulnerable, row_number() over (partition by v order by c_custkey) as rn from customer, (values (true), (false)) t(v)),
+t as (
+  select *, 'def run(x):' || chr(10) || '    return helper(' || case when is_vulnerable then 'bad' else 'good' end || k || '(x))' as own,
+    'def helper(y):' || chr(10) || '    return y + ' || k || case when is_vulnerable then '0' else '1' end as other from s)
+select 'c-' || (2 * rn - is_vulnerable::int) as sample_id, strategy, is_vulnerable::int as label,
+  case when k % 5 = 0 then own when strategy = 'current' then own || chr(10) || other else other || chr(10) || own end as code
+from t, (values ('current'), ('dummy')) st(strategy)""")
+def compare_checkouts(spark, sf):
+    """From both checkouts of many repositories to a dataset a strategy: equal paths and node names, no context sees another's."""
+    commits = datasets.usable_fixes(datasets.coerce_fixes(_commits(spark, sf)))
+    files = _both_sides(commits)
+    pairs = materialize(datasets.fix_pairs(commits, files), "pairs")
+    return benchmark.compare(pairs, files, ["current", "dummy"], depth=2, budget=512, prefix="c").select("sample_id", "strategy", "label", "code")

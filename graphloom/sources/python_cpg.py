@@ -4,6 +4,9 @@ The one place where rows are taken apart in Python: a file at a time, out of ``b
 is parsed with the standard library's ``ast``; its columns are UTF-8 byte offsets, so node ids carry start bytes without
 bookkeeping. Files are parsed twice, as imports of one file resolve to exports of another; between the passes everything is
 joins. A file that does not parse gives a row of ``errors`` and the graph of those top-level blocks that do.
+
+Files of many checkouts go through together if each row says by ``graph_id`` which one it is of: imports resolve within a
+checkout only, and node ids begin with it, so equal paths stay apart in every later join.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom import model
 from graphloom.functions import text
+from graphloom.staging import materialize
 
 FUNCTION, CLASS, BLOCK, VARIABLE, CALL = "FunctionNode", "ClassNode", "CodeBlockNode", "VariableNode", "CallNode"
 _PREFIX = {FUNCTION: "function", CLASS: "class", BLOCK: "code_block", VARIABLE: "variable", CALL: "call"}
@@ -37,8 +41,13 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, only: str | Non
     else:
         files = files.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.py").load(root)
     path = text.relative_path(F.col("path"), re.sub("^file:/*", "/", root))
-    excluded = F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, model.EXCLUDED_DIRS)))
-    return files.select(path.alias("file_path"), "content").filter(~excluded)
+    return files.select(path.alias("file_path"), "content").filter(~excluded(path))
+
+
+def excluded(path: Column) -> Column:
+    """Whether a file lies in a directory that is never scanned."""
+    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    return F.arrays_overlap(folders, F.array(*map(F.lit, model.EXCLUDED_DIRS)))
 
 
 def decode(content: bytes) -> str:
@@ -384,7 +393,7 @@ def parse(path: str, content: bytes, imported: dict[str, str] | None = None) ->
     return {"nodes": [], "edges": [], "exports": [], "imports": [], "errors": errors[:1]}
 
 
-ROWS = "what string, ord bigint, a string, b string, c string, d string, file_path string, line_start int, line_end int, name string, kind string"
+ROWS = "what string, ord bigint, a string, b string, c string, d string, file_path string, line_start int, line_end int, name string, kind string, graph_id string"
 
 
 def _flat(path: str, got: dict[str, list]) -> Iterator[tuple]:
@@ -401,7 +410,7 @@ def _flat(path: str, got: dict[str, list]) -> Iterator[tuple]:
 
 
 def _pass(files: DataFrame) -> DataFrame:
-    """One parse of every file; an optional column ``imported`` maps local names to the nodes they import."""
+    """One parse of every file of each ``graph_id``; an optional column ``imported`` maps local names to the nodes they import."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ROWS.split(", ")]
@@ -409,36 +418,46 @@ def _pass(files: DataFrame) -> DataFrame:
             rows = []
             for r in batch.itertuples(index=False):
                 imported = dict(r.imported) if "imported" in batch.columns and r.imported is not None else {}
-                rows += _flat(r.file_path, parse(r.file_path, bytes(r.content), imported))
+                rows += [(*x, r.graph_id) for x in _flat(r.file_path, parse(r.file_path, bytes(r.content), imported))]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"line_start": "Int32", "line_end": "Int32"})
 
     return files.mapInPandas(run, ROWS)
 
 
+def scoped(graph_id: Column, identifier: Column) -> Column:
+    """An id that no other checkout has; the plain one where there is one checkout only."""
+    return F.when(graph_id == "", identifier).otherwise(F.concat(graph_id, F.lit("|"), identifier))
+
+
 def build(files: DataFrame) -> dict[str, DataFrame]:
-    """``nodes``, ``edges`` and ``errors`` of all files, imports linked to what they name."""
-    from graphloom.staging import materialize
+    """``nodes``, ``edges`` and ``errors`` of all files, imports linked to what they name.
 
-    first = materialize(_pass(files).filter("what in ('export', 'import')"), "symbols")
+    With ``graph_id`` in ``files``, of every checkout, and each row says of which; a null one is a checkout as well.
+    """
+    many = "graph_id" in files.columns
+    rows = files.select(F.coalesce("graph_id", F.lit("null")).alias("graph_id") if many else F.lit("").alias("graph_id"), "file_path", "content")
+    first = materialize(_pass(rows).filter("what in ('export', 'import')"), "symbols")
     module = text.module_name(F.col("file_path"))
-    exports = first.filter("what = 'export'").select(module.alias("module"), "name", F.col("a").alias("node"), "ord", "file_path")
-    w = Window.partitionBy("module", "name").orderBy("file_path", F.desc("ord"))
-    exports = exports.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("module", "name", "node")
+    exports = first.filter("what = 'export'").select("graph_id", module.alias("module"), "name", F.col("a").alias("node"), "ord", "file_path")
+    w = Window.partitionBy("graph_id", "module", "name").orderBy("file_path", F.desc("ord"))
+    exports = exports.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("graph_id", "module", "name", "node")
     imports = first.filter("what = 'import'").withColumn("here", module)
     package = F.when(F.endswith("file_path", F.lit("__init__.py")), F.col("here")).otherwise(F.regexp_replace("here", r"\.?[^.]+$", ""))
     parts = F.filter(F.split(package, r"\."), lambda x: x != "")
     level = F.col("b").cast("int")
     base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), ".")
     full = F.when(level == 0, F.col("a")).otherwise(F.array_join(F.filter(F.array(base, F.col("a")), lambda x: x != ""), "."))
-    linked = imports.withColumn("module", full).join(exports, ["module", "name"]).groupBy("file_path", "c").agg(F.max_by("node", "ord").alias("node"))
-    linked = linked.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("c", "node"))).alias("imported"))
-    rows = materialize(_pass(files.join(linked, "file_path", "left")), "parsed")
-    order = F.col("ord")
+    file = ["graph_id", "file_path"]
+    linked = imports.withColumn("module", full).join(exports, ["graph_id", "module", "name"]).groupBy(*file, "c").agg(F.max_by("node", "ord").alias("node"))
+    linked = linked.groupBy(*file).agg(F.map_from_entries(F.collect_list(F.struct("c", "node"))).alias("imported"))
+    rows = materialize(_pass(rows.join(linked, file, "left")), "parsed")
+    of = [F.col("graph_id")] if many else []
+    own = lambda c: scoped(F.col("graph_id"), F.col(c))
     nodes = rows.filter("what = 'node'").select(
-        F.col("a").alias("identifier"), "kind", "name", "file_path", "line_start", "line_end", F.lit(0).alias("token_count"), F.col("b").alias("type_hint"), F.col("c").alias("caller_id"), F.col("d").alias("callee_id"),
-        F.lit(0.0).alias("finding_evidence_score"), F.lit(0.0).alias("security_path_score"), order.alias("ord"),
+        *of, own("a").alias("identifier"), "kind", "name", "file_path", "line_start", "line_end", F.lit(0).alias("token_count"), F.col("b").alias("type_hint"), own("c").alias("caller_id"), own("d").alias("callee_id"),
+        F.lit(0.0).alias("finding_evidence_score"), F.lit(0.0).alias("security_path_score"), "ord",
     )
-    edges = rows.filter("what = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("type"), F.col("d").alias("operation"), order.alias("ord"))
-    errors = rows.filter("what = 'error'").select("file_path", F.col("a").alias("error"))
+    edges = rows.filter("what = 'edge'").select(*of, own("a").alias("src"), own("b").alias("dst"), F.col("c").alias("type"), F.col("d").alias("operation"), "ord")
+    errors = rows.filter("what = 'error'").select(*of, "file_path", F.col("a").alias("error"))
     return {"nodes": nodes, "edges": edges, "errors": errors}

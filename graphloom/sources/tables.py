@@ -29,10 +29,11 @@ def relational(spark: SparkSession, url: str, names: tuple[str, ...] = ("fixes",
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    """``file_path, line_no, text`` of ``files (file_path, content)``; bytes that are not UTF-8 are replaced."""
+    """``[graph_id,] file_path, line_no, text`` of ``files (file_path, content)``; bytes that are not UTF-8 are replaced."""
     body = F.decode("content", "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    rows = files.select("file_path", F.posexplode(F.split(body, "\r\n|\r|\n")).alias("at", "text"))
-    return rows.select("file_path", (F.col("at") + 1).alias("line_no"), "text")
+    keys = [c for c in ("graph_id", "file_path") if c in files.columns]
+    rows = files.select(*keys, F.posexplode(F.split(body, "\r\n|\r|\n")).alias("at", "text"))
+    return rows.select(*keys, (F.col("at") + 1).alias("line_no"), "text")
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to as many tasks as the session shuffles to, whatever their bytes.
+
+    Groups that Python works on cost time, not bytes: left to itself, adaptive execution merges their small partitions into a task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
