@@ -12,10 +12,11 @@ items and pairs). A node is pruned when the bins used plus the
 waste bound - remaining tokens over capacity, or the number of remaining lengths over half the capacity - reach the
 incumbent. Best-fit decreasing on the histogram gives the first incumbent, and every leaf may replace it.
 
-The search is bounded, so the plan is not always optimal, but it packs every piece in any case. A node tries ``FILLINGS``
-fillings at most: waste-free ones first, of which the first ``FILLINGS`` that a pair or three items close are looked up, and
-otherwise the best-filled of those met in ``_STEPS`` steps and of a greedy one. The search ends at the lower bound,
-``AFTER_LEAF`` nodes after the last better leaf, or after ``NODES`` nodes, and returns the incumbent.
+The search is bounded by default, so the plan is not always optimal, but it packs every piece in any case. A node tries
+``Search.fillings`` fillings at most: waste-free ones first, of which the first that a pair or three items close are looked up,
+and otherwise the best-filled of those met in ``Search.steps`` steps and of a greedy one. The search ends at the lower bound,
+``Search.after_leaf`` nodes after the last better leaf, or after ``Search.nodes`` nodes, and returns the incumbent. Each bound is
+a parameter; with ``EXHAUSTIVE``, which has none, every undominated filling is tried and the plan is optimal.
 
 Defined results
 ---------------
@@ -28,8 +29,10 @@ Defined results
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,12 +46,20 @@ from graphloom.llm import common
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 CLOSING_ID = 0
-#: Nodes of the search, nodes after its last improvement at a leaf, and fillings tried at one node.
-NODES = 6_000
-AFTER_LEAF = 1_000
-FILLINGS = 5
-#: Steps spent on enumerating the fillings of one node.
-_STEPS = 1_500
+
+
+@dataclass(frozen=True)
+class Search:
+    """Bounds of the search; none is no bound, and without all four the plan is optimal, in exponential time."""
+
+    nodes: int | None = 6_000
+    after_leaf: int | None = 1_000  # nodes after the last improvement at a leaf
+    fillings: int | None = 5  # tried at one node; bounded, fillings without waste go before all others
+    steps: int | None = 1_500  # spent on enumerating the fillings of one node
+
+
+EXHAUSTIVE = Search(None, None, None, None)
+_MOST = sys.maxsize
 
 
 # ---------------------------------------------------------------- the search
@@ -97,14 +108,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, n) for found in rooms.values() for p, n in found.items()]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int) -> list[Pattern]:
+def fillings(counts: dict[int, int], lengths: list[int], room: int, search: Search) -> list[Pattern]:
     """Undominated multisets of ``lengths`` (ascending, with ``counts`` each) that fit into ``room``, best-filled first."""
+    limit, most_steps = _MOST if search.fillings is None else search.fillings, _MOST if search.steps is None else search.steps
     usable = lengths[: bisect.bisect_right(lengths, room)]
     if not usable:
         return [()]
     if counts.get(room):
         return [(room,)]  # one item that fills the room dominates every other filling
-    exact = [p for p in _exact(counts, usable, room, limit) if not _dominated(p, 0, counts, usable)]
+    exact = search.fillings is not None and [p for p in _exact(counts, usable, room, limit) if not _dominated(p, 0, counts, usable)]
     if exact:
         return sorted(exact, key=lambda p: (len(p), tuple(-x for x in p)))[:limit]
     found: list[Pattern] = []
@@ -128,7 +140,7 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int)
             i -= 1
         if not any_fits and not _dominated(tuple(chosen), left, counts, usable):
             found.append(tuple(chosen))
-        return steps >= _STEPS or len(found) >= limit * 2
+        return steps >= most_steps or len(found) >= limit * 2
 
     extend([], room, len(usable) - 1)
     found.append(_greedy(counts, usable, room))
@@ -208,8 +220,9 @@ def _dominated(chosen: Pattern, left: int, counts: dict[int, int], usable: list[
     return False
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, search: Search = Search()) -> list[tuple[Pattern, int]]:
     """Patterns and how many sequences take each; together they use exactly the histogram."""
+    nodes, after_leaf = (_MOST if x is None else x for x in (search.nodes, search.after_leaf))
     counts = {k: v for k, v in counts.items() if v}
     fixed = []
     if n := counts.pop(capacity, 0):
@@ -243,7 +256,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         gone = not rest[top]
         if gone:
             lengths.pop()
-        options = fillings(rest, lengths, capacity - top, FILLINGS)
+        options = fillings(rest, lengths, capacity - top, search)
         if gone:
             lengths.append(top)
         rest[top] += 1
@@ -266,10 +279,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         chosen.append((p, n))
         used, left, large = used + n, left - n * sum(p), large - n * sum(2 * x > capacity for x in p)
         if used + max(-(-left // capacity), large) >= best:
-            last = min(last, visited + AFTER_LEAF)
+            last = min(last, visited + after_leaf)
             continue
         if not lengths:
-            best, incumbent, last = used, list(chosen), visited + AFTER_LEAF
+            best, incumbent, last = used, list(chosen), visited + after_leaf
             continue
         # Best fit completes the partial packing: a cheap incumbent at every node of the first dives.
         if visited % 64 == 1:
@@ -343,14 +356,14 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, text: str
 # ---------------------------------------------------------------- placing
 
 
-def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(rows: DataFrame, capacity: int = CAPACITY, search: Search = Search()) -> DataFrame:
     """``rows`` (staged, with ``length``) plus ``sequence_id`` and ``offset`` by the plan of their histogram."""
     spark = rows.sparkSession
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     slots: dict[int, list[tuple[int, int, int, int]]] = {}  # length -> (first rank, first sequence, a sequence's share, first offset)
     filled: dict[int, int] = dict.fromkeys(counts, 0)
     sequence = 0
-    for pattern, n in plan(counts, capacity):
+    for pattern, n in plan(counts, capacity, search):
         offset = 0
         for length in sorted(set(pattern), reverse=True):
             share = pattern.count(length)
@@ -385,10 +398,10 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.withColumn("_seat", seated).select(*rows.columns, "_seat.sequence_id", "_seat.offset")
 
 
-def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, search: Search = Search()) -> DataFrame:
     """Every piece of ``documents`` with its place."""
     common.prepare(documents.sparkSession)
-    return place(common.stage(pieces(documents.select("doc_id", "text"), path, capacity), "pieces"), capacity)
+    return place(common.stage(pieces(documents.select("doc_id", "text"), path, capacity), "pieces"), capacity, search)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
