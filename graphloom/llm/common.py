@@ -11,6 +11,7 @@ Conventions
 from __future__ import annotations
 
 import atexit
+import itertools
 import math
 import re
 import tempfile
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -29,9 +31,9 @@ ARROW_ROWS = 256
 ARROW_BYTES = 16 << 20
 #: Rows of two or three numbers in one staged file.
 ROWS_PER_FILE = 250_000
-#: Labels that a model knows at most: the most frequent ones, equally frequent ones by name.
-MAX_LABELS = 128
-#: Code points hashed at a time.
+#: A column of more different labels is no set of labels, and an error.
+MAX_LABELS = 4096
+#: Code points, or bytes of words, hashed at a time.
 SLICE = 1 << 18
 
 _staged: list[tuple[SparkSession, str]] = []
@@ -79,7 +81,17 @@ def stage(df: DataFrame, name: str, rows: int | None = None, narrow: bool = Fals
     path = f"{prepare(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(staged: DataFrame) -> None:
+    """Removes a staged table that no later step reads."""
+    spark, path = staged.sparkSession, staged.staged_at
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _staged.remove((spark, path))
 
 
 def whole_row(df: DataFrame) -> Column:
@@ -97,39 +109,37 @@ def bounded_sample(keys: DataFrame, label: str, key: str, per_label: int, seed:
     """At most ``per_label`` rows of each label, the least by a seeded hash of ``key``; how many rows each label has.
 
     A first pass counts the labels; a hash threshold then cuts each label to about four times its bound before the exact
-    cut, so that no label, however frequent, meets in one task. Rows of other than the ``MAX_LABELS`` most frequent labels
-    are left out, so a column that is no label set at all cannot fill the driver.
+    cut, so that no label, however frequent, meets in one task. Equal rows of ``keys`` count in the counts, and once in the sample.
     """
-    counted = keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MAX_LABELS)
+    counted = keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1)
     counts = {r[label]: r["n"] for r in counted.collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} different values are no labels")
+    if not counts:
+        return keys.limit(0), counts
     h = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     unit = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = None
-    for value, n in counts.items():
-        cut = F.lit(1.0 if n <= 4 * per_label else 4.0 * per_label / n)
-        share = F.when(F.col(label) == value, cut) if share is None else share.when(F.col(label) == value, cut)
-    if share is None:
-        return keys.limit(0), counts
+    shares = keys.sparkSession.createDataFrame([(v, min(1.0, 4.0 * per_label / n)) for v, n in counts.items()], keys.select(F.col(label), F.lit(0.0).alias("_share")).schema)
     w = Window.partitionBy(label).orderBy(h, F.col(key))
-    return keys.filter(unit <= share).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_label).drop("_rn"), counts
+    cut = keys.join(F.broadcast(shares), label).filter(unit <= F.col("_share")).select(*keys.columns).distinct()
+    return cut.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_label).drop("_rn"), counts
 
 
-# ---------------------------------------------------------------- hashing of texts in numpy
+def sampled_texts(documents: DataFrame, sample: DataFrame, keys: list[str], text: str = "_x") -> DataFrame:
+    """``documents`` of the sampled ``keys``, one row each: of repeated keys the text with the least hash stands for all.
+
+    A key's rows are reduced to one within each task first, so however often it repeats, what is fitted stays within the bound.
+    """
+    rows = documents.join(F.broadcast(sample), keys)  # a bounded sample
+    others = [c for c in sample.columns if c not in keys]
+    return rows.groupBy(*keys, *others).agg(F.min_by(text, F.struct(F.xxhash64(text), F.length(text))).alias(text))
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PI = np.uint64(pow(int(_P), -1, 1 << 64))
-_pow = np.ones(1, np.uint64)
-_ipow = np.ones(1, np.uint64)
 
+# ---------------------------------------------------------------- hashing of texts in numpy
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _ipow
-    if len(_pow) < n:
-        m = max(n, min(2 * len(_pow), SLICE), 1 << 14)
-        base, inv = np.full(m, _P, np.uint64), np.full(m, _PI, np.uint64)
-        base[0] = inv[0] = 1
-        _pow, _ipow = np.multiply.accumulate(base), np.multiply.accumulate(inv)
-    return _pow, _ipow
+_P = np.uint64(0x9E3779B97F4A7C15)
+#: Of the word hashes, so that no one text was made to collide.
+_SEED = 0x5851F42D4C957F2D
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,50 +152,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-
-
-_BLANK = re.compile(r"[\x20\x09-\x0D]")
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def words_of(text: str, lower: bool = False) -> Iterator[list[bytes]]:
+    """The words of a whole text as UTF-8, in lists of about ``SLICE`` bytes; a longer word stays whole, as one object."""
+    plain = text.encode("utf-8", "surrogatepass")
+    plain = plain.lower() if lower else plain  # A-Z only
+    at, end = 0, 0
+    while at < len(plain):
+        end = len(plain)
+        if end - at > SLICE and (blank := _BLANK.search(plain, at + SLICE)):
+            end = blank.start()
+        yield plain[at:end].split()
+        at = end
 
 
-def word_slices(text: str) -> Iterator[str]:
-    """The text in parts of about ``SLICE`` code points that end at a blank; only a longer word makes a longer part."""
-    at = 0
-    while at < len(text):
-        blank = _BLANK.search(text, at + SLICE)
-        end = blank.start() if blank else len(text)
-        yield text[at:end]
-        at = end
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def word_hashes(text: str, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of a whole text, A-Z lower-cased on demand, without a Python loop over words."""
-    parts = [np.zeros(0, np.uint64)]
-    for part in word_slices(text):
-        cp = code_points(part)
-        if lower:
-            cp += np.uint64(32) * ((cp >= 65) & (cp <= 90))
-        space = (cp == 32) | ((cp >= 9) & (cp <= 13))
-        edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        pw, ipw = _powers(len(cp) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((cp + np.uint64(1)) * pw[: len(cp)], dtype=np.uint64)))
-        parts.append(mix((sums[ends] - sums[starts]) * ipw[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(parts)
+    """A 64-bit hash of each word's bytes, A-Z lower-cased on demand; a word of any length costs its bytes."""
+    return np.frombuffer(b"".join(h for some in words_of(text, lower) for h in map(xxhash.xxh3_64_digest, some, itertools.repeat(_SEED))), np.uint64)
 
 
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def char_ngrams(cp: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Hashed character n-grams, ``bits`` wide."""
-    if len(cp) < n:
-        return np.zeros(0, np.int64)
-    x = np.full(len(cp) - n + 1, n, np.uint64)
-    for i in range(n):
-        x = (x ^ cp[i : len(cp) - n + 1 + i]) * _K[i % 4]
-        x ^= x >> np.uint64(29)
-    return ((x * _P) >> np.uint64(64 - bits)).astype(np.int64)
+_K32 = [np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+
+
+def char_ngrams(cp: np.ndarray, sizes: tuple[int, ...], bits: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """Hashed character n-grams, ``bits`` wide, of each of the ascending sizes; of the first ``most`` places only. A size goes on from the one before."""
+    x = cp[:0]
+    for n in range(1, sizes[-1] + 1):
+        if len(cp) < n:
+            return
+        x = (cp ^ _K32[3] if n == 1 else x[:-1] ^ cp[n - 1 :]) * _K32[n % 4]
+        x ^= x >> np.uint32(15)
+        if n in sizes:
+            yield ((x[:most] * _K32[2]) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def term_counts(text: str, bits: int, chars: tuple[int, ...] = (1, 2, 3), words: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -193,19 +199,38 @@ def term_counts(text: str, bits: int, chars: tuple[int, ...] = (1, 2, 3), words:
 
     Word bigrams that repeat a word are hashed as a back-reference, so that repetition looks alike whatever the word.
     """
-    total = np.zeros(1 << bits, np.int64)
+    return counted(_term_hashes(text, bits, chars, words), bits)
+
+
+def _term_hashes(text: str, bits: int, chars: tuple[int, ...], words: bool) -> Iterator[np.ndarray]:
     for at in range(0, len(text) if chars else 0, SLICE):
-        cp = code_points(text[at : at + SLICE + max(chars) - 1])
-        for n in chars:
-            total += np.bincount(char_ngrams(cp[: SLICE + n - 1], n, bits), minlength=1 << bits)
+        yield from char_ngrams(code_points(text[at : at + SLICE + max(chars) - 1]), chars, bits, SLICE)
     if words and len(w := word_hashes(text)):
         shift = np.uint64(64 - bits)
-        total += np.bincount((mix(w + _K[1]) >> shift).astype(np.int64), minlength=1 << bits)
+        yield (mix(w + _K[1]) >> shift).astype(np.int64)
         if len(w) > 1:
             pair = np.where(w[1:] == w[:-1], _K[2], mix(w[:-1] * _K[0] + w[1:]))
-            total += np.bincount((mix(pair + _K[3]) >> shift).astype(np.int64), minlength=1 << bits)
-    at = np.flatnonzero(total)
-    return at, total[at]
+            yield (mix(pair + _K[3]) >> shift).astype(np.int64)
+
+
+def counted(hashes: Iterator[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below ``2**bits`` and how often each occurs: sorted where they are few, else in an array of counts."""
+    waiting, held, total = [], 0, None
+    for h in hashes:
+        waiting.append(h)
+        held += len(h)
+        if held >= SLICE:
+            now = np.bincount(np.concatenate(waiting), minlength=1 << bits)
+            total = now if total is None else total + now
+            waiting, held = [], 0
+    if held:
+        rest = np.concatenate(waiting)
+        if total is None and held << 4 < 1 << bits:
+            return np.unique(rest, return_counts=True)
+        now = np.bincount(rest, minlength=1 << bits)
+        total = now if total is None else total + now
+    at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
+    return at, total[at] if total is not None else at
 
 
 def flat(lists: pd.Series, dtype: type) -> np.ndarray:

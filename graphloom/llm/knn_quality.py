@@ -10,7 +10,8 @@ Defined results
 ---------------
 * null or empty text, or a text without any known direction: score 0.5 (no neighbour has a positive similarity);
 * nothing to learn from: every score is 0.5; labels of one kind only: that label wins every vote;
-* null ids count as held out and are never learned from; repeated rows: one result each; ties between equally near
+* null ids count as held out and are never learned from; repeated rows: one result each, and of an id with several texts the
+  one with the least hash is learned from; ties between equally near
   vectors go to the one fitted first (ascending doc_id); empty table, empty result; other columns, whatever
   their names, come back within ``row``.
 """
@@ -111,7 +112,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     sample, _ = common.bounded_sample(known, "_y", "_id", per_label, "knn")  # at most 2 * per_label rows of two numbers
-    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")).join(F.broadcast(sample), "_id")
+    texts = common.sampled_texts(documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")), sample, ["_id"])
     rows = common.sparse_rows(texts, "_x", BITS, ["_id", "_y"], _terms).toPandas().sort_values("_id", kind="stable")
     dim = 1 << BITS
     if not len(rows):

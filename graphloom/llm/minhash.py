@@ -14,15 +14,16 @@
    until all but its largest part have been compared, so a dense task costs little more than its size.
 4. Connected components of the links give each class, and through it each document, the least reachable ``doc_id``.
 
-A set's elements are 64-bit hashes of the shingles. No step collects anything of corpus size on the driver, and no bucket or
-cluster has a cap. What stays quadratic, in blocks, is a bucket that holds far more than a block of documents which agree in
+Sketches and classes see 64-bit hashes of the words' bytes; what is compared in step 3 are the words themselves, numbered within
+the task. No step collects anything of corpus size on the driver, and no bucket or cluster has a cap. What stays quadratic, in blocks, is a bucket that holds far more than a block of documents which agree in
 its band and yet are not linked.
 
 Defined results
 ---------------
 * null or empty text, or a text without words: no shingles, linked with nothing, its own group;
 * null ``doc_id``: takes no part in linking, ``component_id`` null, kept;
-* repeated rows: each row has the component of its own text; rows equal in ``doc_id`` and text stay or go together;
+* repeated rows: each row has the component of its own text; rows equal in ``doc_id`` and text stay or go together, and
+  only one of them, however many there are, is ever fetched for a comparison;
 * an empty table gives an empty result; other columns are carried by :func:`deduplicate` and ignored by :func:`groups`.
 """
 
@@ -52,6 +53,29 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return sketch.shingle_set(common.word_hashes(text or "", lower=True), width)
 
 
+def exact_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The shingle sets of some texts as sorted numbers, equal exactly where the shingles' words are equal."""
+    known: dict[bytes, int] = {}
+    parts = []
+    for t in texts:
+        own = [np.fromiter((known.setdefault(w, len(known)) for w in some), np.int64, len(some)) for some in common.words_of(t or "", lower=True)]
+        parts.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+    size = np.array([len(p) for p in parts], np.int64)
+    word = np.concatenate([*parts, np.zeros(width, np.int64)])
+    rank = word
+    for i in range(1, width):  # the number of what begins here, one word longer each time
+        rank = np.unique(rank[:-1] * len(known) + word[i:], return_inverse=True)[1]
+    short: dict[bytes, int] = {}
+    out, at = [], 0
+    for p, n in zip(parts, size.tolist(), strict=True):
+        if n >= width:
+            out.append(np.unique(rank[at : at + n - width + 1]))
+        else:  # fewer words than a shingle are one of their own kind
+            out.append(np.array([-1 - short.setdefault(p.tobytes(), len(short))] if n else [], np.int64))
+        at += n
+    return out
+
+
 def _signatures(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, text_hash, chars, digest, n_shingles, bands``; the digest and bands of an empty set are null."""
     rows, bands = sketch.choose_bands(percent / 100)
@@ -136,7 +160,7 @@ def _links(width: int, percent: int):
         rows = rows.sort_values("id", kind="stable")
         ids, out = rows["id"].to_list(), []
         if len(ids) > 1:
-            out = [(ids[i], ids[j]) for i, j in connect([shingles(t, width) for t in rows["_x"]], rows["part"].to_list(), percent)]
+            out = [(ids[i], ids[j]) for i, j in connect(exact_sets(rows["_x"].to_list(), width), rows["part"].to_list(), percent)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return compare
@@ -226,16 +250,19 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     common.prepare(documents.sparkSession)
     signed = common.stage(_signatures(documents, width, percent), "signatures")
     live = signed.filter("doc_id is not null and digest is not null")
-    classes = live.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("h"))
-    classes = common.stage(classes.select("digest", F.col("h.doc_id").alias("id"), "h.text_hash"), "classes", narrow=True)
-    heads = live.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
+    # One row stands for a class, however many rows it has: of the least id, the text with the least hash.
+    least = F.struct(F.col("doc_id").alias("id"), "text_hash", "chars")
+    heads = common.stage(live.groupBy("digest").agg(F.min(least).alias("h"), F.first("bands").alias("bands")).select("digest", "h.*", "bands"), "heads")
+    classes = heads.select("digest", "id")
     rows = heads.select("id", F.explode("bands").alias("bucket"))
     least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most")
     stars = rows.join(least.select("bucket", "b"), "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
     clusters = components(stars).withColumnRenamed("component", "cluster")
-    members = heads.select("id", "text_hash", "chars").distinct().join(clusters, "id").select("cluster", "id", "text_hash", "chars")
+    members = heads.select("id", "text_hash", "chars").join(clusters, "id").select("cluster", "id", "text_hash", "chars")
     members = common.stage(members, "members", narrow=True)
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("_x")).filter("id is not null").withColumn("text_hash", F.xxhash64("_x"))
+    if not live.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        texts = texts.groupBy("id", "text_hash").agg(F.first("_x").alias("_x"))  # repeated rows shrink within each task first
     found = components(_verified(texts, members, heads.select("id", "bands"), width, percent))
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "named", narrow=True)

@@ -70,7 +70,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     sample, _ = common.bounded_sample(known, "_y", "_id", per_label)  # at most 2 * per_label rows of two numbers
-    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")).join(F.broadcast(sample), "_id")
+    texts = common.sampled_texts(documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_x")), sample, ["_id"])
     rows = common.sparse_rows(texts, "_x", BITS, ["_id", "_y"]).toPandas().sort_values("_id", kind="stable")
     if rows["_y"].nunique() < 2:
         return None
