@@ -3,14 +3,15 @@
 Equal vectors form one point that remembers its ``k + 1`` least ids (enough for exact ties), so a vector with a third of all
 rows is one node. Points are dealt to shards of about ``SHARD`` by a hash; each shard builds its graph in one task: points
 are inserted in batches, a greedy beam search over the graph so far proposes neighbours, and robust pruning keeps an edge
-only if no kept neighbour is closer to its end by the factor ``ALPHA``. Blocks of queries meet every shard; a beam search
-finds candidates there, and the cosines of all of them are then computed on the original vectors. Distances are in double
+only if no kept neighbour is closer to its end by the factor ``ALPHA``. Queries meet every shard: a shard goes to its task once,
+in front of all blocks of queries, which stream past it. A beam search finds candidates there, and the cosines of all of them are then computed on the original vectors. Distances are in double
 precision throughout: in single precision, points within 1e-4 of each other cannot be told apart.
 
 Defined results
 ---------------
 * vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null id, take no part;
-* vectors of different lengths are never compared; repeated rows count once; an id is never its own neighbour;
+* vectors of different lengths are never compared; repeated rows count once, and an id with several vectors has the least of
+  them, compared component by component, as query and as candidate; an id is never its own neighbour;
 * ties go to the smaller ``vec_id``; fewer candidates than ``k``: all of them; an empty table gives an empty result;
 * other columns are ignored.
 """
@@ -184,7 +185,8 @@ def _reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, degree: int,
 def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return rows.filter("id is not null and v is not null and size(v) > 0").filter(finite).filter(F.exists("v", lambda c: c != 0)).withColumn("dim", F.size("v"))
+    rows = rows.filter("id is not null and v is not null and size(v) > 0").filter(finite).filter(F.exists("v", lambda c: c != 0))
+    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -212,26 +214,33 @@ def _build_shard(part: pd.DataFrame) -> pd.DataFrame:
 _INDEX = "dim int, shard int, n int, vectors binary, graph binary, start binary, ids binary, n_ids binary"
 
 
-def search_shard(row, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of one shard for each query of one block."""
-    v = np.frombuffer(row.vectors, np.float64).reshape(row.n, row.dim)
-    q = np.array(list(row.q), np.float64).reshape(-1, row.dim)
-    x, unit = _unit(v), _unit(q)
-    found, _ = beam_search(x, np.frombuffer(row.graph, np.int32).reshape(row.n, -1), np.frombuffer(row.start, np.int32), unit, SEARCH_BEAM)
-    ids = np.split(np.frombuffer(row.ids, np.int64), np.cumsum(np.frombuffer(row.n_ids, np.int64))[:-1])
-    out = []
-    for query, own, u, near in zip(row.qid, q, unit, found, strict=True):
-        near = near[near >= 0]
-        exact = np.clip((x[near] * u).sum(1), -1, 1)
-        exact[(v[near] == own).all(1)] = 1.0
-        hits = [(-s, int(i)) for s, p in zip(exact, near, strict=True) for i in ids[p] if i != query]
-        out += [(int(query), i, -s) for s, i in sorted(hits)[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+class Shard:
+    """One shard in a task, ready to be searched."""
+
+    def __init__(self, row) -> None:
+        n = int(row.n)  # beside rows of queries, which have none, a double
+        self.v = np.frombuffer(row.vectors, np.float64).reshape(n, row.dim)
+        self.x = _unit(self.v)
+        self.graph, self.start = np.frombuffer(row.graph, np.int32).reshape(n, -1), np.frombuffer(row.start, np.int32)
+        self.ids = np.split(np.frombuffer(row.ids, np.int64), np.cumsum(np.frombuffer(row.n_ids, np.int64))[:-1])
+
+    def nearest(self, qid, q: np.ndarray, k: int) -> pd.DataFrame:
+        """The ``k`` nearest points for each query of a block."""
+        unit = _unit(q)
+        found, _ = beam_search(self.x, self.graph, self.start, unit, SEARCH_BEAM)
+        out = []
+        for query, own, u, near in zip(qid, q, unit, found, strict=True):
+            near = near[near >= 0]
+            exact = np.clip((self.x[near] * u).sum(1), -1, 1)
+            exact[(self.v[near] == own).all(1)] = 1.0
+            hits = [(-s, int(i)) for s, p in zip(exact, near, strict=True) for i in self.ids[p] if i != query]
+            out += [(int(query), i, -s) for s, i in sorted(hits)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
 def index(vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row a shard: its points, their ids and the graph. A staged table."""
-    rows = _valid(vectors, vec_id, embedding).dropDuplicates(["id", "v"])
+    rows = _valid(vectors, vec_id, embedding)
     least = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("_rn") <= k + 1)
     points = least.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
     points = common.stage(points, "points")
@@ -246,22 +255,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "v
     spark = vectors.sparkSession
     common.prepare(spark)
     graph = index(vectors, k, vec_id, embedding)
-    asked = common.stage(_valid(queries, vec_id, embedding).dropDuplicates(["id"]), "queries")
+    asked = common.stage(_valid(queries, vec_id, embedding), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
     packed = packed.groupBy("dim", "block").agg(F.collect_list("id").alias("qid"), F.flatten(F.collect_list("v")).alias("q"))
-    # Each block goes to each shard by the shard's number; shards of another vector length drop out in the join.
-    shards = graph.agg(F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()[0]
-    numbers = F.sequence(F.lit(0), F.lit(shards - 1)) if shards else F.array().cast("array<int>")
-    packed = packed.withColumn("shard", F.explode(numbers)).repartition(max(1, shards), "dim", "shard")
-    met = packed.join(graph.repartition(max(1, shards), "dim", "shard").hint("merge"), ["dim", "shard"])
+    # A row of each shard and, behind it, one of each block of its vectors' length; the shards' numbers are few, their bytes are not sent.
+    numbers = graph.select("dim", "shard").groupBy("dim").agg(F.collect_list("shard").alias("_s"))
+    met = packed.join(numbers, "dim").withColumn("shard", F.explode("_s")).drop("_s")
+    both = graph.withColumn("block", F.lit(-1).cast("long")).unionByName(met, allowMissingColumns=True)
+    shards = max(1, graph.count())
+    both = both.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield search_shard(row, k)
+                if row.block < 0:
+                    shard = Shard(row)
+                else:
+                    yield shard.nearest(row.qid, np.array(list(row.q), np.float64).reshape(-1, row.dim), k)
 
-    hits = common.stage(met.mapInPandas(search, "query_id long, vec_id long, score double"), "hits")
+    hits = common.stage(both.mapInPandas(search, "query_id long, vec_id long, score double"), "hits")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
