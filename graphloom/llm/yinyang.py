@@ -42,7 +42,7 @@ SMALL = 1 << 24
 #: Vectors handled at a time, times centroids.
 CELLS = 1 << 16
 
-_STATE = "sums boolean, id long, x array<double>, cluster int, upper double, lower array<double>, n long, total array<string>"
+_STATE = "sums boolean, id string, x array<double>, cluster int, upper double, lower array<double>, n long, total array<string>"
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -186,6 +186,8 @@ def _pass(state: DataFrame, now: Round, scale: int, seen: bool) -> DataFrame:
                 count += np.bincount(own, minlength=k)
                 yield part[["id", "x"]].assign(sums=False, cluster=own, upper=upper, lower=list(lower), n=None, total=None)[_COLUMNS]
         some = np.flatnonzero(count)
+        if not len(some):
+            return
         empty = [None] * len(some)
         yield pd.DataFrame({"sums": True, "id": empty, "x": empty, "cluster": some, "upper": empty, "lower": empty, "n": count[some], "total": [[str(v) for v in total[c]] for c in some]})[_COLUMNS]
 
@@ -195,12 +197,6 @@ def _pass(state: DataFrame, now: Round, scale: int, seen: bool) -> DataFrame:
 _COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors and sums of a round: one table, written once; a reader of the sums touches no vector's components."""
-    both = common.stage(df, name)
-    return both.filter("not sums"), both.filter("sums")
-
-
 def _summed(sums: DataFrame, spark: SparkSession) -> dict[int, tuple[int, list[int]]]:
     each = sums.select("cluster", "n", F.posexplode("total").alias("at", "v"))
     added = each.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).cast("string").alias("v"))
@@ -225,21 +221,25 @@ def cluster(
     common.prepare(spark)
     if k * dims > CENTROID_NUMBERS:
         raise ValueError(f"{k} centroids of {dims} components are more than every task can hold")
-    kept = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x"))
+    # Ids stay text within the rounds: a null beside them would turn numbers into doubles.
+    kept = vectors.select(F.col(vec_id).cast("string").alias("id"), F.col(embedding).cast("array<double>").alias("x"))
     kept = kept.filter(F.size("x") == dims).filter(F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))))
-    hashed = kept.filter("id is not null").select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"), 256).alias("h"), "x")
+    hashed = kept.filter("id is not null").select(F.sha2(F.concat(F.lit(f"{seed}:"), "id").cast("binary"), 256).alias("h"), "x")
     start = [_floor(np.array([r["x"]], np.float64), scale)[0].tolist() for r in hashed.orderBy("h", "x").limit(k).collect()]
     centroids = [[int(v) for v in row] for row in start]
     if not centroids:
         return kept.limit(0).withColumn("cluster", F.lit(0)), []
     group = group_centroids(centroids, min(len(centroids), groups or max(1, len(centroids) // 4)))
-    before, state = None, kept
-    for _ in range(rounds):
-        state, sums = _write(_pass(state, Round(centroids, before, group), scale, before is not None), "round")
-        before, centroids = centroids, list(centroids)
-        for c, (n, total) in _summed(sums, spark).items():
-            centroids[c] = [v // n for v in total]
-    state, _ = _write(_pass(state, Round(centroids, before, group), scale, before is not None), "final")
+    before, state, table = None, kept, None
+    for k_round in range(rounds + 1):
+        old, table = table, common.stage(_pass(state, Round(centroids, before, group), scale, before is not None), "round")
+        if old is not None:
+            common.release(old)  # two rounds are on disk at most
+        state = table.filter("not sums")
+        if k_round < rounds:
+            before, centroids = centroids, list(centroids)
+            for c, (n, total) in _summed(table.filter("sums"), spark).items():  # no vector's components are read for these
+                centroids[c] = [v // n for v in total]
     return state.select("id", "x", "cluster"), centroids
 
 
@@ -264,7 +264,7 @@ def measured(clustered: DataFrame, centroids: list[list[int]], scale: int = 1024
     fits = lambda v: v if v is not None and v < 1 << 63 else None
     known = spark.createDataFrame([(c, fits(own.get(c, 0)), fits(total), digest[c]) for c in range(len(centroids))], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     out = rows.join(F.broadcast(known), "cluster")  # k rows
-    return out.select(F.col("id").alias("vec_id"), "cluster", long("d").alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")
+    return out.select(F.col("id").cast("long").alias("vec_id"), "cluster", long("d").alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
