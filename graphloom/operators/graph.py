@@ -1,9 +1,9 @@
 """The property graph: upserts, lookups by lines, bounded traversals, induced subgraphs.
 
 A traversal holds ``(context, start[, type], node)`` once per node with its least hop. Each level is one join of the frontier
-with the adjacency on the node id and one anti-join with what was seen; both sides are hash-partitioned tables, no level is
-collected, and each is written to the shared checkpoint folder so that the plan does not grow with the depth. A hub is a
-skewed key of an equi-join, which adaptive execution splits.
+with bucketed lists of neighbours, which are read where they lie, and one anti-join with what was seen; no level is collected,
+and each is written to the shared checkpoint folder so that the plan does not grow with the depth. The lists of a hub are
+spread over the buckets, and its rows of the frontier go to each of them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from graphloom import model
 from graphloom.functions import scores
 from graphloom.operators import intervals
-from graphloom.staging import materialize
+from graphloom.staging import bucketed, materialize
 
 
 @dataclass(frozen=True)
@@ -116,20 +116,57 @@ def adjacency(edges: DataFrame, types: tuple[str, ...] | None = None, directed:
     return rows if typed else rows.select("at", "to")
 
 
+@dataclass(frozen=True)
+class Neighbours:
+    """The adjacency as lists, bucketed by node (and type) and part: a level joins it without an exchange.
+
+    A node with more than ``LIST`` neighbours is a hub: its neighbours lie in several parts, in different buckets, and ``hubs`` says
+    in how many, so that no task reads them all.
+    """
+
+    lists: DataFrame  # at[, etype], part, to: array
+    hubs: DataFrame  # at[, etype], parts
+    keys: list[str]
+
+    def of(self, front: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys, id``: where one hop leads from the rows ``keys, id`` of ``front``."""
+        at = front.withColumnRenamed("id", "at").join(self.hubs, self.keys, "left")
+        at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return at.join(self.lists, [*self.keys, "part"]).select(*keys, F.explode("to").alias("id"))
+
+
+#: Neighbours in a list.
+LIST = 4096
+
+
+def neighbours(adj: DataFrame) -> Neighbours:
+    """Writes ``adj (at, to[, etype])`` as bucketed lists."""
+    keys = [c for c in ("at", "etype") if c in adj.columns]
+    degrees = adj.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LIST)
+    hubs = materialize(degrees.select(*keys, F.ceil(F.col("n") / LIST).cast("int").alias("parts")), "hubs")
+    part = F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = adj.join(hubs, keys, "left").select(*keys, part.alias("part"), "to")
+    n = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = dealt.repartition(n, *keys, "part").groupBy(*keys, "part").agg(F.collect_set("to").alias("to"))  # where they are already
+    return Neighbours(bucketed(lists, "lists", [*keys, "part"]), hubs, keys)
+
+
 def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int, mark_start: bool = True, symmetric: bool = False) -> DataFrame:
     """``keys, id, depth``: the least number of hops, at most ``max_depth``, from a row ``keys, id`` of ``start``.
 
-    ``adj`` may carry some of ``keys`` (an edge type), which then hold along the whole path. With ``mark_start`` the start is
-    found at depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads
-    to depths d - 1, d and d + 1 only, so no earlier level is read again.
+    ``adj`` may carry a key (an edge type), which then holds along the whole path. With ``mark_start`` the start is found at
+    depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads to depths
+    d - 1, d and d + 1 only, so no earlier level is read again. For more than one hop the adjacency is written as bucketed lists.
     """
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
+    near = neighbours(adj) if max_depth > 1 else None
     for depth in range(1, max_depth + 1):
-        step = front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id")).distinct()
+        step = near.of(front, keys) if near else front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id"))
+        step = step.distinct()
         if levels:
             seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in (levels[-2:] if symmetric else levels)])
             step = step.join(seen, [*keys, "id"], "left_anti")

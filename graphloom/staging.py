@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,8 +39,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """A table written in buckets by ``keys``, as many as the session shuffles to: a join on just these reads it without an exchange.
+
+    Rows are dealt to the buckets' tasks first, so each bucket is one file.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"graphloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graphloom/{table}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _written.append((spark, path))
+    _tables.append((spark, table))
+    return spark.table(table)
+
+
 @atexit.register
 def _clear() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"drop table if exists {table}")
+        except Exception:  # noqa: BLE001  no session left, and no catalog of it
+            break
     for spark, path in _written:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
