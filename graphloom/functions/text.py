@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import model
@@ -34,6 +34,11 @@ def generated(path: Column, snippet: Column) -> Column:
     return F.endswith(low, F.lit(model.GENERATED_SUFFIX)) | segment | contains_any(header, model.GENERATED_HEADERS)
 
 
+def decoded(files: DataFrame, column: str = "content") -> Column:
+    """A file's text; of bytes that are no UTF-8, one replacement character for each run that cannot be read."""
+    return F.make_valid_utf8(F.col(column).cast("string")) if dict(files.dtypes)[column] == "binary" else F.col(column)
+
+
 def parent_dir(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^(.*)/[^/]*$", 1)).otherwise("")
 

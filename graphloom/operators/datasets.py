@@ -108,7 +108,7 @@ def locate(files: DataFrame, needles: DataFrame, keys: tuple[str, ...] = ("file_
 
     find.__annotations__ = {"content": pd.Series, "code": pd.Series, "return": pd.DataFrame}
     hit = pandas_udf(find, "start_line int, end_line int")(F.col("content"), F.col("code"))
-    return needles.join(files.select(*keys, "content"), list(keys)).withColumn("_hit", hit).select(*needles.columns, "_hit.*")
+    return needles.join(files.select(*keys, text.decoded(files).alias("content")), list(keys)).withColumn("_hit", hit).select(*needles.columns, "_hit.*")
 
 
 def find_lines(content: str | None, code: str | None) -> tuple[int, int] | None:

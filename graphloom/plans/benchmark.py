@@ -1,8 +1,8 @@
-"""Benchmarks that compare rankings: pairs of a commit's sides, a context of each strategy, numbered samples, entries."""
+"""Benchmarks that compare rankings: pairs of a commit's sides, a context of each strategy, numbered samples, entries, keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import Coefficients
@@ -22,9 +22,9 @@ def graph_id(of: Column | None = None) -> Column:
     return F.md5(F.concat_ws("\n", "repo_url", "hash", side).cast("binary"))
 
 
-def context_spans(pairs: DataFrame) -> DataFrame:
-    """``context_id, graph_id, file_path, start_line, end_line`` of both sides, for :func:`graphloom.plans.assemble.roots`."""
-    rows = pairs.select(context_id().alias("context_id"), graph_id().alias("graph_id"), F.explode("files").alias("f"))
+def context_spans(pairs: DataFrame, of: Column | None = None) -> DataFrame:
+    """``context_id, graph_id, file_path, start_line, end_line`` of both sides, for :func:`graphloom.plans.assemble.roots`; ``of`` names a context."""
+    rows = pairs.select((context_id() if of is None else of).alias("context_id"), graph_id().alias("graph_id"), F.explode("files").alias("f"))
     rows = rows.select("context_id", "graph_id", "f.file_path", F.explode("f.spans").alias("s"))
     return rows.select("context_id", "graph_id", "file_path", "s.start_line", "s.end_line")
 
@@ -85,26 +85,8 @@ def write(rows: DataFrame, path: str, name: str, strategies: list[str]) -> dict[
     return out
 
 
-# ---------------------------------------------------------------- prepared samples
-
 def keyed(pairs: DataFrame, depth: int, **options: object) -> DataFrame:
     """``pairs`` with a ``cache_key`` of all that a prepared sample depends on."""
     spans = F.array_join(F.transform(F.array_sort("files"), lambda f: F.concat_ws(":", f["file_path"], F.array_join(F.transform(F.array_sort(f["spans"]), lambda s: F.concat_ws("-", s["start_line"].cast("string"), s["end_line"].cast("string"))), ","))), ";")
     rest = [F.lit(f"{k}={options[k]}") for k in sorted(options)]
     return pairs.withColumn("cache_key", text.cache_key([F.lit("1"), F.col("repo_url"), F.col("hash"), F.col("is_vulnerable"), F.lit(depth), spans, *rest]))
-
-
-def save_prepared(rows: DataFrame, path: str) -> None:
-    """Adds prepared rows to the folder, a partition a ``cache_key``; a key that is there is replaced, others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
-
-
-def load_prepared(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """The prepared rows, or those of ``keys``; files that cannot be read are left out."""
-    rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
-    return rows.join(keys.select("cache_key").distinct(), "cache_key", "left_semi") if keys is not None else rows
-
-
-def list_prepared(spark: SparkSession, path: str) -> DataFrame:
-    """``cache_key`` of every prepared sample."""
-    return load_prepared(spark, path).select("cache_key").distinct()

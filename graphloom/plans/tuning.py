@@ -1,4 +1,7 @@
-"""Tuning as data: all weightings of a batch are judged in one job, and a study's batches are rows that a later run goes on from."""
+"""Tuning as data: all weightings of a batch are judged in one job, and a study's batches are rows that a later run goes on from.
+
+What is tried next follows from the judged trials (:mod:`graphloom.plans.parzen`).
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from graphloom import config
 from graphloom.config import BudgetConfig, Coefficients
 from graphloom.functions import scores
 from graphloom.operators import datasets, ranking, selection
-from graphloom.plans import review
+from graphloom.plans import parzen, review
 from graphloom.staging import materialize
 
 Config = Coefficients | BudgetConfig
@@ -125,19 +128,6 @@ def best(results: DataFrame) -> str | None:
     return row["best"]
 
 
-def _drawn(rng: random.Random, bounds: tuple[float, ...], around: float | None, spread: float) -> float:
-    lo, hi, *step = bounds
-    x = rng.uniform(lo, hi) if around is None else min(hi, max(lo, rng.gauss(around, spread * (hi - lo) / 4)))
-    return lo + step[0] * round((x - lo) / step[0]) if step else x
-
-
-def _at(c: Config, key: str) -> float:
-    now = asdict(c)
-    for part in key.split("."):
-        now = now[part]
-    return now
-
-
 def studied(spark: SparkSession, path: str) -> DataFrame:
     """``batch, config_id, weights, accuracy`` of the batches that a study has judged; of none, where there is no study yet."""
     try:
@@ -149,29 +139,31 @@ def studied(spark: SparkSession, path: str) -> DataFrame:
 
 
 def search(base: Config, space: Space, judge: Callable[[dict[str, Config]], DataFrame], batches: int = 3, size: int = 16, seed: int = 7, study: str | None = None) -> tuple[Config, float]:
-    """Random batches, each after the first drawn around the best so far; one ``judge`` job a batch gives the accuracies.
+    """Batches of trials, one ``judge`` job each; the first is drawn evenly, each later one by :func:`graphloom.plans.parzen.batch`.
 
     Each judged batch is added to the folder ``study``. A later search with the same arguments goes on after the last one
-    and ends where it would have ended at once; with more ``batches`` it goes further.
+    and ends where it would have ended at once; with more ``batches`` it goes further. A trial without a result is no trial.
     """
     spark = SparkSession.active()
     done = studied(spark, study).orderBy("batch", "config_id").collect() if study else []  # a row a trial
-    top, top_score = base, -1.0
-
-    def better(row) -> bool:
-        return row["accuracy"] is not None and row["accuracy"] > top_score
-
+    top, top_score, trials = base, -1.0, []
     for b in range(batches):
         rows = [r for r in done if r["batch"] == b]
         if not rows:
-            rng = random.Random(f"{seed}-{b}")
-            made = {f"{b}-{i}": {k: _drawn(rng, v, None if b == 0 else _at(top, k), 0.5**b) for k, v in space.items()} for i in range(size)}
+            drawn = parzen.batch(random.Random(f"{seed}-{b}"), space, trials, size, size)
+            made = {f"{b}-{i}": _whole(space, w) for i, w in enumerate(drawn)}
             found = {r["config_id"]: r["accuracy"] for r in judge({n: config.overlay(base, w) for n, w in made.items()}).collect()}
             rows = [{"batch": b, "config_id": n, "weights": {k: float(x) for k, x in w.items()}, "accuracy": found.get(n)} for n, w in sorted(made.items())]
             if study:
                 spark.createDataFrame(rows, _STUDY).coalesce(1).write.mode("append").parquet(study)
         for r in rows:
-            if better(r):
-                whole = {k: int(x) if len(space.get(k, ())) == 3 else x for k, x in r["weights"].items()}
-                top, top_score = config.overlay(base, whole), r["accuracy"]
+            if r["accuracy"] is None:
+                continue
+            trials.append((dict(r["weights"]), r["accuracy"]))
+            if r["accuracy"] > top_score:
+                top, top_score = config.overlay(base, _whole(space, r["weights"])), r["accuracy"]
     return top, top_score
+
+
+def _whole(space: Space, weights: dict[str, float]) -> dict[str, float]:
+    return {k: int(x) if len(space.get(k, ())) == 3 else x for k, x in weights.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
+
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a ``.csv``, ``.tsv`` or ``.parquet`` path; all delimited columns are text. Another suffix is an error."""
@@ -16,13 +18,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path}: a .csv, .tsv or .parquet is needed")
 
 
-def json_documents(spark: SparkSession, pattern: str, exclude: str = "") -> DataFrame:
-    """One row a JSON document, with ``file_name``, by which the documents of several runs belong together."""
-    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(pattern)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"))
-    return rows.filter(~F.contains("file_path", F.lit(exclude))) if exclude else rows
-
-
 def relational(spark: SparkSession, url: str, names: tuple[str, ...] = ("fixes", "file_change", "cve", "cwe_classification"), **options: str) -> dict[str, DataFrame]:
     """Tables of a JDBC database."""
     return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
@@ -30,11 +25,7 @@ def relational(spark: SparkSession, url: str, names: tuple[str, ...] = ("fixes",
 
 def source_lines(files: DataFrame) -> DataFrame:
     """``[graph_id,] file_path, line_no, text`` of ``files (file_path, content)``; bytes that are not UTF-8 are replaced."""
-    body = F.decode("content", "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    body = text.decoded(files)
     keys = [c for c in ("graph_id", "file_path") if c in files.columns]
     rows = files.select(*keys, F.posexplode(F.split(body, "\r\n|\r|\n")).alias("at", "text"))
     return rows.select(*keys, (F.col("at") + 1).alias("line_no"), "text")
-
-
-def write_samples(samples: DataFrame, path: str) -> None:
-    samples.write.mode("overwrite").partitionBy("strategy").json(path)
