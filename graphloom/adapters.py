@@ -94,7 +94,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """A chunk calls the next; the first chunk of a document flows to that of its next exact copy."""
-    nodes = chunks(spark, sf_dir)
+    nodes = chunks(spark, sf_dir).withColumn("ord", F.col("doc_id") * 100000 + F.col("k"))
     last = F.expr("(n - 1) div 5")
     to = F.concat_ws(":", F.lit("chunk"), F.col("doc_id").cast("string"), (F.col("k") + 1).cast("string"))
     calls = nodes.filter(F.col("k") < last).select(F.col("identifier").alias("src"), to.alias("dst"), F.lit("CALLS").alias("type"))
@@ -181,3 +181,84 @@ structural as (
   select *, case when bonus > 0 then least(1.0::double, round(sp + bonus, 6)) else sp end as sp2 from bonused),
 structural2 as (
   select *, least(1.0::double, round(0.25::double * fe + 0.20::double * sp2 + 0.20::double * taint + 0.35::double * edge_ctx, 6)) as structural_score from structural)"""
+
+
+def _assembled_sql(found: str, scored: str, order: str, budget: int) -> str:
+    """Contexts of the chunk graph, step by step: ``found`` and ``scored`` are what differs between strategies."""
+    return CHUNKS_SQL + rf""",
+copies as (select doc_id, lead(doc_id) over (partition by text order by doc_id) as nxt from documents),
+edges as (
+  select 'chunk:' || doc_id || ':' || k as src, 'chunk:' || doc_id || ':' || (k + 1) as dst, 'CALLS' as type from chunks where k < (n - 1) // 5
+  union all select 'chunk:' || doc_id || ':0', 'chunk:' || nxt || ':0', 'FLOWS_TO' from copies where nxt is not null),
+near as (select src as frm, dst as nxt, type from edges union select dst, src, type from edges),
+roots as (select distinct 'ctx:' || doc_id as context_id, 'chunk:' || doc_id || ':0' as id from labels join documents using (doc_id) where toxic = 1),
+{found},
+back as (
+  select context_id, id, 0 as hop from roots
+  union select b.context_id, e.src, b.hop + 1 from back b join edges e on e.dst = b.id and e.type = 'FLOWS_TO' where b.hop < 6),
+tainted as (select context_id, id, min(hop) as hop from back where hop > 0 group by 1, 2),
+own as (
+  select f.*, c.* exclude (identifier), c.doc_id * 100000 + c.k as ord, c.file_path = a.file_path as same, c.lang = a.lang and c.source = a.source as same_dir, c.lang = a.lang as same_lead,
+    coalesce(case hop when 1 then 1.0 when 2 then 0.7 when 3 then 0.5 when 4 then 0.35 else case when hop > 4 then 0.2 end end, 0)::double as taint,
+    (case c.kind when 'FunctionNode' then 1.0 when 'ClassNode' then 0.8 when 'CodeBlockNode' then 0.7 when 'VariableNode' then 0.4 else 0.2 end)::double as kind_score,
+    (case depth when 0 then 1.0 when 1 then 0.85 when 2 then 0.70 else 0.55 end)::double as hop_score,
+    regexp_matches(lower(array_to_string(string_split(c.snippet, chr(10))[1:3], chr(10))), 'generated|auto-generated|do not edit') as gen,
+    contains(lower(c.snippet), 'license') as sink, contains(lower(c.snippet), 'und') as src
+  from found f join chunks c on c.identifier = f.id join roots r on r.context_id = f.context_id join chunks a on a.identifier = r.id left join tainted t on t.context_id = f.context_id and t.id = f.id),
+parts as (
+  select *, round(0.15::double * kind_score, 6) as structure,
+    greatest(0.0::double, least(1.0::double, round(greatest(0.0::double, 0.70::double * same::int + 0.20::double * (case when same_dir then 1.0 when same_lead then 0.5 else 0.0 end)::double - 0.10::double * gen::int), 6))) as prior from own),
+{scored},
+ranked as (select *, row_number() over (partition by context_id order by {order})::int as rk from scored),
+-- the tree: levels over edges between members, the least neighbour of the level before as parent
+inside as (select distinct a.context_id, frm, nxt from near join ranked a on a.id = frm join ranked b on b.id = nxt and b.context_id = a.context_id),
+levels as (
+  select context_id, id, 0 as lvl from roots
+  union select l.context_id, i.nxt, l.lvl + 1 from levels l join inside i on i.context_id = l.context_id and i.frm = l.id where l.lvl < 8),
+level as (select context_id, id, min(lvl) as lvl from levels group by 1, 2),
+parent as (select l.context_id, l.id, l.lvl, min(p.id) as up from level l left join inside i on i.context_id = l.context_id and i.nxt = l.id left join level p on p.context_id = l.context_id and p.id = i.frm and p.lvl = l.lvl - 1 group by 1, 2, 3),
+shown as (
+  select context_id, id, list_transform(range(line_start, line_end + 1), lambda x: {{'f': file_path, 'x': x, 't': regexp_replace(split_part(d.lines[x], '#', 1), '\s+$', '')}}) as own
+  from ranked join (select file_path as fp, lines from docs) d on fp = file_path),
+ways as (
+  select context_id, id, lvl, [{{'id': id, 'own': own}}] as way from parent join shown using (context_id, id) where lvl = 0
+  union all select p.context_id, p.id, p.lvl, list_append(w.way, {{'id': p.id, 'own': s.own}}) from ways w join parent p on p.context_id = w.context_id and p.up = w.id and p.lvl = w.lvl + 1 join shown s on s.context_id = p.context_id and s.id = p.id),
+turns as (
+  select r.context_id, r.id, coalesce(w.way, [{{'id': r.id, 'own': s.own}}]) as way, row_number() over (partition by r.context_id order by rk) as turn
+  from ranked r join shown s using (context_id, id) left join ways w using (context_id, id) where r.depth > 0),
+fill as (
+  select context_id, 0::bigint as turn, list(id) as chosen, list_distinct(flatten(list(own))) as seen from shown join roots using (context_id, id) group by context_id
+  union all
+  select context_id, turn, case when fits then list_distinct(list_concat(chosen, list_transform(way, lambda w: w.id))) else chosen end, case when fits then seen_new else seen end
+  from (
+    select *, greatest(1, (list_sum(list_transform(seen_new, lambda l: length(l.t)))::bigint + greatest(0, len(seen_new) - 1)) // 3) <= {budget} as fits
+    from (select t.context_id, t.turn, t.way, f.chosen, f.seen, list_distinct(list_concat(f.seen, flatten(list_transform(t.way, lambda w: w.own)))) as seen_new from fill f join turns t on t.context_id = f.context_id and t.turn = f.turn + 1))),
+final as (select context_id, arg_max(chosen, turn) as chosen from fill group by context_id),
+selected as (select context_id, id, rk from ranked join final using (context_id) where list_contains(chosen, id)),
+rendered as (
+  select context_id, string_agg(t, chr(10) order by file_rank, f, x) as text
+  from (select distinct context_id, l.f as f, l.x as x, l.t as t, min(rk) over (partition by context_id, l.f) as file_rank from (select s.context_id, rk, unnest(own) as l from selected s join shown using (context_id, id))) group by context_id)"""
+
+
+_WALK = """
+walk as (
+  select context_id, id, 0 as depth from roots
+  union select w.context_id, a.nxt, w.depth + 1 from walk w join near a on a.frm = w.id where w.depth < 3),
+found as (select context_id, id, min(depth) as depth from walk group by 1, 2)"""
+_TYPED = """
+walk as (
+  select context_id, id, t as type, 0 as depth from roots, (values ('CALLS'), ('FLOWS_TO')) k(t)
+  union select w.context_id, a.nxt, w.type, w.depth + 1 from walk w join near a on a.frm = w.id and a.type = w.type where w.depth < 3),
+found as (select context_id, id, min(depth) as depth, min(depth) filter (type = 'FLOWS_TO') as d_flow, min(depth) filter (type = 'CALLS') as d_call from walk group by 1, 2)"""
+_CURRENT = """
+scored as (
+  select *, least(1.0::double, round(0.20::double * taint + 0.35::double * least(1.0::double, round(0.45::double * hop_score + 0.25::double * structure + 0.30::double * prior, 6)), 6)) as score from parts)"""
+_STRUCTURAL = """
+bonused as (
+  select *, case when bool_or(sink) over (partition by context_id) and bool_or(src) over (partition by context_id) and d_flow <= 4 then 0.25::double else 0.0::double end as sp,
+    case when depth = 0 then 1.0::double else least(1.0::double, round(greatest(coalesce(power(0.85::double, d_flow), 0), coalesce(0.70::double * power(0.75::double, d_call), 0)), 6)) end as by_edge from parts),
+scored as (
+  select *, least(1.0::double, round(0.20::double * sp + 0.20::double * taint + 0.35::double * least(1.0::double, round(0.45::double * by_edge + 0.25::double * structure + 0.30::double * prior, 6)), 6)) as score from bonused)"""
+
+CURRENT_SQL = _assembled_sql(_WALK, _CURRENT, "depth <> 0, score desc, depth, ord, id", 512)
+STRUCTURAL_SQL = _assembled_sql(_TYPED, _STRUCTURAL, "depth <> 0, not (sp > 0.5::double), score desc, depth, file_path, line_start, ord, id", 512)

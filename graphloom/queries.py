@@ -474,19 +474,19 @@ def render_context(spark, sf):
     return selection.render(roots, g.nodes, A.source_lines(spark, sf))
 
 
-@query()
+@query(f"with recursive {A.CURRENT_SQL} select context_id, id as identifier, rk as rank from selected")
 def select_path_fill(spark, sf):
-    """Path-fill of each labelled document's neighbourhood under 512 tokens. Sequential, so without SQL; see the tests."""
+    """Path-fill of each labelled document's neighbourhood under 512 tokens."""
     return assemble.selected(A.chunk_graph(spark, sf), A.toxic_spans(spark, sf), A.source_lines(spark, sf), "current", depth=3, budget=512, hints=A.HINTS)
 
 
-@query()
+@query(f"with recursive {A.CURRENT_SQL} select context_id, text, greatest(1, length(text) // 3)::int as tokens from rendered")
 def assemble_context(spark, sf):
     """The whole query: spans, roots, neighbourhood, taint, scores, selection, text."""
     return assemble.assemble(A.chunk_graph(spark, sf), A.toxic_spans(spark, sf), A.source_lines(spark, sf), "current", depth=3, budget=512, hints=A.HINTS)
 
 
-@query()
+@query(f"with recursive {A.STRUCTURAL_SQL} select context_id, text, greatest(1, length(text) // 3)::int as tokens from rendered")
 def assemble_structural(spark, sf):
     return assemble.assemble(A.chunk_graph(spark, sf), A.toxic_spans(spark, sf), A.source_lines(spark, sf), "cpg_structural", depth=3, budget=512, hints=A.HINTS)
 
