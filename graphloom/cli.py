@@ -15,8 +15,9 @@ from graphloom import config
 from graphloom.config import BudgetConfig, Coefficients
 from graphloom.operators import datasets, findings, graph, reports
 from graphloom.operators.ranking import STRATEGIES
+from graphloom.operators.store import GraphStore, open_graph
 from graphloom.plans import benchmark, scan, tuning
-from graphloom.sources import analyzers, python_cpg, tables
+from graphloom.sources import analyzers, commits, json_datasets, python_cpg, tables
 from graphloom.staging import materialize
 
 
@@ -26,6 +27,18 @@ def _parser() -> argparse.ArgumentParser:
     load = sub.add_parser("load", help="write the graph of a source tree as Parquet")
     load.add_argument("src")
     load.add_argument("out")
+    load.add_argument("--merge", action="store_true", help="into the stored graph there, which is made if need be, instead of over it")
+    load.add_argument("--on-conflict", choices=["last", "error"], default="last", help="with --merge: other values for nodes that are there")
+    load.add_argument("--buckets", type=int, default=64)
+    p_ = sub.add_parser("checkouts", help="write both sides' files of a dataset's commits, out of local clones, as Parquet")
+    p_.add_argument("dataset")
+    p_.add_argument("clones", help="a folder of clones that all executors reach")
+    p_.add_argument("out")
+    p_.add_argument("--min-score", type=int, default=4)
+    r = sub.add_parser("merge-runs", help="merge JSON datasets of several runs by file name")
+    r.add_argument("root")
+    r.add_argument("out")
+    r.add_argument("--pattern", default="compare_rankings*")
     one = sub.add_parser("load-sample", help="write the graph of a single file as Parquet")
     one.add_argument("file")
     one.add_argument("out")
@@ -128,7 +141,7 @@ def _tune(spark: SparkSession, a: argparse.Namespace) -> float:
     if a.send:
         module, name = a.send.split(":")
         send = getattr(importlib.import_module(module), name)
-        nodes, labels = spark.read.parquet(f"{a.graph}/nodes"), spark.read.parquet(a.labels)
+        nodes, labels = open_graph(spark, a.graph).nodes, spark.read.parquet(a.labels)
         lines = materialize(tables.source_lines(python_cpg.scan(spark, a.src)), "lines")
         edges, around = spark.read.parquet(f"{a.input}/edges"), spark.read.parquet(f"{a.input}/{'typed' if STRATEGIES[a.strategy].edge_paths else 'plain'}")
         space, rescore = tuning.SPACES[a.strategy], None
@@ -160,7 +173,19 @@ def main(argv: list[str] | None = None) -> int:
         return _scan(spark, a)
     if a.command == "load":
         project = scan.load(spark, a.src)
-        graph.write_graph(project.graph, a.out)
+        if a.merge:
+            at = GraphStore(spark, a.out) if GraphStore.exists(spark, a.out) else GraphStore.create(spark, a.out, a.buckets)
+            got = at.merge(project.graph.nodes, project.graph.edges, a.on_conflict)
+            print(json.dumps({"version": got.version, "conflicts": got.conflicts.count(), "pending": got.pending}))
+        else:
+            graph.write_graph(project.graph, a.out)
+    elif a.command == "checkouts":
+        rows = datasets.usable_fixes(datasets.coerce_fixes(tables.load(spark, a.dataset)), a.min_score)
+        found = materialize(commits.files(rows.select("commit.repo_url", "commit.hash"), a.clones), "files")
+        found.filter("error is null").drop("error").write.mode("overwrite").parquet(a.out)
+        print(json.dumps({"files": found.filter("error is null").count(), "unreadable": [r.asDict() for r in found.filter("error is not null").select("repo_url", "hash", "is_vulnerable", "error").limit(20).collect()]}))
+    elif a.command == "merge-runs":
+        print(json.dumps([r.asDict() for r in json_datasets.merge(spark, a.root, a.out, a.pattern).orderBy("file_name").collect()]))
     elif a.command == "load-sample":
         folder, name = os.path.split(os.path.abspath(a.file))
         g = scan.load(spark, folder, only=name).graph

@@ -181,9 +181,9 @@ def pairs_within_budget(pairs: DataFrame, budget: int) -> DataFrame:
 
 
 def pairs_of_small_repositories(pairs: DataFrame, files: DataFrame, most_bytes: int) -> DataFrame:
-    """Pairs both of whose checkouts hold at most ``most_bytes``, ``.git`` not counted."""
+    """Pairs both of whose checkouts hold at most ``most_bytes``, ``.git`` not counted; ``n_bytes`` where ``files`` have it, else of the contents."""
     counted = files.filter(~F.array_contains(F.split("file_path", "/"), ".git"))
-    size = counted.groupBy("repo_url", "hash", "is_vulnerable").agg(F.sum(F.octet_length("content")).alias("n"))
+    size = counted.groupBy("repo_url", "hash", "is_vulnerable").agg(F.sum("n_bytes" if "n_bytes" in files.columns else F.octet_length("content")).alias("n"))
     large = size.filter(F.col("n") > most_bytes).select("repo_url", "hash").distinct()
     return pairs.join(large, ["repo_url", "hash"], "left_anti")
 
