@@ -1,9 +1,10 @@
 """The property graph: upserts, lookups by lines, bounded traversals, induced subgraphs.
 
 A traversal holds ``(context, start[, type], node)`` once per node with its least hop. Each level is one join of the frontier
-with bucketed lists of neighbours, which are read where they lie, and one anti-join with what was seen; no level is collected,
-and each is written to the shared checkpoint folder so that the plan does not grow with the depth. The lists of a hub are
-spread over the buckets, and its rows of the frontier go to each of them.
+with the neighbours and one anti-join with what was seen; no level is collected, and each is written to the shared
+checkpoint folder so that the plan does not grow with the depth. The neighbours of a large graph are bucketed lists, which
+each level reads where they lie; those of a hub are spread over the buckets, and its rows of the frontier go to each of them. A
+small adjacency is joined edge by edge.
 """
 
 from __future__ import annotations
@@ -137,6 +138,13 @@ class Neighbours:
 
 #: Neighbours in a list.
 LIST = 4096
+#: Estimated bytes from which an adjacency is worth writing as lists.
+LISTED_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a table for, from the sizes of the files that it reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def neighbours(adj: DataFrame) -> Neighbours:
@@ -156,14 +164,15 @@ def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int,
 
     ``adj`` may carry a key (an edge type), which then holds along the whole path. With ``mark_start`` the start is found at
     depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads to depths
-    d - 1, d and d + 1 only, so no earlier level is read again. For more than one hop the adjacency is written as bucketed lists.
+    d - 1, d and d + 1 only, so no earlier level is read again. For more than one hop an adjacency of ``LISTED_BYTES`` or more is
+    written as bucketed lists; a smaller one is exchanged anew at each level sooner than it is written.
     """
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
-    near = neighbours(adj) if max_depth > 1 else None
+    near = neighbours(adj) if max_depth > 1 and estimated_bytes(adj) >= LISTED_BYTES else None
     for depth in range(1, max_depth + 1):
         step = near.of(front, keys) if near else front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id"))
         step = step.distinct()
