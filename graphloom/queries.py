@@ -444,9 +444,31 @@ def multi_strategy_ranks(spark, sf):
     return got.select("strategy", "context_id", "identifier", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+# A step a choice: the candidate with most gain that fits, given the lines shown and the roles covered so far.
+_GREEDY_SQL = "with recursive" + _BUDGET_SQL.removeprefix("with") + f""",
+cand_b as (select context_id, identifier, depth, ord, file_path, line_start, clipped_start as a, clipped_end as b, tokens, roles, relevance, greatest(1.0::double, power(tokens::double, {B.token_cost_power}::double)) as cost from b8),
+picks as (
+  select context_id, 0 as step, {max(1, int(2048 * B.budget_safety_ratio))}::bigint as room, []::varchar[] as chosen, []::varchar[] as covered, []::struct(f varchar, a bigint, b bigint)[] as shown from (select distinct context_id from cand_b)
+  union all
+  select context_id, step + 1, room - p.tokens, list_append(chosen, p.identifier), list_distinct(list_concat(covered, p.roles)), list_append(shown, {{'f': p.file_path, 'a': p.a, 'b': p.b}})
+  from (
+    select context_id, step, room, chosen, covered, shown,
+      arg_min({{'identifier': identifier, 'tokens': tokens, 'roles': roles, 'file_path': file_path, 'a': a, 'b': b}}, (-gain, -relevance, file_path, line_start, ord, identifier)) as p
+    from (
+      select f.*, c.* exclude (context_id),
+        relevance * (1 + {B.role_coverage_bonus}::double * len(list_filter(c.roles, lambda r: not list_contains(f.covered, r)))) * greatest(0.0::double, 1 - {B.novelty_penalty}::double * (case when both_n = 0 then 0.0::double else both_n::double / (b - a + 1 + seen_n - both_n) end)) / cost as gain
+      from picks f join cand_b c on c.context_id = f.context_id and c.tokens <= f.room and not list_contains(f.chosen, c.identifier),
+        lateral (select len(list_distinct(flatten(list_transform(list_filter(f.shown, lambda x: x.f = c.file_path), lambda x: range(x.a, x.b + 1))))) as seen_n,
+          len(list_distinct(flatten(list_transform(list_filter(f.shown, lambda x: x.f = c.file_path), lambda x: range(greatest(x.a, c.a), least(x.b, c.b) + 1))))) as both_n))
+    group by context_id, step, room, chosen, covered, shown)),
+taken as (select context_id, unnest(chosen) as identifier, unnest(range(1, len(chosen) + 1)) as step from (select context_id, arg_max(chosen, step) as chosen from picks group by context_id))
+select context_id, identifier, row_number() over (partition by context_id order by not (t.step is not null and depth = 0), coalesce(t.step, 1000000000000), ord, identifier)::int as rank, t.step is not null as selected
+from cand_b left join taken t using (context_id, identifier)"""
+
+
+@query(_GREEDY_SQL)
 def select_budgeted(spark, sf):
-    """Greedy gain under a budget of 2048 tokens in every context. Sequential, so without SQL; see the tests."""
+    """Greedy gain under a budget of 2048 tokens in every context."""
     got = ranking.rank(A.context_nodes(spark, sf), "evidence_budgeted", budget=2048, hints=A.HINTS)
     return got.select("context_id", "identifier", "rank", "selected")
 
