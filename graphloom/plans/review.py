@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -23,15 +25,42 @@ def prompt(text: Column, messages: Column | None = None) -> Column:
     return F.concat(F.lit(ask), notes, F.lit("Code:\n"), text)
 
 
-def ask(prompts: DataFrame, send: Send, concurrency: int = 8) -> DataFrame:
-    """``prompts (sample_id, prompt)`` with ``response`` and ``error``; a failed request costs its own row only."""
+def _within(send: Send, text: str, timeout: float) -> str | None:
+    """An answer in time, or an error; a request that is stuck is left behind in a thread that holds up nothing."""
+    got: queue.Queue = queue.Queue(1)
+
+    def run() -> None:
+        try:
+            got.put((send(text), None))
+        except Exception as e:  # noqa: BLE001  whatever the transport raises belongs to this request
+            got.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = got.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {timeout:g} s") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def ask(prompts: DataFrame, send: Send, concurrency: int = 8, timeout: float = 600.0, retries: int = 2, pause: float = 0.5) -> DataFrame:
+    """``prompts (sample_id, prompt)`` with ``response`` and ``error``; a failed request costs its own row only.
+
+    A request that fails or has no answer within ``timeout`` seconds is made again up to ``retries`` times, after a pause that doubles.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(p: str) -> tuple[str | None, str | None]:
-            try:
-                return send(p), None
-            except Exception as e:  # noqa: BLE001  whatever the transport raises belongs to this row
-                return None, f"{type(e).__name__}: {e}"
+            for attempt in range(retries + 1):
+                try:
+                    return _within(send, p, timeout), None
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                if attempt < retries:
+                    time.sleep(pause * 2**attempt)
+            return None, error
 
         with ThreadPoolExecutor(concurrency) as pool:
             for b in batches:
