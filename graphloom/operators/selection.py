@@ -1,13 +1,15 @@
 """Selection under a token budget, and rendering.
 
-What is sequential within a context, the choice by gain and the budget's scan, runs as grouped pandas functions; trees, chains,
-lines and texts are joins and columns.
+What is sequential within a context, the choice by gain and the budget's scan, is plain Python over one context after another;
+trees, chains, lines and texts are joins and columns.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -87,21 +89,53 @@ def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
     return order
 
 
-def _fill(nodes: pd.DataFrame, lines: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """The scan of one context: ``nodes`` with rank, parent and lines, and the lengths of the lines of their files."""
-    nodes = nodes.sort_values(["rank", "identifier"], kind="stable")
+def by_context(rows: DataFrame, order: list[str], work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """``work`` of each context's columns, its rows in ``order``.
+
+    Contexts come one after another out of sorted partitions, many in an Arrow batch, and one at a time is held: a group that
+    is handed to Python by itself costs milliseconds, however small it is.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        for batch in batches:
+            own = {c: batch[c].tolist() for c in names}
+            key = own["context_id"]
+            done = []
+            cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)] if key else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and held["context_id"][0] == key[a]:
+                    for c in names:
+                        held[c] += own[c][a:b]
+                    continue
+                if held:
+                    done.append(work(held))
+                held = {c: own[c][a:b] for c in names}
+            if done:
+                yield pd.DataFrame({c: [x for d in done for x in d[c]] for c in done[0]})
+        if held:
+            yield pd.DataFrame(work(held))
+
+    return spread(rows, "context_id").sortWithinPartitions("context_id", *order).mapInPandas(run, schema)
+
+
+def _fill(rows: dict[str, list], budget: int) -> dict[str, list]:
+    """The scan of one context: its nodes by rank, with parent and lines, and then the lengths of the lines of their files."""
+    n = rows["_line"].index(True) if True in rows["_line"] else len(rows["_line"])
     size, seen, first = {}, {}, {}
-    for name, part in lines.groupby("_file", sort=False):
-        at = part["line_no"].to_numpy(np.int64)
-        first[name] = int(at.min())
-        size[name] = np.full(int(at.max()) - first[name] + 1, -1, np.int64)  # -1: no such line
-        size[name][at - first[name]] = part["n"].to_numpy(np.int64)
+    for name, part in groupby(range(n, len(rows["_line"])), rows["_file"].__getitem__):
+        places = list(part)
+        at = np.array([rows["_from"][k] for k in places], np.int64)
+        first[name] = int(at[0])
+        size[name] = np.full(int(at[-1]) - first[name] + 1, -1, np.int64)  # -1: no such line
+        size[name][at - first[name]] = [rows["_to"][k] for k in places]
         seen[name] = size[name] < 0
-    ids = nodes["identifier"].to_list()
+    ids = rows["identifier"][:n]
     place = {i: k for k, i in enumerate(ids)}
-    parent = [place.get(p, -1) for p in nodes["parent"]]
+    parent = [place.get(p, -1) for p in rows["parent"][:n]]
     where = []
-    for f, a, b in zip(nodes["_file"], nodes["line_start"].tolist(), nodes["line_end"].tolist(), strict=True):
+    for f, a, b in zip(rows["_file"][:n], rows["_from"], rows["_to"], strict=False):
         where.append((f, slice(max(0, a - first[f]), max(0, b + 1 - first[f]))) if f in first else None)
 
     def unseen(i: int) -> tuple[int, int]:
@@ -117,13 +151,14 @@ def _fill(nodes: pd.DataFrame, lines: pd.DataFrame, budget: int) -> pd.DataFrame
         for f, span, old in undo:
             seen[f][span] = old
 
-    chosen = np.zeros(len(ids), bool)
+    chosen = [False] * n
     chars = shown = 0
-    for i in np.flatnonzero(nodes["depth"].to_numpy() == 0).tolist():
-        chosen[i] = True
-        c, n = unseen(i)
-        chars, shown = chars + c, shown + n
-    for i in range(len(ids)):
+    for i in range(n):
+        if rows["depth"][i] == 0:
+            chosen[i] = True
+            c, m = unseen(i)
+            chars, shown = chars + c, shown + m
+    for i in range(n):
         if chosen[i]:
             continue
         chain, at = [i], parent[i]
@@ -134,16 +169,17 @@ def _fill(nodes: pd.DataFrame, lines: pd.DataFrame, budget: int) -> pd.DataFrame
         for k in chain:
             if where[k] is not None:
                 undo.append((*where[k], seen[where[k][0]][where[k][1]].copy()))
-            c, n = unseen(k)
-            more, count = more + c, count + n
+            c, m = unseen(k)
+            more, count = more + c, count + m
             if (chars + more + max(0, shown + count - 1)) // 3 > budget:
                 break  # more lines only add to it
         if max(1, (chars + more + max(0, shown + count - 1)) // 3) <= budget:
-            chosen[chain] = True
+            for k in chain:
+                chosen[k] = True
             chars, shown = chars + more, shown + count
         else:
             forget(undo[::-1])
-    return nodes.loc[chosen, ["context_id", "identifier", "rank"]]
+    return {c: [x for x, yes in zip(rows[c], chosen, strict=False) if yes] for c in ("context_id", "identifier", "rank")}
 
 
 def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: int) -> DataFrame:
@@ -151,7 +187,8 @@ def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: i
 
     The ways come from a tree that joins build for all contexts at once (:func:`graphloom.operators.graph.shortest_tree`). What is
     left to the scan of one context, whose rows are a node and a line of its files each, is the budget: a node whose added
-    lines would exceed it is passed over, not the end. Tokens are those of the rendered text.
+    lines would exceed it is passed over, not the end. Tokens are those of the rendered text. A written table: rendering reads
+    it more than once, and the scan should not run again.
     """
     keys = graph.file_keys(ranked, lines)
     name = F.concat_ws("\u001f", *keys)
@@ -160,15 +197,18 @@ def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: i
     nodes = materialize(nodes, "nodes")
     roots = nodes.filter("depth = 0").select("context_id", F.col("identifier").alias("id"))
     tree = graph.shortest_tree(roots, materialize(graph.undirected(induced), "near")).withColumnRenamed("id", "identifier")
-    placed = nodes.join(tree, ["context_id", "identifier"], "left").withColumn("_file", name).drop(*keys)
+    whole = lambda c, least: F.coalesce(F.col(c).cast("long"), F.lit(least)).alias
+    placed = nodes.join(tree, ["context_id", "identifier"], "left").select(
+        "context_id", F.lit(False).alias("_line"), name.alias("_file"), whole("line_start", 0)("_from"), whole("line_end", -1)("_to"), "identifier", "parent", F.col("rank").cast("int").alias("rank"), F.col("depth").cast("int").alias("depth")
+    )
     spans = nodes.groupBy("context_id", *keys).agg(F.min("line_start").alias("_from"), F.max("line_end").alias("_to"))
     shown = lines.join(spans, keys).filter(F.col("line_no").between(F.col("_from"), F.col("_to")))
-    shown = shown.select(F.col("context_id").alias("_context"), name.alias("_file"), "line_no", F.char_length(text.sanitize_line(F.col("text"))).alias("n"))
-
-    def fill(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _fill(left, right, budget) if len(left) else left.assign(context_id=[], identifier=[], rank=[])[["context_id", "identifier", "rank"]]
-
-    return spread(placed, "context_id").groupBy("context_id").cogroup(spread(shown, "_context").groupBy("_context")).applyInPandas(fill, "context_id string, identifier string, rank int")
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    length = F.coalesce(F.char_length(text.sanitize_line(F.col("text"))), zero).cast("long")
+    shown = shown.select("context_id", F.lit(True), name, F.col("line_no").cast("long"), length, none, none, zero, zero)
+    rows = placed.union(shown)
+    filled = by_context(rows, ["_line", "rank", "identifier", "_file", "_from"], lambda own: _fill(own, budget), "context_id string, identifier string, rank int")
+    return materialize(filled, "selected")
 
 
 def render(selected: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows dealt by ``keys`` to as many tasks as the session shuffles to, whatever their bytes.
 
     Groups that Python works on cost time, not bytes: left to itself, adaptive execution merges their small partitions into a task.
