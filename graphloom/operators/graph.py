@@ -147,6 +147,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast(df: DataFrame) -> bool:
+    """Whether a join sends this written table to all tasks, by the session's limit."""
+    size = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= size
+
+
 def neighbours(adj: DataFrame) -> Neighbours:
     """Writes ``adj (at, to[, etype])`` as bucketed lists."""
     keys = [c for c in ("at", "etype") if c in adj.columns]
@@ -164,16 +170,19 @@ def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int,
 
     ``adj`` may carry a key (an edge type), which then holds along the whole path. With ``mark_start`` the start is found at
     depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads to depths
-    d - 1, d and d + 1 only, so no earlier level is read again. For more than one hop an adjacency of ``LISTED_BYTES`` or more is
-    written as bucketed lists; a smaller one is exchanged anew at each level sooner than it is written.
+    d - 1, d and d + 1 only, so no earlier level is read again. An adjacency of ``LISTED_BYTES`` or more is written as bucketed
+    lists once a front is too large to be sent to all tasks and more than one hop is left; a smaller one, or one that small
+    fronts meet where it lies, is not.
     """
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
-    near = neighbours(adj) if max_depth > 1 and estimated_bytes(adj) >= LISTED_BYTES else None
+    large, near = estimated_bytes(adj) >= LISTED_BYTES, None
     for depth in range(1, max_depth + 1):
+        if large and near is None and depth < max_depth and not broadcast(front):
+            near = neighbours(adj)
         step = near.of(front, keys) if near else front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id"))
         step = step.distinct()
         if levels:

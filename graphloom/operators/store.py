@@ -142,7 +142,7 @@ class GraphStore:
 
         rows = fresh if before is None else before.withColumns({"_bucket": self._bucket("identifier"), "_turn": F.lit(0)}).unionByName(fresh.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
         if before is not None:
-            rows = graph.last_write(rows, ["_bucket", "identifier"], ["_turn"]).drop("_turn")
+            rows = graph.last_write(self._dealt(rows, touched), ["_bucket", "identifier"], ["_turn"]).drop("_turn")
         now = self._put(self.manifest, "nodes", rows, version, touched)
 
         # Edges of the batch, and those that waited for one of its nodes.
@@ -153,20 +153,19 @@ class GraphStore:
             batch = waiting.join(ids, "missing", "left_semi").drop("missing").unionByName(batch, allowMissingColumns=True)
             stay = waiting.join(ids, "missing", "left_anti")
         batch = materialize(graph.last_write(batch.withColumn("_at", F.struct("_turn", "ord")), ["src", "dst", "type"], ["_at"]).drop("_at"), "edges")
-        ends = batch.select(F.col("src").alias("id")).union(batch.select("dst")).distinct().withColumn("_bucket", self._bucket("id"))
-        ends = materialize(ends, "ends")
-        there = self._of(now, "nodes", _buckets(ends, "_bucket"))
-        there = ends.join(there.select(F.col("identifier").alias("id")), "id", "left_semi").select("id") if there is not None else ends.select("id").limit(0)
-        there = materialize(there, "known")
-        left = batch.join(there.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(there.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+        near = _buckets(batch.select(F.explode(F.array_distinct(F.array(self._bucket("src"), self._bucket("dst")))).alias("_bucket")), "_bucket")
+        there = self._of(now, "nodes", near)
+        ids = there.select(F.col("identifier").alias("id")) if there is not None else batch.select(F.col("src").alias("id")).limit(0)
+        left = batch.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
         left = materialize(left.withColumn("missing", F.when(F.col("_s").isNull(), F.col("src")).when(F.col("_d").isNull(), F.col("dst"))).drop("_s", "_d"), "tried")
 
         known = left.filter("missing is null").drop("missing").withColumn("_bucket", self._bucket("src"))
         edge_buckets = _buckets(known, "_bucket")
+        types = tuple(sorted({*now.types, *graph.edge_types(known)}))  # those of older edges are in the manifest
         old = self._of(now, "edges", edge_buckets)
         if old is not None:
             both = old.withColumns({"_bucket": self._bucket("src"), "_turn": F.lit(0)}).unionByName(known, allowMissingColumns=True)
-            known = graph.last_write(both, ["_bucket", "src", "dst", "type"], ["_turn"])
+            known = graph.last_write(self._dealt(both, edge_buckets), ["_bucket", "src", "dst", "type"], ["_turn"])
         now = self._put(now, "edges", known.drop("_turn"), version, edge_buckets)
 
         lost = left.filter("missing is not null")
@@ -180,7 +179,6 @@ class GraphStore:
         lost = graph.last_write(lost, ["_bucket", "missing", "src", "dst", "type"], ["_turn", "ord"])
         now = self._put(now, "pending", lost, version, pending_buckets)
 
-        types = tuple(sorted({*now.types, *graph.edge_types(known)}))
         now = replace(now, version=version, types=types)
         self._write(self._manifest_path(version), now.dump())
         self.manifest = now
@@ -192,6 +190,10 @@ class GraphStore:
         now.spark, now.path, now.manifest = self.spark, self.path, manifest
         return now.table(name, buckets)
 
+    def _dealt(self, rows: DataFrame, buckets: list[int]) -> DataFrame:
+        """Rows by bucket: what is grouped by bucket and key after it is grouped in place, and written without another exchange."""
+        return rows.repartition(max(1, min(len(buckets), self.manifest.buckets)), "_bucket")
+
     def _put(self, manifest: Manifest, name: str, rows: DataFrame, version: int, buckets: list[int]) -> Manifest:
         """Writes the new rows of ``buckets``, a folder each; a bucket without rows is named no more."""
         folder = f"{name}/v{version:08d}"
@@ -200,7 +202,7 @@ class GraphStore:
         full = rows.select("_bucket", *[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         order = "identifier" if name == "nodes" else "src"
         # An exchange by bucket, so that a bucket is one file, or a few where it is large.
-        full.repartition(max(1, min(len(buckets), self.manifest.buckets)), "_bucket").sortWithinPartitions("_bucket", order).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        self._dealt(full, buckets).sortWithinPartitions("_bucket", order).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         fs, p = self._fs(f"{self.path}/{folder}")
         there = {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_bucket=")}
         folders = {b: f for b, f in manifest.folders[name].items() if b not in buckets} | {b: f"{folder}/_bucket={b}" for b in sorted(there)}
