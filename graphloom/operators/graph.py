@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from graphloom import model
 from graphloom.functions import scores
 from graphloom.operators import intervals
-from graphloom.staging import bucketed, materialize
+from graphloom.staging import bucketed, estimated_bytes, materialize
 
 
 @dataclass(frozen=True)
@@ -142,11 +142,6 @@ LIST = 4096
 LISTED_BYTES = 256 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer takes a table for, from the sizes of the files that it reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def broadcast(df: DataFrame) -> bool:
     """Whether a join sends this written table to all tasks, by the session's limit."""
     size = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.staging import dealt
+
 
 def islands(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """``keys, start_line, end_line`` of each maximal run of consecutive lines; repeated lines count once."""
@@ -27,7 +29,7 @@ def merge(spans: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """The fewest spans that cover the same lines: those that overlap or touch become one."""
     w = Window.partitionBy(*keys).orderBy("start_line", "end_line")
     reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = valid(spans, strict).select(*keys, "start_line", "end_line").withColumn("_new", F.coalesce((F.col("start_line") > reach + 1).cast("int"), F.lit(1)))
+    rows = dealt(valid(spans, strict).select(*keys, "start_line", "end_line"), *keys).withColumn("_new", F.coalesce((F.col("start_line") > reach + 1).cast("int"), F.lit(1)))
     again = Window.partitionBy(*keys).orderBy("start_line", "end_line", F.desc("_new"))  # of equal spans the first opens the group
     rows = rows.withColumn("_group", F.sum("_new").over(again.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "_group").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("_group")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators import spans
+from graphloom.staging import dealt
 
 _HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
 
@@ -17,7 +18,8 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     ``+++ b/path`` names the file and any other ``+++`` none; within a hunk, whose header says how many new lines it has, a
     line that starts with ``++`` is an added line and ``\\`` marks nothing.
     """
-    rows = diffs.select("diff_id", F.posexplode(F.split("diff", "\r?\n")).alias("at", "line"))
+    # Dealt while a diff is one row: all windows below are within a diff, and need no exchange of its lines.
+    rows = dealt(diffs.select("diff_id", "diff"), "diff_id").select("diff_id", F.posexplode(F.split("diff", "\r?\n")).alias("at", "line"))
     upto = Window.partitionBy("diff_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     start = F.when(F.rlike("line", F.lit(_HUNK)), F.struct(F.col("at").alias("at"), F.regexp_extract("line", _HUNK, 1).cast("int").alias("first"), F.coalesce(F.nullif(F.regexp_extract("line", _HUNK, 2), F.lit("")).cast("int"), F.lit(1)).alias("n")))
     rows = rows.withColumn("hunk", F.last(start, ignorenulls=True).over(upto))

@@ -31,6 +31,21 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Bytes of stored input to a task of :func:`dealt`; rows in memory take ten times as much, or more.
+TASK_BYTES = 8 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a table for, from the sizes of the files that it reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to tasks that grow in number with the table, so that what one of them sorts does not grow."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, min(-(-estimated_bytes(df) // TASK_BYTES), 1 << 15)), *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
