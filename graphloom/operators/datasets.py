@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import parsing, text
-from graphloom.staging import materialize
+from graphloom.staging import dealt, materialize
 
 
 # ---------------------------------------------------------------- fix commits
@@ -40,8 +40,11 @@ def cve_rows(fixes: DataFrame, file_change: DataFrame, cve: DataFrame, cwe: Data
     return fixes.join(changed, "hash").join(cve, "cve_id", "left").join(cwe, "cve_id", "left")
 
 
-def diff_lines(column: Column, key: str) -> Column:
-    """Line numbers above 0 of ``deleted`` or ``added`` in a diff written as JSON or as a Python literal."""
+def diff_lines(column: Column, *names: str) -> Column:
+    """Line numbers above 0 of ``deleted`` or ``added`` in a diff written as JSON or as a Python literal; of several names, a struct.
+
+    A diff is read once, as JSON first, which is the faster: what reads as both gives the same numbers.
+    """
     from pyspark.sql.functions import pandas_udf
 
     def read(values):
@@ -52,22 +55,26 @@ def diff_lines(column: Column, key: str) -> Column:
 
         def one(v):
             if v is None or not v.strip():
-                return None
-            for parse in (ast.literal_eval, json.loads):
+                return [None] * len(names)
+            for parse in (json.loads, ast.literal_eval):
                 try:
                     got = parse(v.strip())
                 except (ValueError, SyntaxError, MemoryError, RecursionError):
                     continue
                 if isinstance(got, dict):
-                    chunks = got.get(key)
-                    lines = [str(c[0]).strip() for c in chunks if isinstance(c, (list, tuple)) and c] if isinstance(chunks, list) else []
-                    return [int(x) for x in lines if x.lstrip("+-").isdigit() and int(x) > 0]
-            return None
+                    return [numbers(got.get(key)) for key in names]
+            return [None] * len(names)
+
+        def numbers(chunks):
+            lines = [str(c[0]).strip() for c in chunks if isinstance(c, (list, tuple)) and c] if isinstance(chunks, list) else []
+            return [int(x) for x in lines if x.lstrip("+-").isdigit() and int(x) > 0]
 
-        return pd.Series([one(v) for v in values])
+        return pd.DataFrame([one(v) for v in values], columns=list(names))
 
-    read.__annotations__ = {"values": __import__("pandas").Series, "return": __import__("pandas").Series}
-    return pandas_udf(read, "array<int>")(column)
+    pd = __import__("pandas")
+    read.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
+    found = pandas_udf(read, ", ".join(f"`{n}` array<int>" for n in names))(column)
+    return found if len(names) > 1 else found[names[0]]
 
 
 def cve_entries(rows: DataFrame) -> DataFrame:
@@ -77,18 +84,20 @@ def cve_entries(rows: DataFrame) -> DataFrame:
     """
     from graphloom.operators import spans
 
-    sides = None
-    for vulnerable, key, order in ((True, "deleted", ("old_path", "new_path", "filename")), (False, "added", ("new_path", "old_path", "filename"))):
-        side = rows.withColumns({"is_vulnerable": F.lit(vulnerable), "file_path": parsing.first_text(*[F.col(c) for c in order]), "lines": diff_lines(F.col("diff_parsed"), key)})
-        sides = side if sides is None else sides.unionByName(side)
     keys = ["cve_id", "repo_url", "hash", "is_vulnerable"]
-    known = sides.filter("file_path is not null and size(lines) > 0")
-    runs = spans.islands(known.select(*keys, "file_path", F.explode("lines").alias("line")), [*keys, "file_path"])
+    rest = [c for c in ("cwe_id", "cvss3_base_severity", "severity", "description", "ord") if c in rows.columns]
+    # A diff is read once for both sides and all that follows, in all tasks; runs and files are groups of their dealt rows.
+    read = dealt(rows, *keys[:3]).withColumn("_lines", diff_lines(F.col("diff_parsed"), "deleted", "added"))
+    side = lambda vulnerable, key, *order: F.struct(F.lit(vulnerable).alias("is_vulnerable"), parsing.first_text(*[F.col(c) for c in order]).alias("file_path"), F.col("_lines")[key].alias("lines"))
+    both = F.array(side(True, "deleted", "old_path", "new_path", "filename"), side(False, "added", "new_path", "old_path", "filename"))
+    known = read.select(*keys[:3], *rest, F.explode(both).alias("_s")).select(*keys[:3], *rest, "_s.*").filter("file_path is not null and size(lines) > 0")
+    known = materialize(known, "changed")
+    runs = spans.islands(dealt(known, *keys).select(*keys, "file_path", F.explode("lines").alias("line")), [*keys, "file_path"])
     files = runs.groupBy(*keys, "file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("spans"))
     files = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("file_path", "spans"))).alias("files"))
     cwe, sev = parsing.cwe_number(F.col("cwe_id")), parsing.severity(F.col("cvss3_base_severity"), F.col("severity"))
     about = parsing.first_text(F.col("description"))
-    named = known.groupBy(*keys).agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("ord"))).alias(n) for n, v in (("description", about), ("cwe_id", cwe), ("severity", sev))])
+    named = dealt(known.select(*keys, *rest), *keys).groupBy(*keys).agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("ord"))).alias(n) for n, v in (("description", about), ("cwe_id", cwe), ("severity", sev))])
     return named.join(files, keys)
 
 
