@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from graphloom.config import BudgetConfig
 from graphloom.functions import text
@@ -29,30 +29,30 @@ def greedy(scored: DataFrame, budget: int, b: BudgetConfig) -> DataFrame:
     Order: selected roots, other selected in the order of selection, then the rest in input order.
     """
     effective = max(1, int(budget * b.budget_safety_ratio))
-    extra = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("selected", T.BooleanType())])
-    schema = T.StructType(scored.schema.fields + extra.fields)
+    # Only rows that fit at all, and of those what the choice looks at, go to Python; the chosen come back by id.
+    need = ["context_id", "identifier", "ord", "tokens", "score", "file_path", "line_start", "clipped_start", "clipped_end", "roles"]
+    scored = materialize(scored, "scored")
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ord", "identifier"], kind="stable").reset_index(drop=True)
-        order = by_gain(part, effective, b)
-        place = pd.Series(len(part), index=part.index)  # of the rest, all behind
-        place.loc[order] = range(len(order))
-        part["selected"] = place < len(part)
-        part = part.assign(_late=~(part["selected"] & (part["depth"] == 0)), _place=place).sort_values(["_late", "_place"], kind="stable")
-        part["rank"] = range(1, len(part) + 1)
-        return part[[f.name for f in schema]]
+    def choose(own: dict[str, list]) -> dict[str, list]:
+        order = by_gain(own, effective, b)
+        return {"context_id": [own["context_id"][i] for i in order], "identifier": [own["identifier"][i] for i in order], "_place": list(range(len(order)))}
 
-    return spread(scored, "context_id").groupBy("context_id").applyInPandas(choose, schema)
+    chosen = by_context(scored.filter(F.col("tokens") <= effective).select(*need), ["ord", "identifier"], choose, "context_id string, identifier string, _place int")
+    chosen = materialize(chosen, "chosen")
+    placed = scored.join(F.broadcast(chosen) if graph.broadcast(chosen) else chosen, ["context_id", "identifier"], "left")
+    root = F.col("_place").isNotNull() & (F.col("depth") == 0)
+    w = Window.partitionBy("context_id").orderBy(~F.coalesce(root, F.lit(False)), F.col("_place").asc_nulls_last(), "ord", "identifier")
+    return placed.withColumns({"rank": F.row_number().over(w), "selected": F.col("_place").isNotNull()}).select(*scored.columns, "rank", "selected")
 
 
-def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
+def by_gain(part: dict[str, list], budget: int, b: BudgetConfig) -> list[int]:
     """The rows of one context in the order in which they are chosen, from a heap of gains.
 
     A choice changes the gains of its own file, whose lines are now shown, and of the holders of roles that it is the first to
     cover. Only those are put on the heap anew; what does not fit now never will.
     """
     columns = ["tokens", "score", "file_path", "line_start", "clipped_start", "clipped_end"]
-    tokens, score, path, line, first, last = (part[c].to_list() for c in columns)
+    tokens, score, path, line, first, last = (part[c] for c in columns)
     roles = [frozenset(r) for r in part["roles"]]
     cost = [max(1.0, t**b.token_cost_power) for t in tokens]
     in_file, with_role, shown = defaultdict(list), defaultdict(list), defaultdict(set)
@@ -61,7 +61,7 @@ def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
         for r in roles[i]:
             with_role[r].append(i)
     covered: set[str] = set()
-    turn = [0] * len(part)  # of each row's valid entry; -1 once it is chosen
+    turn = [0] * len(tokens)  # of each row's valid entry; -1 once it is chosen
 
     def entry(i: int) -> tuple:
         own, seen = range(first[i], last[i] + 1), shown[path[i]]
@@ -71,7 +71,7 @@ def by_gain(part: pd.DataFrame, budget: int, b: BudgetConfig) -> list[int]:
         turn[i] += 1
         return -gain, -score[i], path[i], line[i], i, turn[i]
 
-    heap = [entry(i) for i in range(len(part)) if tokens[i] <= budget]
+    heap = [entry(i) for i in range(len(tokens)) if tokens[i] <= budget]
     heapq.heapify(heap)
     order = []
     while heap:
