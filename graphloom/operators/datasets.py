@@ -103,21 +103,23 @@ def cve_entries(rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- pairs and samples
 
-def locate(files: DataFrame, needles: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+def locate(files: DataFrame, needles: DataFrame, keys: tuple[str, ...] = ("file_path",), how: str = "inner") -> DataFrame:
     """``needles`` (``keys``, ``code``) with ``start_line, end_line`` of their first hit in ``files`` (``keys``, ``content``).
 
-    Lines are compared right-trimmed, then with white space collapsed, then dedented; blank lines do not count.
+    Lines are compared right-trimmed, then with white space collapsed, then dedented; blank lines do not count. With ``how`` as
+    ``left``, needles without a file stay, found nowhere.
     """
     from pyspark.sql.functions import pandas_udf
 
     import pandas as pd
 
     def find(content: pd.Series, code: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find_lines(a, b) or (None, None) for a, b in zip(content, code, strict=True)], columns=["start_line", "end_line"]).astype("Int32")
+        hits = [find_lines(a, b) or (None, None) for a, b in zip(content, code, strict=True)]
+        return pd.DataFrame({name: pd.array([h[k] for h in hits], dtype="Int32") for k, name in enumerate(("start_line", "end_line"))})
 
     find.__annotations__ = {"content": pd.Series, "code": pd.Series, "return": pd.DataFrame}
     hit = pandas_udf(find, "start_line int, end_line int")(F.col("content"), F.col("code"))
-    return needles.join(files.select(*keys, text.decoded(files).alias("content")), list(keys)).withColumn("_hit", hit).select(*needles.columns, "_hit.*")
+    return needles.join(files.select(*keys, text.decoded(files).alias("content")), list(keys), how).withColumn("_hit", hit).select(*needles.columns, "_hit.*")
 
 
 def find_lines(content: str | None, code: str | None) -> tuple[int, int] | None:
@@ -126,12 +128,19 @@ def find_lines(content: str | None, code: str | None) -> tuple[int, int] | None:
     if not content or not code:
         return None
     squeeze = lambda s: " ".join(s.split())
-    for needle, shape in ((code, str.rstrip), (code, squeeze), (textwrap.dedent(code), squeeze)):
-        want = [shape(x) for x in needle.splitlines() if x.strip()]
-        have = [(i + 1, shape(x)) for i, x in enumerate(content.splitlines()) if shape(x)]
-        for at in range(len(have) - len(want) + 1):
-            if want and all(have[at + k][1] == w for k, w in enumerate(want)):
-                return have[at][0], have[at + len(want) - 1][0]
+    lines = content.splitlines()
+    for needle, shape in ((code, str.rstrip), (code, squeeze), (textwrap.dedent, squeeze)):
+        want = [shape(x) for x in (needle(code) if callable(needle) else needle).splitlines() if x.strip()]
+        have = [shape(x) for x in lines]
+        kept, numbers = [x for x in have if x], [i for i, x in enumerate(have, 1) if x]
+        at, last = -1, len(kept) - len(want) + 1
+        while want and last > at + 1:
+            try:
+                at = kept.index(want[0], at + 1, last)
+            except ValueError:
+                break
+            if kept[at : at + len(want)] == want:
+                return numbers[at], numbers[at + len(want) - 1]
     return None
 
 
@@ -166,21 +175,26 @@ def fix_pairs(fixes: DataFrame, files: DataFrame, least_found: int = 1) -> DataF
     """
     side = F.explode(F.array(F.struct(F.lit(True).alias("is_vulnerable"), F.col("func_before").alias("code")), F.struct(F.lit(False).alias("is_vulnerable"), F.col("func_after").alias("code"))))
     commit = [F.col("commit.repo_url").alias("repo_url"), F.col("commit.hash").alias("hash")]
-    needles = fixes.select(*commit, "ord", F.col("file_name").alias("file_path"), side.alias("s")).select("repo_url", "hash", "ord", "file_path", "s.*")
-    keys = ("repo_url", "hash", "is_vulnerable", "file_path")
-    found = materialize(locate(files, needles, keys).filter("start_line is not null"), "located")
-    both = found.groupBy("repo_url", "hash", "ord").agg(F.count_distinct("is_vulnerable").alias("n")).filter("n = 2").drop("n")
-    found = found.join(both, ["repo_url", "hash", "ord"], "left_semi")
-    side_keys = ["repo_url", "hash", "is_vulnerable"]
-    spans_of = F.transform(F.array_sort(F.collect_list(F.struct("ord", "start_line", "end_line"))), lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
-    per_file = found.groupBy(*side_keys, "file_path").agg(F.min("ord").alias("first"), spans_of.alias("spans"))
-    paths = F.transform(F.array_sort(F.collect_list(F.struct("first", "file_path", "spans"))), lambda x: F.struct(x["file_path"].alias("file_path"), x["spans"].alias("spans")))
-    per_side = per_file.groupBy(*side_keys).agg(paths.alias("files"))
-    codes = found.groupBy(*side_keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x["code"]), "\n").alias("func_code"), F.count(F.lit(1)).alias("n_found"))
     head = ["commit_url", "file_name", "cve_id", "cwe_ids", "vulnerability_score", "commit_msg"]
-    named = fixes.select(*commit, "ord", *head).groupBy("repo_url", "hash").agg(F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in head])
-    out = named.join(codes.filter(F.col("n_found") >= least_found), ["repo_url", "hash"]).join(per_side, side_keys)
-    return out.withColumn("cwe_id", F.get("cwe_ids", F.lit(0))).withColumn("pair_id", F.concat_ws("@", "repo_url", "hash")).drop("n_found")
+    needles = fixes.select(*commit, "ord", F.col("file_name").alias("file_path"), F.struct(*head).alias("head"), side.alias("s")).select("repo_url", "hash", "ord", "file_path", "head", "s.*")
+    side_keys = ["repo_url", "hash", "is_vulnerable"]
+    # Functions found nowhere stay for what their commit's first row says.
+    found = materialize(locate(files, needles, (*side_keys, "file_path"), "left"), "located")
+    # A commit's rows are dealt to one task once: the window and both groupings need no further exchange.
+    rows = dealt(found, "repo_url", "hash")
+    of_row = Window.partitionBy("repo_url", "hash", "ord")
+    hit, vulnerable = F.col("start_line").isNotNull(), F.col("is_vulnerable")
+    rows = rows.withColumn("_both", F.bool_or(hit & vulnerable).over(of_row) & F.bool_or(hit & ~vulnerable).over(of_row))
+    hits = F.collect_list(F.when(hit & F.col("_both"), F.struct("ord", "start_line", "end_line", "code")))
+    per_file = rows.groupBy(*side_keys, "file_path").agg(F.min("ord").alias("ord"), F.min_by("head", "ord").alias("head"), hits.alias("hits"))
+    spans = F.transform(F.sort_array("hits"), lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
+    in_file = F.struct(F.array_min(F.transform("hits", lambda x: x["ord"])).alias("first"), "file_path", spans.alias("spans"))
+    codes = F.flatten(F.collect_list(F.transform("hits", lambda x: F.struct(x["ord"].alias("ord"), x["code"].alias("code")))))
+    per_side = per_file.groupBy(*side_keys).agg(F.min("ord").alias("ord"), F.min_by("head", "ord").alias("head"), codes.alias("codes"), F.collect_list(F.when(F.size("hits") > 0, in_file)).alias("files"))
+    paths = F.transform(F.sort_array("files"), lambda x: F.struct(x["file_path"].alias("file_path"), x["spans"].alias("spans")))
+    code = F.array_join(F.transform(F.sort_array("codes"), lambda x: x["code"]), "\n")
+    out = per_side.filter(F.size("codes") >= max(1, least_found)).select(*side_keys, "ord", "head.*", code.alias("func_code"), paths.alias("files"))
+    return out.withColumn("cwe_id", F.get("cwe_ids", F.lit(0))).withColumn("pair_id", F.concat_ws("@", "repo_url", "hash"))
 
 
 def pairs_within_budget(pairs: DataFrame, budget: int) -> DataFrame:
@@ -201,10 +215,10 @@ def within_budget(rows: DataFrame, budget: int, column: str = "text") -> DataFra
     return rows.filter(text.tokens(F.col(column)) <= budget)
 
 
-def all_strategies_present(rows: DataFrame, n_strategies: int) -> DataFrame:
-    """Pairs for which every strategy gave text on both sides."""
-    good = rows.groupBy("pair_id").agg(F.bool_and(F.length("text") > 0).alias("full"), F.count(F.lit(1)).alias("n"))
-    return rows.join(good.filter(F.col("full") & (F.col("n") == 2 * n_strategies)), "pair_id", "left_semi")
+def complete_pairs(rows: DataFrame, n_strategies: int) -> DataFrame:
+    """``pair_id, ord`` of the pairs for which every strategy gave text on both sides; ``rows`` hold ``full`` or not."""
+    good = rows.groupBy("pair_id").agg(F.bool_and("full").alias("full"), F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+    return good.filter(F.col("full") & (F.col("n") == 2 * n_strategies)).select("pair_id", "ord")
 
 
 # ---------------------------------------------------------------- merging and counting

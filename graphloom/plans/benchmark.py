@@ -64,10 +64,11 @@ def samples(pairs: DataFrame, contexts: DataFrame, strategies: list[str], prefix
     """
     sides = pairs.withColumn("context_id", context_id())
     told = contexts.filter(F.col("strategy").isin(strategies)).select("strategy", "context_id", "text")
-    rows = datasets.all_strategies_present(sides.join(told, "context_id"), len(strategies))
-    accepted = rows.groupBy("pair_id").agg(F.min("ord").alias("ord"))
+    # Which pairs count, and their order, needs no text: that is read once, for them.
+    full = told.select("context_id", (F.length("text") > 0).alias("full"))
+    accepted = datasets.complete_pairs(sides.select("context_id", "pair_id", "ord").join(full, "context_id"), len(strategies))
     numbered = datasets.number_samples(accepted, prefix, limit).select("sample_id", "label", "pair_id")
-    rows = rows.withColumn("label", F.col("is_vulnerable").cast("int")).join(numbered, ["pair_id", "label"])
+    rows = sides.withColumn("label", F.col("is_vulnerable").cast("int")).join(numbered, ["pair_id", "label"]).join(told, "context_id")
     return rows.withColumns({"code": F.col("text"), "severity": F.lit("unknown"), "cwe_types": F.transform("cwe_ids", lambda n: F.concat(F.lit("CWE-"), n.cast("string")))})
 
 

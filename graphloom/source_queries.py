@@ -13,7 +13,7 @@ from graphloom.operators.store import GraphStore
 from graphloom.plans import benchmark, review
 from graphloom.queries import query
 from graphloom.sources import diffs, python_cpg
-from graphloom.staging import materialize, shared_folder
+from graphloom.staging import materialize, shared_folder, spread
 
 # ---------------------------------------------------------------- graph building
 
@@ -138,7 +138,8 @@ def python_edges(spark, sf):
 
 def _fixes(spark, sf) -> DataFrame:
     """Two changed functions a commit; some commits are tests or scored too low."""
-    rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
+    keys = spread(A.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")  # a key makes rows that cost more than its bytes say
+    rows = keys.select(F.col("o_orderkey").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
     body = lambda word: F.concat(F.lit("def f"), F.col("i").cast("string"), F.lit(f"(x):\n    return {word}(x)"))
     return rows.select(
         body("bad").alias("func_before"), body("good").alias("func_after"), F.concat(F.lit("https://github.com/o/r/commit/"), F.lpad(F.lower(F.hex("k")), 12, "0")).alias("commit_url"),
@@ -156,7 +157,7 @@ def _checkouts(fixes: DataFrame) -> DataFrame:
 
 
 def _pairs(spark, sf) -> DataFrame:
-    fixes = datasets.usable_fixes(datasets.coerce_fixes(_fixes(spark, sf)))
+    fixes = materialize(datasets.usable_fixes(datasets.coerce_fixes(_fixes(spark, sf))), "fixes")
     return datasets.fix_pairs(fixes, _checkouts(fixes))
 
 
@@ -182,7 +183,7 @@ ok as (select pair_id, row_number() over (order by min(k)) as rn from p where k
 select 'bench-' || (2 * rn - is_vulnerable::int) as sample_id, strategy, is_vulnerable::int as label, pair_id from p join ok using (pair_id), (values ('current'), ('dummy')) s(strategy)""")
 def compare_rankings(spark, sf):
     """Samples of two strategies, of the pairs for which both have text on both sides."""
-    pairs = _pairs(spark, sf)
+    pairs = materialize(_pairs(spark, sf), "pairs")
     empty = (F.col("ord").bitwiseAND(1) == 1) & (F.floor(F.col("ord") / 2) % 13 == 0) | (F.col("ord").bitwiseAND(1) == 0) & ((F.col("ord") / 2 - 1) % 13 == 0)
     told = pairs.select(benchmark.context_id().alias("context_id"), F.explode(F.array(F.lit("current"), F.lit("dummy"))).alias("strategy"), empty.alias("empty"), "is_vulnerable")
     told = told.withColumn("text", F.when(F.col("empty") & (F.col("strategy") == "dummy") & ~F.col("is_vulnerable"), "").otherwise("code"))
