@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -140,6 +140,8 @@ class Neighbours:
 LIST = 4096
 #: Estimated bytes from which an adjacency is worth writing as lists.
 LISTED_BYTES = 256 << 20
+#: Exchanges of all its rows that writing lists and their reading cost as much as.
+LISTED_READS = 2
 
 
 def broadcast(df: DataFrame) -> bool:
@@ -160,6 +162,34 @@ def neighbours(adj: DataFrame) -> Neighbours:
     return Neighbours(bucketed(lists, "lists", [*keys, "part"]), hubs, keys)
 
 
+#: Kinds of ids up to which a level is told which of them it meets.
+KINDS = 64
+
+
+def _kind(column: str, shared: list[str]) -> Column:
+    """What an id says before its first colon, with its edge type where paths keep to one; null without a colon."""
+    kind = F.when(F.contains(column, F.lit(":")), F.split_part(column, F.lit(":"), F.lit(1)))
+    return F.when(kind.isNotNull(), F.concat_ws("\n", *shared, kind))
+
+
+def _kinds(front: DataFrame, shared: list[str]) -> list[str] | None:
+    """The kinds of the ids of ``front``; None if there are more than ``KINDS``, or ids without one."""
+    found = [r[0] for r in front.select(_kind("id", shared).alias("k")).distinct().limit(KINDS + 1).collect()]
+    return None if len(found) > KINDS or None in found else found
+
+
+def _read_by_kinds(adj: DataFrame, kinds: list[str], hops: int, shared: list[str]) -> float:
+    """At most how often as many rows as ``adj`` has are met in ``hops`` hops from ids of ``kinds``, if each reads those of its kinds only."""
+    steps = adj.groupBy(_kind("at", shared).alias("a"), _kind("to", shared).alias("b")).count().limit(KINDS * KINDS + 1).collect()
+    if len(steps) > KINDS * KINDS or any(None in (r["a"], r["b"]) for r in steps):
+        return float(hops)
+    met, now = 0, set(kinds)
+    for _ in range(hops):
+        from_now = [r for r in steps if r["a"] in now]
+        met, now = met + sum(r["count"] for r in from_now), {r["b"] for r in from_now}
+    return met / max(1, sum(r["count"] for r in steps))
+
+
 def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int, mark_start: bool = True, symmetric: bool = False) -> DataFrame:
     """``keys, id, depth``: the least number of hops, at most ``max_depth``, from a row ``keys, id`` of ``start``.
 
@@ -167,24 +197,31 @@ def traverse(start: DataFrame, adj: DataFrame, keys: list[str], max_depth: int,
     depth 0; else it is only found if a path leads back to it. If ``adj`` is ``symmetric``, a hop from depth d leads to depths
     d - 1, d and d + 1 only, so no earlier level is read again. An adjacency of ``LISTED_BYTES`` or more is written as bucketed
     lists once a front is too large to be sent to all tasks and more than one hop is left; a smaller one, or one that small
-    fronts meet where it lies, is not.
+    fronts meet where it lies, is not. Nor is one whose ids name few kinds, if each level reads the rows of its front's kinds only
+    and all of them together fewer than ``LISTED_READS`` of the whole: then no other row is exchanged. From an eighth of these bytes
+    on, a level joined edge by edge reads the rows of its front's kinds, too. The last level is not written.
     """
     if max_depth < 0:
         raise ValueError("the depth of a traversal is at least 0")
     shared = [k for k in keys if k in adj.columns]
     front = materialize(start.select(*keys, "id").distinct(), "front")
     levels = [front.withColumn("depth", F.lit(0))] if mark_start else []
-    large, near = estimated_bytes(adj) >= LISTED_BYTES, None
+    size, near, weighed = estimated_bytes(adj), None, False
     for depth in range(1, max_depth + 1):
-        if large and near is None and depth < max_depth and not broadcast(front):
-            near = neighbours(adj)
-        step = near.of(front, keys) if near else front.withColumnRenamed("id", "at").join(adj, ["at", *shared]).select(*keys, F.col("to").alias("id"))
+        rows = adj
+        if size >= LISTED_BYTES // 8 and near is None and not broadcast(front):
+            kinds = _kinds(front, shared)
+            if size >= LISTED_BYTES and depth < max_depth and not weighed:
+                weighed = kinds is not None and _read_by_kinds(adj, kinds, max_depth - depth + 1, shared) < LISTED_READS
+                near = None if weighed else neighbours(adj)
+            rows = adj if kinds is None else adj.filter(_kind("at", shared).isin(*kinds))
+        step = near.of(front, keys) if near else front.withColumnRenamed("id", "at").join(rows, ["at", *shared]).select(*keys, F.col("to").alias("id"))
         step = step.distinct()
         if levels:
             seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in (levels[-2:] if symmetric else levels)])
             step = step.join(seen, [*keys, "id"], "left_anti")
-        front = materialize(step, "front")
-        if front.isEmpty():
+        front = step if depth == max_depth else materialize(step, "front")
+        if depth < max_depth and front.isEmpty():
             break
         levels.append(front.withColumn("depth", F.lit(depth)))
     return reduce(DataFrame.union, levels) if levels else front.withColumn("depth", F.lit(1)).limit(0)
