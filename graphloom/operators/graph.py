@@ -274,12 +274,21 @@ def attach_taint(context_nodes: DataFrame, tainted: DataFrame) -> DataFrame:
     return context_nodes.join(t, ["context_id", "identifier"], "left").withColumn("taint_score", F.coalesce("_taint", now, F.lit(0.0))).drop("_taint")
 
 
+#: Contexts in a node's list, at most about so many; of more contexts, each node has several lists.
+SHARED = 1024
+
+
 def induced_edges(graph: Graph, members: DataFrame, types: tuple[str, ...] = model.PATH_FILL_TYPES) -> DataFrame:
     """``context_id, src, dst, type``: directed edges of ``types`` between members of one context, each once as edges are merged."""
-    m = members.select("context_id", F.col("identifier").alias("_id")).distinct()
+    m = materialize(members.select("context_id", F.col("identifier").alias("_id")).distinct(), "members")
+    parts = -(-m.select("context_id").distinct().count() // SHARED)
+    # A node's contexts are a list: an edge is dealt by either end once, not once for each context of its first end.
+    part = [F.pmod(F.xxhash64("context_id"), F.lit(parts)).alias("_part")] if parts > 1 else []
+    held = m.groupBy("_id", *part).agg(F.collect_list("context_id").alias("_in"))
+    on = [c for c in held.columns if c == "_part"]
     e = graph.edges.filter(F.col("type").isin(*[t for t in types if t in graph.types] or [""])).select("src", "dst", "type")
-    e = e.join(m.withColumnRenamed("_id", "src"), "src")
-    return e.join(m.withColumnRenamed("_id", "dst"), ["context_id", "dst"], "left_semi").select("context_id", "src", "dst", "type")
+    e = e.join(held.withColumnsRenamed({"_id": "src", "_in": "_of_src"}), "src").join(held.withColumnRenamed("_id", "dst"), ["dst", *on])
+    return e.select(F.explode(F.array_intersect("_of_src", "_in")).alias("context_id"), "src", "dst", "type")
 
 
 def shortest_tree(roots: DataFrame, adj: DataFrame) -> DataFrame:
@@ -301,4 +310,6 @@ def shortest_tree(roots: DataFrame, adj: DataFrame) -> DataFrame:
 def undirected(induced: DataFrame) -> DataFrame:
     """``context_id, at, to`` in both directions, without self loops."""
     e = induced.filter("src <> dst")
-    return e.select("context_id", F.col("src").alias("at"), F.col("dst").alias("to")).union(e.select("context_id", "dst", "src")).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("to"))
+    # Both ways of a row at once: a union would make the edges twice.
+    return e.select("context_id", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("_way")).select("context_id", "_way.*").distinct()
