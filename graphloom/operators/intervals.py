@@ -9,6 +9,8 @@ Bounds are inclusive; an interval that ends before it starts, or has a null boun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,10 @@ def points_in(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 
     Points meet bins up to those of the longest interval only, which is a scalar of the same plan: code rarely has long ones.
     """
-    most = intervals.agg(F.max(_top(F.shiftright(F.col(end).cast("long"), BLOCK_BITS) - F.shiftright(F.col(start).cast("long"), BLOCK_BITS) + 1)))
-    bins = intervals.withColumn("_bin", F.explode(cover(F.col(start), F.col(end)))).select(*intervals.columns, F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_at"))
+    # Both readings of the intervals keep the same rows, so that what makes them is exchanged once for the two.
+    held = intervals.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.col(start) <= F.col(end)))
+    most = held.agg(F.max(_top(F.shiftright(F.col(end).cast("long"), BLOCK_BITS) - F.shiftright(F.col(start).cast("long"), BLOCK_BITS) + 1)))
+    bins = held.withColumn("_bin", F.explode(cover(F.col(start), F.col(end)))).select(*intervals.columns, F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_at"))
     levels = F.explode(F.sequence(F.lit(0), F.coalesce(most.scalar(), F.lit(0))))
     dealt = points.withColumn("_level", levels).withColumn("_at", _shift(F.shiftright(F.col(at).cast("long"), BLOCK_BITS), F.col("_level")))
     return dealt.join(bins, [*keys, "_level", "_at"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_at")
