@@ -52,8 +52,8 @@ def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return last_write(known, ["src", "dst", "type"], ["ord"])
 
 
-def load_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
-    n = merge_nodes(nodes)
+def load_graph(nodes: DataFrame, edges: DataFrame, merged: bool = False) -> Graph:
+    n = nodes if merged else merge_nodes(nodes)
     e = materialize(merge_edges(edges, n), "edges")
     return Graph(n, e, edge_types(e))
 
@@ -63,10 +63,24 @@ def edge_types(edges: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r["type"] for r in edges.select("type").distinct().collect()))
 
 
+def _payload(nodes: DataFrame) -> Column:
+    return F.xxhash64(*[c for c in nodes.columns if c not in ("identifier", "ord")])
+
+
 def conflicting_nodes(nodes: DataFrame) -> DataFrame:
     """Ids that come with different payloads: merging such files is an error."""
-    rest = F.xxhash64(*[c for c in nodes.columns if c not in ("identifier", "ord")])
-    return nodes.groupBy("identifier").agg(F.countDistinct(rest).alias("payloads")).filter("payloads > 1")
+    return nodes.groupBy("identifier").agg(F.countDistinct(_payload(nodes)).alias("payloads")).filter("payloads > 1")
+
+
+def checked_nodes(nodes: DataFrame) -> DataFrame:
+    """:func:`merge_nodes` as a written table, or an error if any are :func:`conflicting_nodes`; one grouping tells both."""
+    others, at = [c for c in nodes.columns if c != "identifier"], F.struct("ord")
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in others]
+    merged = nodes.withColumn("_payload", _payload(nodes)).groupBy("identifier").agg(*last, (F.min("_payload") != F.max("_payload")).alias("_clash"))
+    merged = materialize(merged, "merged")
+    if clash := merged.filter("_clash").head(1):
+        raise ValueError(f"two nodes share the id {clash[0]['identifier']}")
+    return merged.drop("_clash")
 
 
 def write_graph(graph: Graph, path: str) -> None:
@@ -174,7 +188,11 @@ def _kind(column: str, shared: list[str]) -> Column:
 
 def _kinds(front: DataFrame, shared: list[str]) -> list[str] | None:
     """The kinds of the ids of ``front``; None if there are more than ``KINDS``, or ids without one."""
-    found = [r[0] for r in front.select(_kind("id", shared).alias("k")).distinct().limit(KINDS + 1).collect()]
+    kinds = front.select(_kind("id", shared).alias("k"))
+    # Where ids name many, as those of many checkouts do, the first rows tell it.
+    if kinds.limit(64 * KINDS).distinct().limit(KINDS + 1).count() > KINDS:
+        return None
+    found = [r[0] for r in kinds.distinct().limit(KINDS + 1).collect()]
     return None if len(found) > KINDS or None in found else found
 
 

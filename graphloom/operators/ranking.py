@@ -31,11 +31,10 @@ class Hints:
 
 def aggregate(nodes: DataFrame) -> DataFrame:
     """One row a node: the first row's attributes, the least depth, all occurrences but one as ``repeats``."""
-    first = F.struct("ord")
     others = [c for c in nodes.columns if c not in ("context_id", "identifier", "depth", "repeats")]
-    return nodes.groupBy("context_id", "identifier").agg(
-        F.min("depth").alias("depth"), (F.sum(F.col("repeats") + 1) - 1).cast("int").alias("repeats"), *[F.min_by(c, first).alias(c) for c in others]
-    )
+    first = F.min_by(F.struct(*others), F.struct("ord")).alias("_first")
+    rows = nodes.groupBy("context_id", "identifier").agg(F.min("depth").alias("depth"), (F.sum(F.col("repeats") + 1) - 1).cast("int").alias("repeats"), first)
+    return rows.select("context_id", "identifier", "depth", "repeats", "_first.*")
 
 
 def _anchored(nodes: DataFrame) -> DataFrame:

@@ -182,21 +182,26 @@ def _fill(rows: dict[str, list], budget: int) -> dict[str, list]:
     return {c: [x for x, yes in zip(rows[c], chosen, strict=False) if yes] for c in ("context_id", "identifier", "rank")}
 
 
-def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: int) -> DataFrame:
+def ways(roots: DataFrame, induced: DataFrame) -> DataFrame:
+    """``context_id, identifier, parent``: the tree along which :func:`path_fill` goes from ``roots (context_id, id)``."""
+    return graph.shortest_tree(roots, materialize(graph.undirected(induced), "near")).withColumnRenamed("id", "identifier")
+
+
+def path_fill(ranked: DataFrame, induced: DataFrame, lines: DataFrame, budget: int, tree: DataFrame | None = None) -> DataFrame:
     """``context_id, identifier, rank`` of the nodes to show: all roots, then by rank each node with its way to a root.
 
     The ways come from a tree that joins build for all contexts at once (:func:`graphloom.operators.graph.shortest_tree`). What is
     left to the scan of one context, whose rows are a node and a line of its files each, is the budget: a node whose added
     lines would exceed it is passed over, not the end. Tokens are those of the rendered text. A written table: rendering reads
-    it more than once, and the scan should not run again.
+    it more than once, and the scan should not run again. Rankings of the same nodes may share the ``tree`` of their :func:`ways`.
     """
     keys = graph.file_keys(ranked, lines)
     name = F.concat_ws("\u001f", *keys)
     first = {c: F.min_by(c, "rank").alias(c) for c in (*keys, "line_start", "line_end")}
     nodes = ranked.groupBy("context_id", "identifier").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth"), *first.values())
     nodes = materialize(nodes, "nodes")
-    roots = nodes.filter("depth = 0").select("context_id", F.col("identifier").alias("id"))
-    tree = graph.shortest_tree(roots, materialize(graph.undirected(induced), "near")).withColumnRenamed("id", "identifier")
+    if tree is None:
+        tree = ways(nodes.filter("depth = 0").select("context_id", F.col("identifier").alias("id")), induced)
     whole = lambda c, least: F.coalesce(F.col(c).cast("long"), F.lit(least)).alias
     placed = nodes.join(tree, ["context_id", "identifier"], "left").select(
         "context_id", F.lit(False).alias("_line"), name.alias("_file"), whole("line_start", 0)("_from"), whole("line_end", -1)("_to"), "identifier", "parent", F.col("rank").cast("int").alias("rank"), F.col("depth").cast("int").alias("depth")
@@ -215,9 +220,10 @@ def render(selected: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame
     """``context_id, text, tokens``: the selected nodes' lines, each once, by file in rank order and then by line."""
     keys = graph.file_keys(nodes, lines)
     rows = selected.select("context_id", "identifier", "rank").join(nodes.select("identifier", *keys, "line_start", "line_end"), "identifier")
-    files = rows.groupBy("context_id", *keys).agg(F.min("rank").alias("file_rank"))
-    wanted = rows.select("context_id", *keys, F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct()
-    shown = wanted.join(lines.select(*keys, "line_no", text.sanitize_line(F.col("text")).alias("t")), [*keys, "line_no"]).join(files, ["context_id", *keys])
+    numbers = F.array_distinct(F.flatten(F.collect_list(F.sequence("line_start", "line_end"))))
+    files = rows.groupBy("context_id", *keys).agg(F.min("rank").alias("file_rank"), numbers.alias("numbers"))
+    wanted = files.select("context_id", *keys, "file_rank", F.explode("numbers").alias("line_no"))
+    shown = wanted.join(lines.select(*keys, "line_no", text.sanitize_line(F.col("text")).alias("t")), [*keys, "line_no"])
     body = F.array_sort(F.collect_list(F.struct("file_rank", "file_path", "line_no", "t")))
     out = shown.groupBy("context_id").agg(F.array_join(F.transform(body, lambda x: x["t"]), "\n").alias("text"))
     return out.withColumn("tokens", text.tokens(F.col("text")))

@@ -28,10 +28,12 @@ def neighborhood(g: Graph, starts: DataFrame, depth: int, edge_paths: bool, tain
     else:
         found = graph.collapse(graph.bfs(g, starts, depth)).withColumn("edge_depths", F.lit(None).cast("map<string,int>"))
     attributes = [c for c in ("graph_id", "kind", "name", "file_path", "line_start", "line_end", "finding_evidence_score", "security_path_score", "snippet", "ord") if c in g.nodes.columns]
-    nodes = found.withColumnRenamed("id", "identifier").join(g.nodes.select("identifier", *attributes), "identifier")
+    found = found.withColumnRenamed("id", "identifier")
+    if taint:  # while rows hold no text
+        found = graph.attach_taint(found, graph.taint(g, starts.withColumnRenamed("start_id", "id"), max_hops))
+    nodes = found.join(g.nodes.select("identifier", *attributes), "identifier")
     defaults = {"finding_evidence_score": F.lit(0.0), "security_path_score": F.lit(0.0), "ord": F.xxhash64("identifier"), "taint_score": F.lit(0.0), "name": F.lit(None).cast("string")}
-    nodes = nodes.withColumns({k: v for k, v in defaults.items() if k not in nodes.columns})
-    return graph.attach_taint(nodes, graph.taint(g, starts.withColumnRenamed("start_id", "id"), max_hops)) if taint else nodes
+    return nodes.withColumns({k: v for k, v in defaults.items() if k not in nodes.columns})
 
 
 def ranked(g: Graph, starts: DataFrame, lines: DataFrame, strategy: str, depth: int, budget: int, coefficients: Coefficients | None, **options) -> DataFrame:
@@ -70,30 +72,36 @@ class Around:
     """What no weight changes, and all strategies share: neighbourhoods along any edges and along one type, and induced edges."""
 
     plain: DataFrame
-    typed: DataFrame
+    typed: DataFrame | None  # none where no strategy asks for it
     edges: DataFrame
 
     def of(self, strategy: str) -> DataFrame:
         return self.typed if ranking.pick([strategy])[strategy].edge_paths else self.plain
 
 
-def around(g: Graph, starts: DataFrame, depth: int) -> Around:
-    """Both neighbourhoods of ``starts (context_id, start_id)``, with taint. Written tables."""
+def around(g: Graph, starts: DataFrame, depth: int, strategies: list[str] | None = None) -> Around:
+    """Both neighbourhoods of ``starts (context_id, start_id)``, with taint. Written tables.
+
+    For ``strategies`` that rank none along one type, that one is not made: all its nodes are in the other, whose edges these are.
+    """
     starts = materialize(starts, "roots")
     plain = materialize(neighborhood(g, starts, depth, False, True), "plain")
-    typed = materialize(neighborhood(g, starts, depth, True, True), "typed")
-    members = plain.select("context_id", "identifier").union(typed.select("context_id", "identifier")).distinct()
-    return Around(plain, typed, materialize(graph.induced_edges(g, members), "edges"))
+    typed = None
+    if any(s.edge_paths for s in ranking.pick(strategies).values()):
+        typed = materialize(neighborhood(g, starts, depth, True, True), "typed")
+    return Around(plain, typed, materialize(graph.induced_edges(g, plain), "edges"))
 
 
 def contexts(a: Around, nodes: DataFrame, lines: DataFrame, strategies: list[str], budget: int, coefficients: Coefficients | None = None, **options) -> DataFrame:
     """``strategy, context_id, text, tokens`` of every strategy over the same neighbourhoods, without a traversal."""
-    out = []
-    for name in ranking.pick(strategies):
+    out, trees = [], {}
+    for name, s in ranking.pick(strategies).items():
         rows = a.of(name)
+        if s.edge_paths not in trees:
+            trees[s.edge_paths] = selection.ways(rows.filter("depth = 0").select("context_id", F.col("identifier").alias("id")), a.edges)
         rows = rows if "snippet" in rows.columns else selection.snippets(rows, lines)
-        order = materialize(ranking.rank(rows, name, coefficients, budget=budget, **options), "ranked")
-        text = selection.render(selection.path_fill(order, a.edges, lines, budget), nodes, lines)
+        order = ranking.rank(rows, name, coefficients, budget=budget, **options)
+        text = selection.render(selection.path_fill(order, a.edges, lines, budget, trees[s.edge_paths]), nodes, lines)
         out.append(text.select(F.lit(name).alias("strategy"), "context_id", "text", "tokens"))
     return reduce(DataFrame.unionByName, out)
 

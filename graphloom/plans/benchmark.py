@@ -52,7 +52,7 @@ def compare(
     stay apart. Traversals run once and serve every strategy.
     """
     project = scan.build(materialize(checkouts(pairs, files), "checkouts"), findings, coefficients)
-    near = assemble.around(project.graph, assemble.roots(project.graph, context_spans(pairs)), depth)
+    near = assemble.around(project.graph, assemble.roots(project.graph, context_spans(pairs)), depth, strategies)
     told = assemble.contexts(near, project.graph.nodes, project.lines, strategies, budget, coefficients, **options)
     return samples(pairs, materialize(told, "told"), strategies, prefix, limit)
 

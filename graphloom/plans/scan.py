@@ -30,19 +30,24 @@ def load(spark: SparkSession, root: str, found: DataFrame | None = None, coeffic
     return build(materialize(python_cpg.scan(spark, root, only=only), "files"), found, coefficients, hints)
 
 
+def _none(spark: SparkSession, columns: str) -> DataFrame:
+    """A table without rows, for which no task runs."""
+    return spark.range(1).filter("false").selectExpr(*[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in columns.split(", ")])
+
+
 def build(files: DataFrame, found: DataFrame | None = None, coefficients: Coefficients | None = None, hints: Hints = Hints()) -> Project:
     """The graph of ``files (file_path, content)``, a written table; with ``graph_id`` in it, and in ``found``, of many checkouts at once."""
     spark = files.sparkSession
     built = python_cpg.build(files)
-    if clash := graph.conflicting_nodes(built["nodes"]).head(1):
-        raise ValueError(f"two nodes share the id {clash[0]['identifier']}")
+    merged = graph.checked_nodes(built["nodes"])
     lines = materialize(tables.source_lines(files), "lines")
-    g = graph.load_graph(built["nodes"], built["edges"])
-    if found is None:
-        found = spark.createDataFrame([], "id string, tool string, file string, line_number int, cwe_id int, severity string, issue_id int, message string")
-        found = found.withColumn("graph_id", F.lit(None).cast("string")) if "graph_id" in files.columns else found
-    found = materialize(findings.merge(found), "findings")
-    links = materialize(findings.merge_reports(findings.attach(found, g.nodes), found, g.nodes), "reports")
+    g = graph.load_graph(merged, built["edges"], merged=True)
+    if found is None:  # nothing to attach, so no node is read for it
+        found = _none(spark, "id string, tool string, file string, line_number int, cwe_id int, severity string, issue_id int, message string" + ", graph_id string" * ("graph_id" in files.columns))
+        links = _none(spark, "src string, dst string")
+    else:
+        found = materialize(findings.merge(found), "findings")
+        links = materialize(findings.merge_reports(findings.attach(found, g.nodes), found, g.nodes), "reports")
     nodes = findings.score_nodes(selection.snippets(g.nodes, lines), links, found, coefficients or Coefficients(), hints)
     return Project(Graph(materialize(nodes, "nodes"), g.edges, g.types), lines, found, links, built["errors"])
 

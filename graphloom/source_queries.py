@@ -232,7 +232,7 @@ def sample_responses(spark, sf):
 
 def _commits(spark, sf) -> DataFrame:
     """A fix a customer, in a repository of its own, of one function that calls another file's."""
-    rows = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    rows = spread(A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")  # as in :func:`_fixes`
     body = lambda word: F.concat(F.lit(f"def run(x):\n    return helper({word}"), F.col("k").cast("string"), F.lit("(x))"))
     return rows.select(
         body("bad").alias("func_before"), body("good").alias("func_after"), F.concat(F.lit("https://github.com/o/r"), F.col("k").cast("string"), F.lit("/commit/abcdef1")).alias("commit_url"), F.lit("f1.py").alias("file_name"),
@@ -265,7 +265,7 @@ select 'c-' || (2 * rn - is_vulnerable::int) as sample_id, strategy, is_vulnerab
 from t, (values ('current'), ('dummy')) st(strategy)""")
 def compare_checkouts(spark, sf):
     """From both checkouts of many repositories to a dataset a strategy: equal paths and node names, no context sees another's."""
-    commits = datasets.usable_fixes(datasets.coerce_fixes(_commits(spark, sf)))
+    commits = materialize(datasets.usable_fixes(datasets.coerce_fixes(_commits(spark, sf))), "commits")
     files = _both_sides(commits)
     pairs = materialize(datasets.fix_pairs(commits, files), "pairs")
     return benchmark.compare(pairs, files, ["current", "dummy"], depth=2, budget=512, prefix="c").select("sample_id", "strategy", "label", "code")
