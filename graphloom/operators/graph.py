@@ -31,12 +31,16 @@ class Graph:
 
 # ---------------------------------------------------------------- building
 
-def last_write(rows: DataFrame, keys: list[str], order: list[str], per_property: bool = True) -> DataFrame:
-    """An upsert by ``keys``: of each other column the last non-null value in ``order``, or the whole last row."""
+def last_write(rows: DataFrame, keys: list[str], order: list[str], per_property: bool = True, count: str | None = None) -> DataFrame:
+    """An upsert by ``keys``: of each other column the last non-null value in ``order``, or the whole last row.
+
+    Per property, ``count`` names a column for the number of rows that became one.
+    """
     others = [c for c in rows.columns if c not in keys]
     if per_property:
         at = F.struct(*order)
-        return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in others])
+        told = [F.count(F.lit(1)).alias(count)] if count else []
+        return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in others], *told)
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 

@@ -21,9 +21,11 @@ from pyspark.sql.types import StructType
 
 from graphloom.operators import graph
 from graphloom.operators.graph import Graph
-from graphloom.staging import materialize
+from graphloom.staging import TASK_BYTES, estimated_bytes, materialize
 
 TABLES = ("nodes", "edges", "pending")
+#: What a row of each is one of.
+KEYS = {"nodes": ["identifier"], "edges": ["src", "dst", "type"], "pending": ["missing", "src", "dst", "type"]}
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,7 @@ class GraphStore:
         if name not in self.manifest.schemas:
             return None
         schema = StructType.fromJson(json.loads(self.manifest.schemas[name]))
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema).limit(0)  # so that plans know it has none
 
     def at(self, version: int) -> GraphStore:
         """The store as it was."""
@@ -131,18 +133,20 @@ class GraphStore:
         if on_conflict not in ("last", "error"):
             raise ValueError("on_conflict is last or error")
         version = self.manifest.version + 1
-        inside = _differing(nodes, ["ord"])
-        fresh = materialize(graph.merge_nodes(nodes).withColumn("_bucket", self._bucket("identifier")), "batch")
+        fresh = materialize(graph.last_write(nodes, KEYS["nodes"], ["ord"], count="_rows").withColumn("_bucket", self._bucket("identifier")), "batch")
+        many = fresh.filter("_rows > 1").select(F.col("identifier").alias("_id"))  # only these can differ within the batch
+        inside = _differing(nodes.join(many, F.col("identifier").eqNullSafe(F.col("_id")), "left_semi"), ["ord"])
+        fresh = fresh.drop("_rows")
         touched = _buckets(fresh, "_bucket")
         before = self.table("nodes", touched)
-        clashes = inside if before is None else inside.unionByName(_differing(before.drop("ord").withColumn("_old", F.lit(0)).unionByName(fresh.drop("ord", "_bucket").withColumn("_old", F.lit(1)), allowMissingColumns=True), ["_old"]))
+        clashes = inside if before is None else inside.unionByName(_replaced(before, fresh))
         clashes = materialize(clashes.distinct(), "conflicts")
         if on_conflict == "error" and (first := clashes.head(1)):
             raise ConflictError(f"{first[0]['identifier']}: {first[0]['property']} is {first[0]['before']} and {first[0]['after']}")
 
         rows = fresh if before is None else before.withColumns({"_bucket": self._bucket("identifier"), "_turn": F.lit(0)}).unionByName(fresh.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
         if before is not None:
-            rows = graph.last_write(self._dealt(rows, touched), ["_bucket", "identifier"], ["_turn"]).drop("_turn")
+            rows = graph.last_write(self._dealt("nodes", rows, touched, before, fresh), [*_DEALT, *KEYS["nodes"]], ["_turn"]).drop("_turn")
         now = self._put(self.manifest, "nodes", rows, version, touched)
 
         # Edges of the batch, and those that waited for one of its nodes.
@@ -152,31 +156,37 @@ class GraphStore:
             ids = fresh.select(F.col("identifier").alias("missing"))
             batch = waiting.join(ids, "missing", "left_semi").drop("missing").unionByName(batch, allowMissingColumns=True)
             stay = waiting.join(ids, "missing", "left_anti")
-        batch = materialize(graph.last_write(batch.withColumn("_at", F.struct("_turn", "ord")), ["src", "dst", "type"], ["_at"]).drop("_at"), "edges")
+        # Dealt before they are grouped, for few come twice: they are sorted once then.
+        batch = batch.withColumn("_at", F.struct("_turn", "ord")).repartition(*KEYS["edges"])
+        batch = materialize(graph.last_write(batch, KEYS["edges"], ["_at"]).drop("_at"), "edges")
         near = _buckets(batch.select(F.explode(F.array_distinct(F.array(self._bucket("src"), self._bucket("dst")))).alias("_bucket")), "_bucket")
         there = self._of(now, "nodes", near)
         ids = there.select(F.col("identifier").alias("id")) if there is not None else batch.select(F.col("src").alias("id")).limit(0)
         left = batch.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
         left = materialize(left.withColumn("missing", F.when(F.col("_s").isNull(), F.col("src")).when(F.col("_d").isNull(), F.col("dst"))).drop("_s", "_d"), "tried")
 
+        # Where edges go, and their types: at most as many rows as there are buckets and types.
+        whether = F.col("missing").isNull()
+        found = left.select(whether.alias("known"), self._bucket(F.coalesce("missing", "src")).alias("bucket"), F.when(whether, F.col("type")).alias("type")).distinct().collect()
         known = left.filter("missing is null").drop("missing").withColumn("_bucket", self._bucket("src"))
-        edge_buckets = _buckets(known, "_bucket")
-        types = tuple(sorted({*now.types, *graph.edge_types(known)}))  # those of older edges are in the manifest
+        edge_buckets = sorted({r["bucket"] for r in found if r["known"]})
+        types = tuple(sorted({*now.types, *(r["type"] for r in found if r["known"])}))  # those of older edges are in the manifest
         old = self._of(now, "edges", edge_buckets)
         if old is not None:
             both = old.withColumns({"_bucket": self._bucket("src"), "_turn": F.lit(0)}).unionByName(known, allowMissingColumns=True)
-            known = graph.last_write(self._dealt(both, edge_buckets), ["_bucket", "src", "dst", "type"], ["_turn"])
+            known = graph.last_write(self._dealt("edges", both, edge_buckets, old, left), [*_DEALT, *KEYS["edges"]], ["_turn"])
         now = self._put(now, "edges", known.drop("_turn"), version, edge_buckets)
 
         lost = left.filter("missing is not null")
-        if waiting is not None:
+        if waiting is not None:  # what stays is in touched buckets
             lost = lost.unionByName(stay, allowMissingColumns=True)
-        lost = materialize(lost.withColumn("_bucket", self._bucket("missing")), "lost")
-        pending_buckets = sorted({*_buckets(lost, "_bucket"), *(b for b in touched if b in now.folders["pending"])})
+        lost = lost.withColumn("_bucket", self._bucket("missing"))
+        pending_buckets = sorted({*(r["bucket"] for r in found if not r["known"]), *(b for b in touched if b in now.folders["pending"])})
         untouched = self._of(now, "pending", [b for b in pending_buckets if b not in touched])
         if untouched is not None:  # edges that wait for other nodes of these buckets
             lost = lost.unionByName(untouched.withColumn("_bucket", self._bucket("missing")), allowMissingColumns=True)
-        lost = graph.last_write(lost, ["_bucket", "missing", "src", "dst", "type"], ["_turn", "ord"])
+        if waiting is not None or untouched is not None:  # else they are the batch's, which has each once
+            lost = graph.last_write(self._dealt("pending", lost, pending_buckets, left, waiting, untouched), [*_DEALT, *KEYS["pending"]], ["_turn", "ord"])
         now = self._put(now, "pending", lost, version, pending_buckets)
 
         now = replace(now, version=version, types=types)
@@ -190,19 +200,29 @@ class GraphStore:
         now.spark, now.path, now.manifest = self.spark, self.path, manifest
         return now.table(name, buckets)
 
-    def _dealt(self, rows: DataFrame, buckets: list[int]) -> DataFrame:
-        """Rows by bucket: what is grouped by bucket and key after it is grouped in place, and written without another exchange."""
-        return rows.repartition(max(1, min(len(buckets), self.manifest.buckets)), "_bucket")
+    def _dealt(self, name: str, rows: DataFrame, buckets: list[int], *sources: DataFrame | None) -> DataFrame:
+        """Rows by bucket, a task each, or as many tasks a bucket as the stored bytes of their ``sources`` ask for: ``_part`` is the task.
+
+        Plans guess the bytes of a join; those of ``rows`` count where no sources are named. What is grouped by ``_DEALT`` and key after it is grouped in place, and written without another exchange.
+        """
+        n = max(1, len(buckets))
+        size = sum(estimated_bytes(s) for s in sources or (rows,) if s is not None)
+        parts = max(1, min(-(-size // (n * TASK_BYTES)), (1 << 15) // n))
+        place = {b: k for k, b in enumerate(buckets)}
+        at = F.get(F.array(*[F.lit(place.get(b, 0)) for b in range(self.manifest.buckets)]), F.col("_bucket"))
+        part = at * parts + F.pmod(F.xxhash64(F.lit("part"), *KEYS[name]), F.lit(parts)).cast("int")
+        return rows.withColumn("_part", part.cast("int")).repartitionById(n * parts, "_part")
 
     def _put(self, manifest: Manifest, name: str, rows: DataFrame, version: int, buckets: list[int]) -> Manifest:
         """Writes the new rows of ``buckets``, a folder each; a bucket without rows is named no more."""
         folder = f"{name}/v{version:08d}"
         known = StructType.fromJson(json.loads(manifest.schemas[name])) if name in manifest.schemas else StructType()
-        schema = StructType([*known.fields, *[f for f in rows.drop("_bucket").schema.fields if f.name not in known.fieldNames()]])
-        full = rows.select("_bucket", *[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        schema = StructType([*known.fields, *[f for f in rows.drop(*_DEALT).schema.fields if f.name not in known.fieldNames()]])
+        rows = rows if "_part" in rows.columns else self._dealt(name, rows, buckets)
+        full = rows.select(*_DEALT, *[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         order = "identifier" if name == "nodes" else "src"
-        # An exchange by bucket, so that a bucket is one file, or a few where it is large.
-        self._dealt(full, buckets).sortWithinPartitions("_bucket", order).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        # Rows lie by bucket, so that a bucket is one file, or a few where it is large.
+        full.sortWithinPartitions(*_DEALT, order).drop("_part").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         fs, p = self._fs(f"{self.path}/{folder}")
         there = {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_bucket=")}
         folders = {b: f for b, f in manifest.folders[name].items() if b not in buckets} | {b: f"{folder}/_bucket={b}" for b in sorted(there)}
@@ -223,6 +243,10 @@ class GraphStore:
         return gone
 
 
+#: By what :meth:`GraphStore._dealt` has dealt.
+_DEALT = ("_bucket", "_part")
+
+
 def _buckets(rows: DataFrame, column: str) -> list[int]:
     return sorted(r[0] for r in rows.select(column).distinct().collect())  # at most as many as there are buckets
 
@@ -237,6 +261,20 @@ def _differing(rows: DataFrame, order: list[str]) -> DataFrame:
     return told.filter("_lo <> _hi").select("identifier", "property", plain("before"), plain("after"))
 
 
+def _replaced(before: DataFrame, fresh: DataFrame) -> DataFrame:
+    """:func:`_differing` of two tables that have a node once each: a join of its two rows."""
+    types = {f.name: f.dataType for f in before.limit(0).unionByName(fresh.limit(0), allowMissingColumns=True).schema.fields}
+    names = [c for c in before.columns if c in fresh.columns and c not in ("identifier", "ord", "_old", "_bucket")]
+    told = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).cast(types[c]).alias("v"))))
+    old = before.select(F.col("identifier").alias("_id"), *[told(c).alias(f"_before{k}") for k, c in enumerate(names)])
+    new = fresh.select("identifier", *[told(c).alias(f"_after{k}") for k, c in enumerate(names)])
+    plain = lambda c: F.get_json_object(c, "$.v")
+    each = [F.when(F.col(f"_before{k}") != F.col(f"_after{k}"), F.struct(F.lit(c).alias("property"), plain(f"_before{k}").alias("before"), plain(f"_after{k}").alias("after"))) for k, c in enumerate(names)]
+    none = F.array().cast("array<struct<property: string, before: string, after: string>>")
+    rows = new.join(old, F.col("identifier").eqNullSafe(F.col("_id")))
+    return rows.select("identifier", F.explode(F.array_compact(F.array(*each)) if each else none).alias("_e")).select("identifier", "_e.*")
+
+
 def open_graph(spark: SparkSession, path: str) -> Graph:
     """The graph of a store, or of a folder that :func:`graphloom.operators.graph.write_graph` wrote."""
     if GraphStore.exists(spark, path):
